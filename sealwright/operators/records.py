@@ -58,17 +58,23 @@ def closed_record_audit(
 
 
 def duplicate_member_audit(table: DataFrame, scope: str, json: str, code: str = "manifest.duplicate_member") -> DataFrame:
-    """Member names that occur twice in the object ``json`` holds."""
-    names = table.select(scope, F.monotonically_increasing_id().alias("_row"), F.json_object_keys(F.col(json)).alias("_keys"))
-    repeated = names.filter(F.size("_keys") > F.size(F.array_distinct("_keys"))).select(
-        scope,
-        F.explode(
-            F.array_distinct(
-                F.filter("_keys", lambda key: F.size(F.filter("_keys", lambda other: other == key)) > 1)
-            )
-        ).alias("_name"),
+    """Member names that occur twice in one object.
+
+    Names of the outer object are listed.  Deeper repetitions show by the strict
+    variant parser, which refuses a text that the lenient reader accepts.
+    """
+    keys = F.json_object_keys(F.col(json))
+    rows = table.select(scope, keys.alias("_keys"), F.try_parse_json(F.col(json)).isNull().alias("_refused"))
+    rows = rows.filter(F.col("_keys").isNotNull() & F.col("_refused"))
+    top = F.size("_keys") > F.size(F.array_distinct("_keys"))
+    repeated = F.array_distinct(
+        F.filter("_keys", lambda key: F.size(F.filter("_keys", lambda other: other == key)) > 1)
+    )
+    names = rows.filter(top).select(scope, F.explode(repeated).alias("_name"))
+    return union(
+        finding(names, scope, 20, code, F.col("_name"), "top"),
+        finding(rows.filter(~top), scope, 20, code, None, "nested"),
     )
-    return finding(repeated, scope, 20, code, F.col("_name"))
 
 
 def canonical_json_audit(table: DataFrame, scope: str, json: str, schema: str, code: str = "manifest.noncanonical") -> DataFrame:
@@ -217,12 +223,14 @@ def redact_secrets(log_text: DataFrame, secret: DataFrame, column: str = "text")
         .otherwise(F.raise_error(F.lit("a global secret list beyond 64 MB needs a run_id column")))
         .alias("_literals")
     )
-    return log_text.withColumn(column, redacted(checked.scalar()))
+    staged = log_text.withColumn("_literals", checked.scalar())
+    return staged.withColumn(column, redacted(F.col("_literals"))).drop("_literals")
 
 
 def clean_diagnostics(diagnostic: DataFrame) -> DataFrame:
     """Normalise code and message for the run report."""
-    cleaned = F.trim(F.regexp_replace("message", text.CONTROL, " "))
+    spaced = F.regexp_replace("message", text.CONTROL, " ")
+    cleaned = F.regexp_replace(spaced, r"^\p{Z}+|\p{Z}+$", "")
     return diagnostic.withColumn(
         "code", F.when(F.col("code").rlike(c.TOKEN), F.col("code")).otherwise(F.lit("stage.invalid_diagnostic_code"))
     ).withColumn("message", F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("stage diagnostic unavailable")))
