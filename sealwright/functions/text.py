@@ -21,7 +21,6 @@ def may_break_nfc(text: Column) -> Column:
     return text.rlike(_BEYOND_LATIN)
 
 
-@F.pandas_udf("boolean")
 def _is_nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
@@ -29,7 +28,6 @@ def _is_nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda text: unicodedata.is_normalized("NFC", text), na_action="ignore").astype("boolean")
 
 
-@F.pandas_udf("string")
 def _nfc_casefold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
@@ -39,12 +37,14 @@ def _nfc_casefold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def only_not_nfc(df: DataFrame, column: str) -> DataFrame:
     """Rows whose text is not NFC; plain Latin text never leaves the JVM."""
-    return df.filter(may_break_nfc(F.col(column))).filter(~_is_nfc(F.col(column)))
+    is_nfc = F.pandas_udf(_is_nfc, "boolean")
+    return df.filter(may_break_nfc(F.col(column))).filter(~is_nfc(F.col(column)))
 
 
 def with_folded(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the NFC case-folded text: ASCII by ``lower``, the rest by a batch function."""
+    nfc_casefold = F.pandas_udf(_nfc_casefold, "string")
     ascii_only = ~F.col(column).rlike(r"[^\x00-\x7F]")
     plain = df.filter(ascii_only).withColumn(name, F.lower(column))
-    other = df.filter(~ascii_only).withColumn(name, _nfc_casefold(F.col(column)))
+    other = df.filter(~ascii_only).withColumn(name, nfc_casefold(F.col(column)))
     return plain.unionByName(other)

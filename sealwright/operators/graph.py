@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract as c
@@ -32,16 +32,16 @@ def node_id(kind: str, identity: Mapping[str, ids.Value]) -> Column:
     return ids.content_id(kind, ids.scoped_identity(kind, identity))
 
 
-def with_node(df: DataFrame, kind: str, identity: Mapping[str, ids.Value], label: Column, **fields: Column) -> DataFrame:
-    """Project records to nodes of one kind."""
+def with_node(df: DataFrame, kind: Column, identity_json: Column, label: Column, **fields: Column) -> DataFrame:
+    """Project records to nodes; ``identity_json`` is the committed preimage."""
     return (
         df.select(
             "graph_id",
             "snapshot_id",
-            F.lit(kind).alias("kind"),
+            kind.alias("kind"),
             label.alias("label"),
             *[fields.get(name, _null()).cast("string").alias(name) for name in _OPTIONAL],
-            ids.scoped_identity(kind, identity).alias("identity_json"),
+            identity_json.alias("identity_json"),
         )
         .withColumn("identity_sha256", F.sha2("identity_json", 256))
         .withColumn("node_id", F.concat("kind", F.lit(":sha256:"), "identity_sha256"))
@@ -107,85 +107,62 @@ def _columns(*names: str) -> dict[str, Column]:
     return {name: F.col(name) for name in names}
 
 
-def _snapshot() -> dict:
-    return _columns("snapshot_id")
-
-
-def _source() -> dict:
-    return _columns("path", "sha256", "snapshot_id")
-
+_SNAPSHOT = ("snapshot_id",)
+_SOURCE = ("path", "sha256", "snapshot_id")
+_STAGE = ("digest", "snapshot_id", "stage", "status")
+_OUTPUT = ("kind", "path", "sha256", "size", "snapshot_id", "stage")
+_LOG = ("path", "sha256", "size", "snapshot_id", "stage", "stage_node_id")
 
-def _stage() -> dict:
-    return _columns("digest", "snapshot_id", "stage", "status")
 
-
-def _output() -> dict:
-    return _columns("kind", "path", "sha256", "size", "snapshot_id", "stage")
-
-
-def _api(kind: str) -> dict:
-    own = {
+def _api_json() -> Column:
+    common = {
         "adapter": c.SYMBOL_ADAPTER,
         "artifact_id": ids.artifact_id(F.col("path"), F.col("sha256"), c.SYMBOL_PAYLOAD_KIND),
         "path": F.concat(F.lit("artifacts/api/"), "path"),
         "provenance": c.VERIFIED,
-        "sha256": F.col("sha256"),
-        "snapshot_id": F.col("snapshot_id"),
-    }
-    return own | ({"kind": F.col("kind")} if kind == "api-artifact" else {})
-
-
-def _symbol() -> dict:
-    return {
-        "adapter": c.SYMBOL_ADAPTER,
-        "column": F.col("column"),
-        "entity_kind": F.col("entity_kind"),
-        "fragment": F.col("html_anchor"),
-        "html_artifact_id": F.col("html_artifact_id"),
-        "label": F.col("qualified_name"),
-        "line": F.col("line"),
-        "path": F.concat(F.lit("artifacts/api/"), "html_path"),
-        "refid": F.col("refid"),
-        "snapshot_id": F.col("snapshot_id"),
-        "source_path": F.col("source_path"),
-    }
-
-
-def _coverage(namespace: str) -> dict:
-    return {
-        "adapter_schema": c.schema_id("coverage-report-tree.v1", namespace),
-        "artifact_id": ids.coverage_artifact_id(F.col("path"), F.col("tree_sha256")),
-        "entry_point": F.col("entry_point"),
-        "path": F.concat(F.lit("artifacts/coverage/"), "path"),
-        "provenance": F.col("provenance"),
-        "report_entry_point": F.col("report_entry_point"),
-        "report_tree_sha256": F.col("tree_sha256"),
-        "sha256": F.col("sha256"),
-        "snapshot_id": F.col("snapshot_id"),
+        **_columns("sha256", "snapshot_id"),
     }
+    return F.when(F.col("kind") == "api-page", ids.scoped_identity("api-page", common)).otherwise(
+        ids.scoped_identity("api-artifact", common | _columns("kind"))
+    )
 
 
-def _sidecar() -> dict:
-    return {
-        "artifact_id": ids.sidecar_id(F.col("kind"), F.col("path"), F.col("sha256")),
-        "kind": F.col("kind"),
-        "path": F.concat(F.lit("artifacts/coverage-sidecars/"), "kind", F.lit("/"), "path"),
-        "sha256": F.col("sha256"),
-        "size": F.col("size"),
-        "snapshot_id": F.col("snapshot_id"),
-        "source_path": F.col("path"),
-    }
+def _symbol_json() -> Column:
+    return ids.scoped_identity(
+        "symbol",
+        {
+            "adapter": c.SYMBOL_ADAPTER,
+            "fragment": F.col("html_anchor"),
+            "label": F.col("qualified_name"),
+            "path": F.concat(F.lit("artifacts/api/"), "html_path"),
+            **_columns("column", "entity_kind", "html_artifact_id", "line", "refid", "snapshot_id", "source_path"),
+        },
+    )
 
 
-def _log() -> dict:
-    return _columns("path", "sha256", "size", "snapshot_id", "stage", "stage_node_id")
+def _coverage_json(kind: Column, namespace: str) -> Column:
+    return ids.scoped_identity(
+        kind,
+        {
+            "adapter_schema": c.schema_id("coverage-report-tree.v1", namespace),
+            "artifact_id": ids.coverage_artifact_id(F.col("path"), F.col("tree_sha256")),
+            "path": F.concat(F.lit("artifacts/coverage/"), "path"),
+            "report_tree_sha256": F.col("tree_sha256"),
+            **_columns("entry_point", "provenance", "report_entry_point", "sha256", "snapshot_id"),
+        },
+    )
 
 
-_COVERAGE_KIND = (
-    ("coverage-report", "entry_point"),
-    ("coverage-page", "not entry_point and endswith(path, '.html')"),
-    ("coverage-summary", "not entry_point and not endswith(path, '.html')"),
-)
+def _sidecar_json() -> Column:
+    return ids.scoped_identity(
+        "coverage-sidecar",
+        {
+            "artifact_id": ids.sidecar_id(F.col("kind"), F.col("path"), F.col("sha256")),
+            "path": F.concat(F.lit("artifacts/coverage-sidecars/"), "kind", F.lit("/"), "path"),
+            "source_path": F.col("path"),
+            **_columns("kind", "sha256", "size", "snapshot_id"),
+        },
+    )
 
 
 # --- assembly ---------------------------------------------------------------
@@ -193,133 +170,141 @@ _COVERAGE_KIND = (
 def assemble(records: Mapping[str, DataFrame], namespace: str = c.DEFAULT_NAMESPACE) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of all graphs from their record tables.
 
-    ``records`` may hold ``snapshot``, ``snapshot_file``, ``stage_result``,
-    ``stage_output``, ``api_artifact``, ``symbol_mapping``, ``coverage_artifact``,
-    ``coverage_sidecar``, ``coverage_relation`` and ``producer_log``; each row has
-    ``graph_id`` and ``snapshot_id``, and sizes are decimal text.
+    ``records`` holds ``snapshot`` and ``snapshot_file`` and may hold
+    ``stage_result``, ``stage_output``, ``api_artifact``, ``symbol_mapping``,
+    ``coverage_artifact``, ``coverage_sidecar``, ``coverage_relation`` and
+    ``producer_log``.  Rows have ``graph_id`` and ``snapshot_id``; sizes are
+    decimal text.  Attribution to stages is one join for all kinds of records.
     """
     nodes: list[DataFrame] = []
     edges: list[DataFrame] = []
-    snapshot_node = node_id("snapshot", _snapshot())
+    described: list[DataFrame] = []
+    credited: list[DataFrame] = []
 
-    def describe(df: DataFrame, own: Column) -> None:
-        edges.append(with_edge(df, "describes-snapshot", own, snapshot_node))
+    def add(rows: DataFrame) -> None:
+        nodes.append(rows)
+        described.append(rows.select("graph_id", "snapshot_id", "node_id"))
 
-    def generated(df: DataFrame, own: Column, stage: str | None) -> None:
-        """Credit records to their stage result, if the graph has one."""
-        stages = records.get("stage_result")
-        if stages is None:
-            return
-        results = stages.select("graph_id", F.col("stage").alias("_stage"), node_id("stage-result", _stage()).alias("_result"))
-        wanted = df.withColumn("_own", own).withColumn("_stage", F.lit(stage) if stage else F.col("stage"))
-        edges.append(with_edge(wanted.join(results, ["graph_id", "_stage"]), "generated-by-stage", F.col("_own"), F.col("_result")))
+    def credit(df: DataFrame, json: Column, kind: Column, stage: Column) -> None:
+        own = F.concat(kind, F.lit(":sha256:"), F.sha2(json, 256))
+        credited.append(df.select("graph_id", own.alias("node_id"), stage.alias("stage")))
 
-    nodes.append(with_node(records["snapshot"], "snapshot", _snapshot(), F.col("snapshot_id")))
-
-    files = None
-    if "snapshot_file" in records:
-        files = records["snapshot_file"].filter("kind = 'file'")
-        nodes.append(with_node(files, "source-file", _source(), F.col("path"), **_columns("path", "sha256")))
-        describe(files, node_id("source-file", _source()))
+    nodes.append(
+        with_node(
+            records["snapshot"], F.lit("snapshot"), ids.scoped_identity("snapshot", _columns(*_SNAPSHOT)), F.col("snapshot_id")
+        )
+    )
+    files = records["snapshot_file"].filter("kind = 'file'")
+    file_json = ids.scoped_identity("source-file", _columns(*_SOURCE))
+    add(with_node(files, F.lit("source-file"), file_json, F.col("path"), **_columns("path", "sha256")))
+    sources = files.select(
+        "graph_id", F.col("path").alias("source_path"), node_id("source-file", _columns(*_SOURCE)).alias("_source")
+    )
 
+    results = None
     if "stage_result" in records:
         stages = records["stage_result"]
-        nodes.append(with_node(stages, "stage-result", _stage(), F.col("stage"), sha256=F.col("digest"), stage_status=F.col("status")))
-        describe(stages, node_id("stage-result", _stage()))
+        stage_json = ids.scoped_identity("stage-result", _columns(*_STAGE))
+        add(with_node(stages, F.lit("stage-result"), stage_json, F.col("stage"), sha256=F.col("digest"), stage_status=F.col("status")))
+        results = stages.select(
+            "graph_id", "stage", "status", "executed", node_id("stage-result", _columns(*_STAGE)).alias("stage_node_id")
+        )
 
     if "stage_output" in records:
-        status = records["stage_result"].select("graph_id", "stage", "status")
-        outputs = records["stage_output"].join(status, ["graph_id", "stage"])
-        own = node_id("stage-output", _output())
-        nodes.append(
-            with_node(outputs, "stage-output", _output(), F.col("path"), stage_status=F.col("status"), **_columns("path", "sha256"))
+        outputs = records["stage_output"].join(results.select("graph_id", "stage", "status"), ["graph_id", "stage"])
+        output_json = ids.scoped_identity("stage-output", _columns(*_OUTPUT))
+        add(
+            with_node(
+                outputs, F.lit("stage-output"), output_json, F.col("path"),
+                stage_status=F.col("status"), **_columns("path", "sha256"),
+            )
         )
-        generated(outputs, own, None)
-        describe(outputs, own)
+        credit(records["stage_output"], output_json, F.lit("stage-output"), F.col("stage"))
 
-    pages = None
+    symbols = None
     if "api_artifact" in records:
-        for kind, rows in (
-            ("api-page", records["api_artifact"].filter("kind = 'api-page'")),
-            ("api-artifact", records["api_artifact"].filter("kind <> 'api-page'")),
-        ):
-            own = node_id(kind, _api(kind))
+        api = records["api_artifact"]
+        kind = F.when(F.col("kind") == "api-page", "api-page").otherwise("api-artifact")
+        add(
+            with_node(
+                api, kind, _api_json(), F.col("path"), path=F.concat(F.lit("artifacts/api/"), "path"),
+                sha256=F.col("sha256"), provenance=F.lit(c.VERIFIED),
+            )
+        )
+        credit(api, _api_json(), kind, F.lit(c.SYMBOL_STAGE))
+        pages = api.filter("kind = 'api-page'").select(
+            "graph_id",
+            F.col("path").alias("html_path"),
+            F.concat(F.lit("api-page:sha256:"), F.sha2(_api_json(), 256)).alias("_page"),
+            ids.artifact_id(F.col("path"), F.col("sha256"), c.SYMBOL_PAYLOAD_KIND).alias("html_artifact_id"),
+        )
+        if "symbol_mapping" in records:
+            mapped = records["symbol_mapping"].join(pages, ["graph_id", "html_path"]).join(sources, ["graph_id", "source_path"])
             nodes.append(
                 with_node(
-                    rows, kind, _api(kind), F.col("path"), path=F.concat(F.lit("artifacts/api/"), "path"),
-                    sha256=F.col("sha256"), provenance=F.lit(c.VERIFIED),
-                )
-            )
-            describe(rows, own)
-            generated(rows, own, c.SYMBOL_STAGE)
-            if kind == "api-page":
-                pages = rows.select(
-                    "graph_id", F.col("path").alias("html_path"), own.alias("_page"),
-                    ids.artifact_id(F.col("path"), F.col("sha256"), c.SYMBOL_PAYLOAD_KIND).alias("html_artifact_id"),
+                    mapped, F.lit("symbol"), _symbol_json(), F.col("qualified_name"),
+                    path=F.concat(F.lit("artifacts/api/"), "html_path"), fragment=F.col("html_anchor"),
                 )
-
-    sources = files.select("graph_id", F.col("path").alias("source_path"), node_id("source-file", _source()).alias("_source")) if files is not None else None
-    symbols = None
-    if "symbol_mapping" in records and pages is not None and sources is not None:
-        mapped = records["symbol_mapping"].join(pages, ["graph_id", "html_path"]).join(sources, ["graph_id", "source_path"])
-        own = node_id("symbol", _symbol())
-        nodes.append(
-            with_node(
-                mapped, "symbol", _symbol(), F.col("qualified_name"),
-                path=F.concat(F.lit("artifacts/api/"), "html_path"), fragment=F.col("html_anchor"),
             )
-        )
-        pairs = mapped.select("graph_id", "_page", "_source").distinct()
-        edges.append(with_edge(pairs, "documents-source", F.col("_page"), F.col("_source")))
-        edges.append(with_edge(mapped, "documents-symbol", F.col("_page"), own))
-        symbols = mapped.select("graph_id", "source_path", F.col("qualified_name").alias("symbol"), own.alias("_symbol"))
+            own = F.concat(F.lit("symbol:sha256:"), F.sha2(_symbol_json(), 256))
+            pairs = mapped.select("graph_id", "_page", "_source").distinct()
+            edges.append(with_edge(pairs, "documents-source", F.col("_page"), F.col("_source")))
+            edges.append(with_edge(mapped, "documents-symbol", F.col("_page"), own))
+            symbols = mapped.select("graph_id", "source_path", F.col("qualified_name").alias("symbol"), own.alias("_symbol"))
 
     if "coverage_artifact" in records:
         artifacts = records["coverage_artifact"]
-        reports = []
-        for kind, condition in _COVERAGE_KIND:
-            rows = artifacts.filter(condition)
-            own = node_id(kind, _coverage(namespace))
-            nodes.append(
-                with_node(
-                    rows, kind, _coverage(namespace), F.col("path"), path=F.concat(F.lit("artifacts/coverage/"), "path"),
-                    **_columns("sha256", "provenance"),
-                )
+        kind = (
+            F.when(F.col("entry_point"), "coverage-report")
+            .when(F.col("path").endswith(".html"), "coverage-page")
+            .otherwise("coverage-summary")
+        )
+        json = _coverage_json(kind, namespace)
+        add(
+            with_node(
+                artifacts, kind, json, F.col("path"), path=F.concat(F.lit("artifacts/coverage/"), "path"),
+                **_columns("sha256", "provenance"),
             )
-            describe(rows, own)
-            generated(rows, own, c.COVERAGE_STAGE)
-            reports.append(
-                rows.select(
-                    "graph_id", F.col("path").alias("report_path"), own.alias("_report"),
-                    ids.coverage_artifact_id(F.col("path"), F.col("tree_sha256")).alias("report_artifact_id"),
-                )
+        )
+        credit(artifacts, json, kind, F.lit(c.COVERAGE_STAGE))
+        if "coverage_relation" in records:
+            reports = artifacts.select(
+                "graph_id",
+                F.col("path").alias("report_path"),
+                F.concat(kind, F.lit(":sha256:"), F.sha2(json, 256)).alias("_report"),
+                ids.coverage_artifact_id(F.col("path"), F.col("tree_sha256")).alias("report_artifact_id"),
             )
-        if "coverage_relation" in records and sources is not None:
-            edges += _relation_edges(records["coverage_relation"], union(*reports), sources, symbols)
+            edges += _relation_edges(records["coverage_relation"], reports, sources, symbols)
 
     if "coverage_sidecar" in records:
         sidecars = records["coverage_sidecar"]
-        nodes.append(
+        add(
             with_node(
-                sidecars, "coverage-sidecar", _sidecar(), F.col("path"), sha256=F.col("sha256"),
+                sidecars, F.lit("coverage-sidecar"), _sidecar_json(), F.col("path"), sha256=F.col("sha256"),
                 path=F.concat(F.lit("artifacts/coverage-sidecars/"), "kind", F.lit("/"), "path"),
             )
         )
-        describe(sidecars, node_id("coverage-sidecar", _sidecar()))
-        generated(sidecars, node_id("coverage-sidecar", _sidecar()), c.COVERAGE_STAGE)
+        credit(sidecars, _sidecar_json(), F.lit("coverage-sidecar"), F.lit(c.COVERAGE_STAGE))
 
     if "producer_log" in records:
-        executed = records["stage_result"].filter("executed").select(
-            "graph_id", "stage", node_id("stage-result", _stage()).alias("stage_node_id")
-        )
+        executed = results.filter("executed").select("graph_id", "stage", "stage_node_id")
         logs = records["producer_log"].join(executed, ["graph_id", "stage"])
-        own = node_id("producer-log", _log())
-        nodes.append(
-            with_node(logs, "producer-log", _log(), F.col("path"), path=F.concat(F.lit("artifacts/logs/"), "path"), sha256=F.col("sha256"))
+        log_json = ids.scoped_identity("producer-log", _columns(*_LOG))
+        add(
+            with_node(
+                logs, F.lit("producer-log"), log_json, F.col("path"),
+                path=F.concat(F.lit("artifacts/logs/"), "path"), sha256=F.col("sha256"),
+            )
         )
+        own = node_id("producer-log", _columns(*_LOG))
         edges.append(with_edge(logs, "has-log", F.col("stage_node_id"), own))
-        describe(logs, own)
 
+    edges.append(
+        with_edge(union(*described), "describes-snapshot", F.col("node_id"), node_id("snapshot", _columns(*_SNAPSHOT)))
+    )
+    if results is not None and credited:
+        owned = union(*credited).join(results.select("graph_id", "stage", "stage_node_id"), ["graph_id", "stage"])
+        edges.append(with_edge(owned, "generated-by-stage", F.col("node_id"), F.col("stage_node_id")))
     return union(*nodes), union(*edges)
 
 
@@ -348,84 +333,77 @@ def _relation_edges(
 
 # --- field audits -----------------------------------------------------------
 
-def _by_kind(make) -> Column:
-    """One condition per node kind; unknown kinds yield false."""
-    chain = None
-    for kind, rule in c.NODE_RULES.items():
-        own = make(kind, rule)
-        if own is None:
-            continue
-        chain = F.when(F.col("kind") == kind, own) if chain is None else chain.when(F.col("kind") == kind, own)
-    return F.coalesce(chain.otherwise(F.lit(False)), F.lit(False))
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The fixed rules over node kinds, one row per kind."""
+    schema = "kind string, fields array<string>, prefix string, members array<string>"
+    rows = [
+        (kind, list(rule["fields"]), rule["prefix"], list(rule["identity"])) for kind, rule in c.NODE_RULES.items()
+    ]
+    return spark.createDataFrame(rows, schema)
 
 
-def _relative(prefix: str) -> Column:
-    return F.expr(f"substring(path, {len(prefix) + 1})")
-
-
-def _label_broken(kind: str, rule: dict) -> Column:
-    label = F.col("label")
-    if kind == "snapshot":
-        return ~label.eqNullSafe(F.col("snapshot_id"))
-    if kind == "stage-result":
-        return ~F.coalesce(label.rlike(c.TOKEN), F.lit(False))
-    if kind == "symbol":
-        return label.isNull() | (label == "") | text.has_control(label)
-    if kind == "coverage-sidecar":
-        return ~F.regexp_replace(_relative(rule["prefix"]), "^[^/]*/", "").eqNullSafe(label)
-    return ~_relative(rule["prefix"]).eqNullSafe(label)
+_MEMBERS = ("digest", "fragment", "label", "path", "provenance", "sha256", "snapshot_id", "stage", "status")
 
 
 def node_field_audit(node: DataFrame) -> DataFrame:
     """Which fields a kind carries, its path prefix and label, and its identity object.
 
-    The rule table has thirteen rows and becomes one expression; no join.
+    The rule table has one row per node kind, thirteen in all, and is broadcast.
     """
     code = "artifact_graph.identity_mismatch"
-    identity = F.get_json_object("identity_json", "$.identity")
-
-    def wrong_fields(kind: str, rule: dict) -> Column:
-        wrong = [
-            F.col(name).isNull() if name in rule["fields"] else F.col(name).isNotNull() for name in _OPTIONAL
-        ]
-        return F.exists(F.array(*wrong), lambda item: item)
-
-    def wrong_prefix(kind: str, rule: dict) -> Column | None:
-        return ~F.coalesce(F.col("path").startswith(rule["prefix"]), F.lit(False)) if rule["prefix"] is not None else None
-
-    def wrong_path(kind: str, rule: dict) -> Column | None:
-        return paths.breaks_profile(_relative(rule["prefix"] or "")) if "path" in rule["fields"] else None
-
-    def wrong_members(kind: str, rule: dict) -> Column:
-        keys = F.array(*[F.lit(key) for key in rule["identity"]])
-        return ~F.array_sort(F.json_object_keys(identity)).eqNullSafe(keys)
-
-    def wrong_values(kind: str, rule: dict) -> Column | None:
-        pairs = [(n, F.col(n)) for n in ("sha256", "provenance", "snapshot_id") if n in rule["identity"]]
-        if "path" in rule["identity"]:
-            pairs.append(("path", _relative(rule["prefix"]) if kind == "producer-log" else F.col("path")))
-        if kind == "stage-result":
-            pairs += [("digest", F.col("sha256")), ("stage", F.col("label")), ("status", F.col("stage_status"))]
-        if kind == "symbol":
-            pairs += [("label", F.col("label")), ("fragment", F.col("fragment"))]
-        off = [~F.get_json_object("identity_json", f"$.identity.{member}").eqNullSafe(value) for member, value in pairs]
-        return F.exists(F.array(*off), lambda item: item)
-
-    needs_digest = ~F.col("kind").isin("snapshot", "symbol")
+    kind, label, path = F.col("kind"), F.col("label"), F.col("path")
+    known = F.col("fields").isNotNull()
+    rows = (
+        node.join(F.broadcast(rule_table(node.sparkSession)), "kind", "left")
+        .withColumn("_identity", F.get_json_object("identity_json", "$.identity"))
+        .withColumn("_value", F.from_json("_identity", ", ".join(f"{name} string" for name in _MEMBERS)))
+        .withColumn("_rest", F.expr("substring(path, length(coalesce(prefix, '')) + 1)"))
+    )
+    rest, member = F.col("_rest"), F.col("_value")
+
+    def carries(name: str) -> Column:
+        return F.array_contains("fields", name)
+
+    def differs(name: str, value: Column, wanted: Column) -> Column:
+        return wanted & ~member[name].eqNullSafe(value)
+
+    def listed(name: str) -> Column:
+        return F.array_contains("members", name)
+
+    wrong_label = (
+        F.when(kind == "snapshot", ~label.eqNullSafe(F.col("snapshot_id")))
+        .when(kind == "stage-result", ~F.coalesce(label.rlike(c.TOKEN), F.lit(False)))
+        .when(kind == "symbol", label.isNull() | (label == "") | text.has_control(label))
+        .when(kind == "coverage-sidecar", ~F.regexp_replace(rest, "^[^/]*/", "").eqNullSafe(label))
+        .otherwise(~rest.eqNullSafe(label))
+    )
+    wrong_value = (
+        differs("sha256", F.col("sha256"), listed("sha256"))
+        | differs("provenance", F.col("provenance"), listed("provenance"))
+        | differs("snapshot_id", F.col("snapshot_id"), listed("snapshot_id"))
+        | differs("path", F.when(kind == "producer-log", rest).otherwise(path), listed("path"))
+        | differs("digest", F.col("sha256"), kind == "stage-result")
+        | differs("stage", label, kind == "stage-result")
+        | differs("status", F.col("stage_status"), kind == "stage-result")
+        | differs("label", label, kind == "symbol")
+        | differs("fragment", F.col("fragment"), kind == "symbol")
+    )
+    wrong_fields = F.exists(
+        F.array(*[F.col(name).isNotNull() != carries(name) for name in _OPTIONAL]), lambda off: off
+    )
     digest_ok = F.coalesce(F.col("sha256").rlike(c.HEX64), F.lit(False))
-    own = F.col("node_id")
     return faults(
-        node, "graph_id", 0, own,
-        (~F.col("kind").isin(*c.NODE_KINDS), "artifact_graph.invalid_node_kind", F.col("kind")),
-        (F.col("kind").isin(*c.NODE_KINDS) & needs_digest & ~digest_ok, "artifact_graph.invalid_digest", None),
-        (_by_kind(wrong_fields), code, "fields"),
-        (_by_kind(wrong_prefix), code, "prefix"),
-        (_by_kind(wrong_path), "artifact_graph.invalid_path", F.col("path")),
-        (_by_kind(_label_broken), code, "label"),
+        rows, "graph_id", 0, F.col("node_id"),
+        (~known, "artifact_graph.invalid_node_kind", kind),
+        (known & ~kind.isin("snapshot", "symbol") & ~digest_ok, "artifact_graph.invalid_digest", None),
+        (known & wrong_fields, code, "fields"),
+        (known & F.col("prefix").isNotNull() & ~F.coalesce(path.startswith(F.col("prefix")), F.lit(False)), code, "prefix"),
+        (known & carries("path") & paths.breaks_profile(rest), "artifact_graph.invalid_path", path),
+        (known & wrong_label, code, "label"),
         (F.col("provenance").isNotNull() & ~F.col("provenance").isin(*c.PROVENANCE), code, "provenance"),
         (F.col("stage_status").isNotNull() & ~F.col("stage_status").isin(*c.STAGE_STATES), code, "stage_status"),
-        (_by_kind(wrong_members), code, "identity members"),
-        (_by_kind(wrong_values), code, "identity values"),
+        (known & ~F.array_sort(F.json_object_keys("_identity")).eqNullSafe(F.col("members")), code, "identity members"),
+        (known & wrong_value, code, "identity values"),
     )
 
 

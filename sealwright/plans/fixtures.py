@@ -8,15 +8,22 @@ arithmetic on keys.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut_lineage
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 VIEWS: dict[str, str] = {}
+# views that Spark builds by an operator instead of by their SQL text; they are
+# written once per session and folder, as a stored graph would be
+BUILDERS: dict[str, Callable[[Fixtures], DataFrame]] = {}
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 _SOURCE = re.compile(r"\b(from|join)(\s+)([a-z_]+)\b")
 
@@ -37,13 +44,21 @@ class Fixtures:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._frames:
-            if name in TABLES:
+            if name in BUILDERS:
+                frame = self._stored(name)
+            elif name in TABLES:
                 frame = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
             else:
                 frame = self.sql(VIEWS[name])
             self._frames[name] = frame
         return self._frames[name]
 
+    def _stored(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self._folder, name)
+        if key not in _STORED:
+            _STORED[key] = cut_lineage(BUILDERS[name](self))
+        return _STORED[key]
+
     def sql(self, text: str) -> DataFrame:
         known = [name for _, _, name in _SOURCE.findall(text) if name in TABLES or name in VIEWS]
         escaped = text.replace("{", "{{").replace("}", "}}")
