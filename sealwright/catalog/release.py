@@ -71,7 +71,7 @@ view("advertised", "select distinct o_custkey as project, name, schema from (sel
     f"when {n} then '{name}'" for n, name in enumerate(SUPPORTED)) + " else 'extra' end as name, case when o_orderkey % 77 = 0 then 'v9' else " + "case o_orderkey % 7 " + " ".join(
     f"when {n} then '{schemas[0]}'" for n, schemas in enumerate(SUPPORTED.values())) + " else 'none' end end as schema from orders) t")
 view("envelope", f"""
-select c_custkey as bundle_key, case when c_custkey % 53 = 0 then replace(t, '","key_id"', '", "key_id"') when c_custkey % 59 = 0 then replace(t, ',"signature"', ',"x":1,"signature"') else t end as envelope_json
+select c_custkey as bundle_key, case when c_custkey % 53 = 0 then replace(t, '}},"key_id"', '}}, "key_id"') when c_custkey % 59 = 0 then replace(t, ',"signature"', ',"x":1,"signature"') else t end as envelope_json
 from (select c_custkey, '{{"algorithm":"' || case when c_custkey % 11 = 0 then 'rsa' else 'ed25519' end || '","binding":{{"bundle_id":"bundle:sha256:' || sha2('b' || c_custkey, 256)
   || '","checksums_sha256":"' || sha2('c' || c_custkey, 256) || '","manifest_sha256":"' || case when c_custkey % 7 = 0 then sha2('x', 256) else sha2('m' || c_custkey, 256) end
   || '","payload_sha256":"' || case when c_custkey % 17 = 0 then 'short' else sha2('p' || c_custkey, 256) end || '","statement_type":"review.v1"}},"key_id":"n' || c_nationkey
