@@ -256,7 +256,7 @@ select graph_id, snapshot_id,
        case substring(identity_sha256, 1, 1) when 'a' then sha2(identity_sha256, 256) else identity_sha256 end as identity_sha256,
        case substring(identity_sha256, 1, 1) when 'b' then null when 'c' then replace(identity_json, '"snapshot_id"', '"snapshot"') else identity_json end as identity_json
 from node_record
-""")
+""", stored=True)
 view("edge_forged", """
 select graph_id, case substring(edge_id, 13, 1) when '0' then edge_id || '0' else edge_id end as edge_id,
        case substring(edge_id, 13, 1) when '1' then 'mentions' else kind end as kind, source, target,
@@ -265,7 +265,7 @@ select graph_id, case substring(edge_id, 13, 1) when '0' then edge_id || '0' els
        case substring(edge_id, 13, 1) when '6' then 0 else line end as line,
        case substring(edge_id, 13, 1) when '7' then 'é' else symbol end as symbol
 from edge_record
-""")
+""", stored=True)
 # plain graph of keys with rendered pages added
 view("graph_node_nav", """
 select graph_id, kind, node_key, label from graph_node

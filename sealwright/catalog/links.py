@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import links
-from ..plans.fixtures import Fixtures, view
+from ..plans.fixtures import BUILDERS, Fixtures, view
 from . import query
 
 # every form of reference in turn
@@ -49,8 +49,9 @@ union all select 'talk', 'c' || conv_id || '.html', role from conversations
 """)
 
 
-def _talk_parts(v: Fixtures):
-    return links.page_parts(v.html_talk.withColumnRenamed("html_part", "html"))
+# pages are parsed once and their parts stored, as several checks read them
+BUILDERS["talk_part"] = lambda v: links.page_parts(v.html_talk.withColumnRenamed("html_part", "html"))
+BUILDERS["talk_resolved"] = lambda v: links.resolve_links(links.links(v.talk_part))
 
 
 def _talk_payload(v: Fixtures):
@@ -81,8 +82,7 @@ select l.bundle_id as scope_id, 90 as check_rank, 'link.missing_target' as code,
 from talk_link l where not exists (select 1 from talk_link p where p.path = l.target)
 """)
 def _(v: Fixtures):
-    resolved = links.resolve_links(links.links(_talk_parts(v)))
-    return links.link_target_check(resolved, _talk_payload(v))
+    return links.link_target_check(v.talk_resolved, _talk_payload(v))
 
 
 @query("link_fragment_check", """
@@ -91,9 +91,7 @@ from talk_link l where exists (select 1 from talk_link p where p.path = l.target
   and not exists (select 1 from talk_anchor a where a.path = l.target and a.name = l.fragment)
 """)
 def _(v: Fixtures):
-    parts = _talk_parts(v)
-    resolved = links.resolve_links(links.links(parts))
-    return links.link_fragment_check(resolved, _talk_payload(v), links.anchors(parts))
+    return links.link_fragment_check(v.talk_resolved, _talk_payload(v), links.anchors(v.talk_part))
 
 
 @query("duplicate_anchors", """
@@ -101,7 +99,7 @@ select bundle_id as scope_id, 80 as check_rank, 'link.ambiguous_fragment' as cod
 from talk_anchor group by bundle_id, path, name having count(*) > 1
 """)
 def _(v: Fixtures):
-    return links.duplicate_anchors(links.anchors(_talk_parts(v)))
+    return links.duplicate_anchors(links.anchors(v.talk_part))
 
 
 @query("fragment_resolves_once", """
@@ -119,4 +117,4 @@ def _(v: Fixtures):
     wanted = v.talk_link.select("bundle_id", F.col("target").alias("path"), "fragment").unionByName(
         v.talk_link.select("bundle_id", "path", F.lit("user").alias("fragment"))
     )
-    return links.fragment_resolves_once(wanted, links.anchors(_talk_parts(v)), "bundle_id")
+    return links.fragment_resolves_once(wanted, links.anchors(v.talk_part), "bundle_id")

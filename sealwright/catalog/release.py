@@ -27,7 +27,7 @@ select run_id, case when run_id % 101 = 0 then 'paused' else state end as state,
        case when run_id % 7 = 4 and bundle_id is not null and run_id % 23 <> 0 then 'releases/' || bundle_id when run_id % 107 = 0 then 'releases/' || bundle_id end as prior_current_target,
        case when run_id % 7 in (1, 2, 3) and bundle_id is not null and run_id % 29 <> 0 then intended_current_target end as intended_current_target
 from publication
-""")
+""", stored=True)
 view("process_result", """
 select o_orderkey as result_id, case o_orderkey % 3 when 0 then 'plan' when 1 then 'build' else 'verify' end as command,
        case when o_orderkey % 31 = 0 then 'recovery' when o_orderkey % 3 = 1 and o_orderkey % 7 >= 4 and o_orderkey % 37 <> 0 then 'recovery' else 'run' || o_orderkey end as run_id,
@@ -41,7 +41,7 @@ select o_orderkey as result_id, case o_orderkey % 3 when 0 then 'plan' when 1 th
        o_orderkey % 13 <> 0 as has_configuration, o_orderkey % 17 <> 0 as has_source, o_orderkey % 3 = 0 and o_orderkey % 5 <> 0 as has_plan,
        cast(case when o_orderkey % 47 = 0 then 2 when o_orderkey % 5 = 0 then 1 else 0 end as int) as exit_code
 from orders
-""")
+""", stored=True)
 view("policy_text", f"""
 select c_custkey as project, '{{"contract_assets":{{' || case when c_custkey % 9 = 1 then '"b.json":"' || sha2('b', 256) || '","a.json":"' || sha2('a', 256) || '"' when c_custkey % 9 = 2 then '"a.json":"' || sha2('a', 256) || '"'
      when c_custkey % 9 = 3 then '"a.json":"' || sha2('a', 256) || '","b.json":"x"' else '"a.json":"' || sha2('a', 256) || '","b.json":"' || sha2('b', 256) || '"' end
@@ -77,7 +77,7 @@ from (select c_custkey, '{{"algorithm":"' || case when c_custkey % 11 = 0 then '
   || '","payload_sha256":"' || case when c_custkey % 17 = 0 then 'short' else sha2('p' || c_custkey, 256) end || '","statement_type":"review.v1"}},"key_id":"n' || c_nationkey
   || '","public_key":' || case when c_custkey % 2 = 0 then 'null' else '"' || substring(sha2('k' || c_custkey, 256), 1, 42) || 'A"' end
   || ',"schema":"' || case when c_custkey % 13 = 0 then 'v0' else '{SIGNATURE_SCHEMA}' end || '","signature":"' || sha2('s' || c_custkey, 256) || substring(sha2('t' || c_custkey, 256), 1, 21) || 'Q"}}' as t, c_nationkey from customer) e
-""")
+""", stored=True)
 view("bound_bundle", """
 select c_custkey as bundle_key, 'bundle:sha256:' || sha2('b' || c_custkey, 256) as bundle_id, sha2('c' || c_custkey, 256) as checksums_sha256,
        sha2('m' || c_custkey, 256) as manifest_sha256, sha2('p' || c_custkey, 256) as payload_sha256 from customer

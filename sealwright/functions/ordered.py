@@ -80,11 +80,8 @@ def _blocks(listing: DataFrame, scope: Sequence[str], separator: str) -> DataFra
 
         def flush() -> pa.RecordBatch:
             nonlocal slot
-            row = [[value] for value in (*owner, slot, separator.join(texts))]
             slot += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(value, type=field.type) for value, field in zip(row, arrow)], schema=arrow
-            )
+            return _arrow_row((*owner, slot, separator.join(texts)), arrow)
 
         for batch in batches:
             columns = [column.to_pylist() for column in batch.columns]
@@ -106,6 +103,62 @@ def _blocks(listing: DataFrame, scope: Sequence[str], separator: str) -> DataFra
     )
 
 
+def _framed(
+    listing: DataFrame, names: list[str], glue: DataFrame | Sequence[str], separator: str
+) -> DataFrame:
+    """Blocks of the large scopes with their glue, each scope in order in one partition.
+
+    Blocks are a few megabytes each, so this shuffle moves few rows; a task reads
+    its sorted blocks as a stream.
+    """
+    blocks = _blocks(listing, names, separator)
+    if isinstance(glue, DataFrame):
+        blocks = blocks.join(glue.select(*names, "glue"), names)
+    else:
+        blocks = blocks.withColumn("glue", F.array(*[F.lit(piece) for piece in glue]))
+    return (
+        blocks.repartition(*names)
+        .sortWithinPartitions(*names, "part", "slot")
+        .select(*names, "part", "block", "glue")
+    )
+
+
+def _pieces(
+    batches: Iterator[pa.RecordBatch], width: int, parts: int, separator: str
+) -> Iterator[tuple[tuple, str, bool]]:
+    """Pieces of each scope's text in order: scope values, piece, and whether it is the last."""
+    owner, glue, done, fresh = None, [], 0, True
+
+    def tail() -> Iterator[tuple[tuple, str, bool]]:
+        for part in range(done, parts):
+            yield owner, glue[part + 1], part + 1 == parts
+
+    for batch in batches:
+        for row in zip(*[column.to_pylist() for column in batch.columns]):
+            values, (part, block, row_glue) = row[:width], row[width:]
+            if values != owner:
+                if owner is not None:
+                    yield from tail()
+                owner, glue, done, fresh = values, row_glue, 0, True
+                yield owner, glue[0], False
+            while done < part:
+                done += 1
+                yield owner, glue[done], False
+                fresh = True
+            yield owner, block if fresh else separator + block, False
+            fresh = False
+    if owner is not None:
+        yield from tail()
+
+
+def _arrow_row(values: Sequence, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, schema)], schema=schema)
+
+
+def _output(listing: DataFrame, names: list[str], *fields: T.StructField) -> T.StructType:
+    return T.StructType([*[listing.schema[name] for name in names], *fields])
+
+
 def ordered_text(
     listing: DataFrame,
     scope: Sequence[str],
@@ -123,55 +176,38 @@ def ordered_text(
     """
     names = list(scope)
     small, hot = _split_by_size(listing, names, large)
-    whole = _assembled(small, names, glue, parts, separator).select(
+    whole = _assembled(small, hot, names, glue, parts, separator).select(
         *names, F.lit(0).cast("long").alias("chunk"), "text"
     )
-    if isinstance(glue, DataFrame):
-        # only scopes that are not large may come from the glue table
-        whole = whole.join(hot.select(*names).distinct(), names, "left_anti")
-    blocks = _blocks(hot, names, separator)
-    first = blocks.groupBy(*names, "part").agg(F.min("slot").alias("first_slot"))
-    body = (
-        blocks.join(first, [*names, "part"])
-        .select(
-            *names,
-            # chunk order: part, then slot; glue pieces sit between the parts
-            (F.col("part").cast("long") * 2 + 1).alias("_part"),
-            F.col("slot"),
-            F.when(F.col("slot") == F.col("first_slot"), F.col("block"))
-            .otherwise(F.concat(F.lit(separator), F.col("block")))
-            .alias("text"),
-        )
+    schema = _output(
+        listing, names, T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType())
     )
-    frame = hot.select(*names).distinct()
-    if isinstance(glue, DataFrame):
-        frame = frame.join(glue.select(*names, "glue"), names)
-    else:
-        frame = frame.withColumn("glue", F.array(*[F.lit(piece) for piece in glue]))
-    glued = frame.select(*names, F.posexplode("glue").alias("n", "text")).select(
-        *names,
-        (F.col("n").cast("long") * 2).alias("_part"),
-        F.lit(0).cast("long").alias("slot"),
-        "text",
-    )
-    spread = body.unionByName(glued).select(
-        *names,
-        (F.col("_part") * F.lit(1 << 52) + F.col("slot")).alias("chunk"),
-        "text",
-    )
-    return whole.unionByName(spread)
+    arrow, width = to_arrow_schema(schema), len(names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, chunk = None, 0
+        for values, piece, _last in _pieces(batches, width, parts, separator):
+            chunk = chunk + 1 if values == owner else 0
+            owner = values
+            yield _arrow_row((*values, chunk, piece), arrow)
+
+    return whole.unionByName(_framed(hot, names, glue, separator).mapInArrow(emit, schema))
 
 
 def _assembled(
-    small: DataFrame, names: list[str], glue: DataFrame | Sequence[str], parts: int, separator: str
+    small: DataFrame, hot: DataFrame, names: list[str], glue: DataFrame | Sequence[str], parts: int, separator: str
 ) -> DataFrame:
     grouped = small.groupBy(*names).agg(
         F.array_sort(F.collect_list(F.struct("part", "key", "text"))).alias("_lines")
     )
     if isinstance(glue, DataFrame):
-        grouped = glue.select(*names, "glue").join(grouped, names, "left")
         empty = F.array().cast("array<struct<part:int,key:string,text:string>>")
-        grouped = grouped.withColumn("_lines", F.coalesce("_lines", empty))
+        grouped = (
+            glue.select(*names, "glue")
+            .join(hot.select(*names).distinct(), names, "left_anti")
+            .join(grouped, names, "left")
+            .withColumn("_lines", F.coalesce("_lines", empty))
+        )
         pieces = F.col("glue")
     else:
         pieces = F.array(*[F.lit(piece) for piece in glue])
@@ -190,62 +226,21 @@ def ordered_digest(
     """Scope columns and ``sha256`` of the text :func:`ordered_text` describes."""
     names = list(scope)
     small, hot = _split_by_size(listing, names, large)
-    whole = _assembled(small, names, glue, parts, separator)
-    if isinstance(glue, DataFrame):
-        whole = whole.join(hot.select(*names).distinct(), names, "left_anti")
-    whole = whole.select(*names, F.sha2("text", 256).alias("sha256"))
-
-    blocks = _blocks(hot, names, separator)
-    if isinstance(glue, DataFrame):
-        blocks = blocks.join(glue.select(*names, "glue"), names)
-    else:
-        blocks = blocks.withColumn("glue", F.array(*[F.lit(piece) for piece in glue]))
-    schema = T.StructType(
-        [listing.schema[name] for name in names] + [T.StructField("sha256", T.StringType())]
-    )
-    arrow = to_arrow_schema(schema)
-    width = len(names)
+    whole = _assembled(small, hot, names, glue, parts, separator).select(*names, F.sha2("text", 256).alias("sha256"))
+    schema = _output(listing, names, T.StructField("sha256", T.StringType()))
+    arrow, width = to_arrow_schema(schema), len(names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        owner, state, pieces, done = None, None, [], 0
-
-        def close() -> pa.RecordBatch:
-            for n in range(done, parts):
-                state.update(pieces[n + 1].encode())
-            row = [[value] for value in (*owner, state.hexdigest())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(value, type=field.type) for value, field in zip(row, arrow)], schema=arrow
-            )
+        state = hashlib.sha256()
+        for values, piece, last in _pieces(batches, width, parts, separator):
+            state.update(piece.encode())
+            if last:
+                yield _arrow_row((*values, state.hexdigest()), arrow)
+                state = hashlib.sha256()
 
-        for batch in batches:
-            columns = [column.to_pylist() for column in batch.columns]
-            for row in zip(*columns):
-                scope_values, part, block, row_glue = row[:width], row[width], row[width + 1], row[width + 2]
-                if scope_values != owner:
-                    if owner is not None:
-                        yield close()
-                    owner, state, pieces, done, fresh = scope_values, hashlib.sha256(), row_glue, 0, True
-                    state.update(pieces[0].encode())
-                while done < part:
-                    done += 1
-                    state.update(pieces[done].encode())
-                    fresh = True
-                if not fresh:
-                    state.update(separator.encode())
-                state.update(block.encode())
-                fresh = False
-        if owner is not None:
-            yield close()
-
-    streamed = (
-        blocks.repartition(*names)
-        .sortWithinPartitions(*names, "part", "slot")
-        .select(*names, "part", "block", "glue")
-        .mapInArrow(fold, schema)
-    )
-    return whole.unionByName(streamed)
+    return whole.unionByName(_framed(hot, names, glue, separator).mapInArrow(fold, schema))
 
 
 def digest_ordinal(df: DataFrame, scope: Sequence[str], id_column: str, name: str = "ord") -> DataFrame:

@@ -41,22 +41,31 @@ def finding(
     )
 
 
-def faults(df: DataFrame, scope: str, rank: int, path: Column | str | None, *rules: tuple) -> DataFrame:
-    """One pass over ``df``: each rule is ``(condition, code, detail)``, each hit a row."""
+def faults(
+    df: DataFrame, scope: str, rank: int, path: Column | str | None, *rules: tuple, suspect: Column | None = None
+) -> DataFrame:
+    """One pass over ``df``: each rule is ``(condition, code, detail)``, each hit a row.
+
+    A compiled filter drops clean rows first, so only faulty ones are taken
+    apart.  ``suspect`` is a cheaper condition that holds for every faulty row;
+    by default it is any of the rules.
+    """
+    conditions = [F.coalesce(condition, F.lit(False)) for condition, _, _ in rules]
+    if suspect is None:
+        suspect = reduce(Column.__or__, conditions)
     hits = F.array(
         *[
             F.when(condition, F.struct(_text(code).alias("code"), _text(detail).alias("detail")))
-            for condition, code, detail in rules
+            for condition, (_, code, detail) in zip(conditions, rules)
         ]
     )
     return (
-        df.withColumn("_hits", F.filter(hits, lambda hit: hit.isNotNull()))
-        .filter(F.size("_hits") > 0)
+        df.filter(suspect)
         .select(
             F.col(scope).cast("string").alias("scope_id"),
             F.lit(rank).cast("int").alias("check_rank"),
             _text(path).alias("path"),
-            F.explode("_hits").alias("_hit"),
+            F.explode(F.filter(hits, lambda hit: hit.isNotNull())).alias("_hit"),
         )
         .select("scope_id", "check_rank", "_hit.code", "path", "_hit.detail")
     )

@@ -608,22 +608,24 @@ def graph_digest(
 def content_id_check(node: DataFrame, edge: DataFrame) -> DataFrame:
     """Stored ids, digests and preimages against recomputation, for nodes and edges."""
     code = "artifact_graph.identity_mismatch"
-    preimage = F.col("identity_json")
-    digest = F.sha2(preimage, 256)
+    preimage, digest = F.col("identity_json"), F.sha2("identity_json", 256)
+    member = F.from_json(preimage, "identity struct<snapshot_id:string>, kind string")
+    # a sound node is told by one digest and one look into its preimage
+    sound = (
+        F.col("identity_sha256").eqNullSafe(digest)
+        & F.col("node_id").eqNullSafe(F.concat("kind", F.lit(":sha256:"), "identity_sha256"))
+        & preimage.eqNullSafe(F.concat(F.lit('{"identity":'), F.get_json_object(preimage, "$.identity"), F.lit(',"kind":"'), "kind", F.lit('"}')))
+        & F.get_json_object(preimage, "$.identity.snapshot_id").eqNullSafe(F.col("snapshot_id"))
+    )
+    held = preimage.isNotNull()
     nodes = faults(
         node, "graph_id", 0, F.col("node_id"),
-        (preimage.isNull(), code, "no preimage"),
-        (preimage.isNotNull() & ~F.get_json_object(preimage, "$.kind").eqNullSafe(F.col("kind")), code, "kind"),
-        (
-            preimage.isNotNull()
-            & ~F.get_json_object(preimage, "$.identity.snapshot_id").eqNullSafe(F.col("snapshot_id")),
-            code, "scope",
-        ),
-        (preimage.isNotNull() & ~F.col("identity_sha256").eqNullSafe(digest), code, "digest"),
-        (
-            preimage.isNotNull() & ~F.col("node_id").eqNullSafe(F.concat("kind", F.lit(":sha256:"), digest)),
-            code, "node id",
-        ),
+        (~held, code, "no preimage"),
+        (held & ~F.get_json_object(preimage, "$.kind").eqNullSafe(F.col("kind")), code, "kind"),
+        (held & ~member["identity"]["snapshot_id"].eqNullSafe(F.col("snapshot_id")), code, "scope"),
+        (held & ~F.col("identity_sha256").eqNullSafe(digest), code, "digest"),
+        (held & ~F.col("node_id").eqNullSafe(F.concat("kind", F.lit(":sha256:"), digest)), code, "node id"),
+        suspect=~sound,
     )
     again = edge_id(*[F.col(n) for n in ("fragment", "kind", "line", "relation_id", "source", "symbol", "target")])
     edges = faults(edge, "graph_id", 0, F.col("edge_id"), (~F.col("edge_id").eqNullSafe(again), code, "edge id"))

@@ -211,11 +211,18 @@ def tree_digest(
     return ordered.ordered_digest(listing, [scope], glue, large=large).withColumnRenamed("sha256", "tree_sha256")
 
 
+def ordered_manifest_digest(
+    payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
+) -> DataFrame:
+    """``(bundle_id, sha256)`` of the canonical manifest text."""
+    return ordered.ordered_digest(_entry_lines(payload), ["bundle_id"], manifest_glue(namespace), large=large)
+
+
 def bundle_digest(
     payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
 ) -> DataFrame:
     """``(bundle_id, manifest_sha256, checksums_sha256, content_id)`` per bundle."""
-    manifest = ordered.ordered_digest(_entry_lines(payload), ["bundle_id"], manifest_glue(namespace), large=large)
+    manifest = ordered_manifest_digest(payload, namespace, large)
     checksums = ordered.ordered_digest(
         _checksum_lines(payload, manifest), ["bundle_id"], ["", ""], separator="", large=large
     )

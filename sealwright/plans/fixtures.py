@@ -22,14 +22,17 @@ TABLES = (
 VIEWS: dict[str, str] = {}
 # views that Spark builds by an operator instead of by their SQL text; they are
 # written once per session and folder, as a stored graph would be
-BUILDERS: dict[str, Callable[[Fixtures], DataFrame]] = {}
+BUILDERS: dict[str, Callable[["Fixtures"], DataFrame]] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 _SOURCE = re.compile(r"\b(from|join)(\s+)([a-z_]+)\b")
 
 
-def view(name: str, sql: str) -> None:
+def view(name: str, sql: str, stored: bool = False) -> None:
+    """Define a view; a stored one is written once in Spark, as an input table would be."""
     VIEWS[name] = sql.strip()
+    if stored:
+        BUILDERS[name] = lambda fixtures: fixtures.sql(VIEWS[name])
 
 
 class Fixtures:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..operators import findings, inventory
+from ..operators import findings, inventory, links, records
+from ..session import cut_lineage
 
 
 def bundle_report(
@@ -18,9 +19,56 @@ def bundle_report(
         inventory.directory_closure(listing, manifest),
         inventory.payload_digest_check(payload, manifest),
     )
+    return _summary(inventory.bundle_digest(payload, namespace), found)
+
+
+def _summary(identity: DataFrame, found: DataFrame) -> DataFrame:
     first = findings.first_finding(found).select(
         F.col("scope_id").alias("bundle_id"), "check_rank", "code", "path", "detail"
     )
     count = found.groupBy(F.col("scope_id").alias("bundle_id")).agg(F.count(F.lit(1)).alias("findings"))
-    identity = inventory.bundle_digest(payload, namespace).withColumn("bundle_id", F.col("bundle_id").cast("string"))
+    identity = identity.withColumn("bundle_id", F.col("bundle_id").cast("string"))
     return identity.join(count, "bundle_id", "left").join(first, "bundle_id", "left")
+
+
+def verify_bundles(
+    payload: DataFrame,
+    manifest: DataFrame,
+    entry_points: DataFrame,
+    checksum: DataFrame,
+    listing: DataFrame,
+    html: DataFrame,
+    run_report: DataFrame,
+    namespace: str = c.DEFAULT_NAMESPACE,
+) -> DataFrame:
+    """All findings of all bundles.
+
+    Inputs are the parsed tables: ``payload`` with size and digest, ``manifest``
+    entries with position, ``checksum`` records, ``html`` pages and
+    ``run_report`` as ``(bundle_id, report)``.  Pages are parsed once and their
+    parts stored, since five checks read them.
+    """
+    parts = cut_lineage(links.page_parts(html))
+    resolved = cut_lineage(links.resolve_links(links.links(parts)))
+    anchor = links.anchors(parts)
+    control = inventory.ordered_manifest_digest(manifest, namespace)
+    return findings.union(
+        records.path_profile_audit(listing, "bundle_id", rank=inventory.RANK_LISTING),
+        inventory.forbidden_objects(listing),
+        records.path_profile_audit(manifest, "bundle_id", rank=inventory.RANK_ENTRY),
+        inventory.manifest_entry_audit(manifest),
+        inventory.order_audit(manifest, "bundle_id"),
+        inventory.duplicate_ids(manifest, "bundle_id", ["path"]),
+        inventory.entry_point_check(entry_points, manifest),
+        inventory.inventory_closure(listing, manifest),
+        inventory.directory_closure(listing, manifest),
+        inventory.payload_digest_check(payload, manifest),
+        inventory.checksums_check(checksum, payload, control),
+        records.run_report_audit(run_report, "bundle_id", namespace=namespace),
+        links.unsupported_parts(parts),
+        links.duplicate_anchors(anchor),
+        links.resolution_findings(resolved),
+        links.link_target_check(resolved, manifest),
+        links.link_fragment_check(resolved, manifest, anchor),
+    )
+
