@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
 
 def scan_payload_tree(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     """Regular files below ``root``: ``(bundle_id, path, size, sha256)``.
 
-    The first ``depth`` folders name the bundle, the rest is the path.  Each
-    file is one row and is hashed where it is read; files beyond the 2 GB limit
-    of a binary value cannot be read this way.
+    The first ``depth`` folders name the bundle, the rest is the path.  Each file
+    is one row and is hashed where it is read; files beyond the 2 GB limit of a
+    binary value cannot be read this way.  File scans leave out empty files, so
+    names of the scan's own file index that gave no row are added as such.
     """
     base = root.rstrip("/") + "/"
-    relative = F.regexp_replace(F.regexp_replace("_path", "^file:/*", "/"), "^" + _quoted(base), "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    read = files.select(
+        _plain(F.col("path")).alias("_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")
+    )
+    names = spark.createDataFrame([(unquote(name),) for name in files.inputFiles()], "name string")
+    empty = (
+        names.select(_plain(F.col("name")).alias("_path"))
+        .join(files.select(_plain(F.col("path")).alias("_path")), "_path", "left_anti")
+        .select("_path", F.lit(0).cast("long").alias("size"), F.lit(EMPTY_SHA256).alias("sha256"))
+    )
+    relative = F.regexp_replace("_path", "^" + re.escape(base), "")
     parts = F.split(relative, "/")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(base)
-        .select(F.col("path").alias("_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-        .select(
-            F.array_join(F.slice(parts, 1, depth), "/").alias("bundle_id"),
-            F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/").alias("path"),
-            "size",
-            "sha256",
-        )
+    return read.unionByName(empty).select(
+        F.array_join(F.slice(parts, 1, depth), "/").alias("bundle_id"),
+        F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/").alias("path"),
+        "size",
+        "sha256",
     )
-
-
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
