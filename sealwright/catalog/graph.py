@@ -275,11 +275,11 @@ view("graph_edge_nav", """
 select graph_id, kind, source, target, line from graph_edge
 union all select n_regionkey, 'links-to', 'v' || n_regionkey, 'n' || n_nationkey, null from nation
 """)
-view("g_rendered", """
-select graph_id, snapshot_id, 'artifact-graph:sha256:' || sha2(snapshot_id, 256) as base_graph_id, page, 'navigation/' || page || '.html' as path,
-       sha2(page || snapshot_id, 256) as sha256, '99' as size
-from g_snapshot cross join (select 'index' as page union all select 'stages' union all select 'provenance') p
-""")
+view("g_rendered", "\nunion all ".join(
+    f"select graph_id, snapshot_id, 'artifact-graph:sha256:' || sha2(snapshot_id, 256) as base_graph_id, '{page}' as page, "
+    f"'navigation/{page}.html' as path, sha2('{page}' || snapshot_id, 256) as sha256, '99' as size from g_snapshot"
+    for page in navigation.PAGES
+))
 # stored producer bytes: every 16th digest differs, every 16th file is absent
 view("g_stored", """
 select graph_id, path, case when substring(identity_sha256, 1, 1) = '0' then sha2(sha256, 256) else sha256 end as sha256

@@ -15,7 +15,7 @@ view("snapshot_policy", """
 select distinct 'a' as snapshot_id, 'include' as list, lang as root from documents where lang <> 'de'
 union all select 'a', 'exclude', lang || '/' || doc_id || '.txt' from documents where doc_id % 50 = 0
 union all select distinct 'b', 'exclude', lang from documents where lang = 'fr'
-""")
+""", stored=True)
 view("snapshot_record", """
 select source as snapshot_id, lang || '/' || doc_id || '.txt' as path, case when doc_id % 31 = 0 then 'symlink' else 'file' end as kind,
        case when doc_id % 31 = 0 then '120000' when doc_id % 37 = 0 then '120000' when doc_id % 5 = 0 then '100755' else '100644' end as mode,
@@ -39,7 +39,7 @@ select snapshot_id, path, kind, mode, cast(length(path) as string) as size, sha2
 view("snapshot_head", """
 select 'a' as snapshot_id, 'git-clean' as kind, 'sha1' as object_format, substring(sha2('ca', 256), 1, 40) as revision, substring(sha2('ta', 256), 1, 40) as tree from region where r_regionkey = 0
 union all select 'b', 'git-clean', 'sha256', sha2('cb', 256), sha2('tb', 256) from region where r_regionkey = 0
-""")
+""", stored=True)
 view("source_profile", """
 select c_custkey as snapshot_id, case when c_custkey % 13 = 0 then 'git-dirty' else 'git-clean' end as kind,
        case c_custkey % 3 when 0 then 'sha1' when 1 then 'sha256' else 'md5' end as object_format, substring(sha2(c_name, 256), 1, case when c_custkey % 7 = 0 then 40 else 64 end) as revision,

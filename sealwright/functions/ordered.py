@@ -34,7 +34,8 @@ def lines(
     )
 
 
-def _split_by_size(listing: DataFrame, scope: Sequence[str], large: int) -> tuple[DataFrame, DataFrame]:
+def split_by_size(listing: DataFrame, scope: Sequence[str], large: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary scopes, and rows of scopes with more than ``large`` rows."""
     # At most (all lines / large) scopes can qualify, which bounds the broadcast:
     # 10^12 lines leave 2 million keys.  Only the scope columns are read to count.
     counted = listing.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
@@ -175,10 +176,17 @@ def ordered_text(
     ordinary scope has the single chunk 0; a large one has bounded chunks.
     """
     names = list(scope)
-    small, hot = _split_by_size(listing, names, large)
+    small, hot = split_by_size(listing, names, large)
     whole = _assembled(small, hot, names, glue, parts, separator).select(
         *names, F.lit(0).cast("long").alias("chunk"), "text"
     )
+    return whole.unionByName(streamed_text(hot, names, glue, parts=parts, separator=separator))
+
+
+def streamed_text(
+    listing: DataFrame, names: list[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
+) -> DataFrame:
+    """:func:`ordered_text` for scopes of any size, in bounded chunks."""
     schema = _output(
         listing, names, T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType())
     )
@@ -191,7 +199,7 @@ def ordered_text(
             owner = values
             yield _arrow_row((*values, chunk, piece), arrow)
 
-    return whole.unionByName(_framed(hot, names, glue, separator).mapInArrow(emit, schema))
+    return _framed(listing, names, glue, separator).mapInArrow(emit, schema)
 
 
 def _assembled(
@@ -225,8 +233,15 @@ def ordered_digest(
 ) -> DataFrame:
     """Scope columns and ``sha256`` of the text :func:`ordered_text` describes."""
     names = list(scope)
-    small, hot = _split_by_size(listing, names, large)
+    small, hot = split_by_size(listing, names, large)
     whole = _assembled(small, hot, names, glue, parts, separator).select(*names, F.sha2("text", 256).alias("sha256"))
+    return whole.unionByName(streamed_digest(hot, names, glue, parts=parts, separator=separator))
+
+
+def streamed_digest(
+    listing: DataFrame, names: list[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
+) -> DataFrame:
+    """:func:`ordered_digest` for scopes of any size, by one running hash each."""
     schema = _output(listing, names, T.StructField("sha256", T.StringType()))
     arrow, width = to_arrow_schema(schema), len(names)
 
@@ -240,7 +255,7 @@ def ordered_digest(
                 yield _arrow_row((*values, state.hexdigest()), arrow)
                 state = hashlib.sha256()
 
-    return whole.unionByName(_framed(hot, names, glue, separator).mapInArrow(fold, schema))
+    return _framed(listing, names, glue, separator).mapInArrow(fold, schema)
 
 
 def digest_ordinal(df: DataFrame, scope: Sequence[str], id_column: str, name: str = "ord") -> DataFrame:

@@ -143,7 +143,7 @@ select 'b', lang || '/' || doc_id || '.txt',
        case when doc_id % 7 = 0 then sha2(text || 'x', 256) else sha2(text, 256) end,
        case when doc_id % 31 = 0 then (doc_id + 1) || '.txt' end
 from documents where doc_id % 13 <> 0
-""")
+""", stored=True)
 
 # line 7 gives a bare basename (ambiguous or missing source)
 view("relation", """
@@ -233,7 +233,7 @@ select run_id, stage, status, policy, exit_code, wall_seconds, duration_seconds,
          value as wall_seconds, case when event_id % 9 = 0 then value * 2 else value end as duration_seconds,
          row_number() over (partition by user_id, cast(ts as date), event_type order by ts desc, event_id desc) as rn
   from events) t where rn = 1
-""")
+""", stored=True)
 
 # unknown dependencies where a stage did not run; cycles for %25 users
 view("stage_dep", """
