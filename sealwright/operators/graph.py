@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ids, ordered, paths, text
+from ..functions.joins import spread_join
 from .findings import faults, finding, union
 
 _OPTIONAL = ("path", "fragment", "sha256", "provenance", "stage_status")
@@ -211,7 +212,9 @@ def assemble(records: Mapping[str, DataFrame], namespace: str = c.DEFAULT_NAMESP
         )
 
     if "stage_output" in records:
-        outputs = records["stage_output"].join(results.select("graph_id", "stage", "status"), ["graph_id", "stage"])
+        outputs = spread_join(
+            records["stage_output"], results.select("graph_id", "stage", "status"), ["graph_id", "stage"], "path"
+        )
         output_json = ids.scoped_identity("stage-output", _columns(*_OUTPUT))
         add(
             with_node(
@@ -288,7 +291,7 @@ def assemble(records: Mapping[str, DataFrame], namespace: str = c.DEFAULT_NAMESP
 
     if "producer_log" in records:
         executed = results.filter("executed").select("graph_id", "stage", "stage_node_id")
-        logs = records["producer_log"].join(executed, ["graph_id", "stage"])
+        logs = spread_join(records["producer_log"], executed, ["graph_id", "stage"], "path")
         log_json = ids.scoped_identity("producer-log", _columns(*_LOG))
         add(
             with_node(
@@ -303,7 +306,10 @@ def assemble(records: Mapping[str, DataFrame], namespace: str = c.DEFAULT_NAMESP
         with_edge(union(*described), "describes-snapshot", F.col("node_id"), node_id("snapshot", _columns(*_SNAPSHOT)))
     )
     if results is not None and credited:
-        owned = union(*credited).join(results.select("graph_id", "stage", "stage_node_id"), ["graph_id", "stage"])
+        # most records of a graph belong to one of two stages
+        owned = spread_join(
+            union(*credited), results.select("graph_id", "stage", "stage_node_id"), ["graph_id", "stage"], "node_id"
+        )
         edges.append(with_edge(owned, "generated-by-stage", F.col("node_id"), F.col("stage_node_id")))
     return union(*nodes), union(*edges)
 
@@ -551,7 +557,7 @@ def singleton_check(node: DataFrame) -> DataFrame:
 def scope_binding_check(child: DataFrame, parent: DataFrame, scope: str, columns: list[str], record: str, code: str) -> DataFrame:
     """Child records must carry the bindings of their parent."""
     renamed = parent.select(scope, *[F.col(name).alias(f"_p_{name}") for name in columns], F.lit(True).alias("_found"))
-    joined = child.join(renamed, scope, "left")
+    joined = spread_join(child, renamed, [scope], record, "left")
     return faults(
         joined, scope, 0, F.col(record),
         (F.col("_found").isNull(), code, "no parent"),

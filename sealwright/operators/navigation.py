@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ordered, references
+from ..functions.joins import spread_join
 from .findings import faults, union
 from .graph import node_id, with_edge
 
@@ -90,4 +91,4 @@ def navigation_targets(node: DataFrame, rendered: DataFrame) -> DataFrame:
     pages = rendered.select(
         "graph_id", "page", node_id("rendered-navigation-artifact", _page_identity()).alias("_page")
     )
-    return with_edge(wanted.join(pages, ["graph_id", "page"]), "links-to", F.col("_page"), F.col("node_id"))
+    return with_edge(spread_join(wanted, pages, ["graph_id", "page"], "node_id"), "links-to", F.col("_page"), F.col("node_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ids, ordered, paths
+from ..functions.joins import spread_join
 from .findings import faults, finding, union
 
 
@@ -24,7 +25,7 @@ def snapshot_select(snapshot_file: DataFrame, policy: DataFrame) -> DataFrame:
         return prefixes.join(roots, ["snapshot_id", "root"], "left_semi").select(*keys).distinct()
 
     restricted = policy.filter("list = 'include'").select("snapshot_id").distinct()
-    free = snapshot_file.join(restricted, "snapshot_id", "left_anti")
+    free = spread_join(snapshot_file, restricted, ["snapshot_id"], "path", "left_anti")
     included = snapshot_file.join(below("include"), keys, "left_semi")
     return free.unionByName(included).join(below("exclude"), keys, "left_anti")
 

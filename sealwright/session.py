@@ -12,6 +12,7 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 

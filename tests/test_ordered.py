@@ -101,3 +101,13 @@ def test_digest_ordinal_ranks_in_byte_order(spark):
     frame = spark.createDataFrame(ids, "g string, i string").repartition(7)
     got = {r.i: r.ord for r in ordered.digest_ordinal(frame, ["g"], "i").collect()}
     assert [got[i] for i in sorted(i for _, i in ids)] == list(range(1, 1501))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_spread_join_equals_plain_join(spark, how):
+    from sealwright.functions.joins import spread_join
+
+    left = spark.range(200).selectExpr("if(id % 3 = 0, id % 9, 1) as k", "id")
+    right = spark.createDataFrame([(1, "a"), (3, "b"), (7, "c")], "k long, v string")
+    plain = sorted(map(tuple, left.join(right, ["k"], how).collect()))
+    assert sorted(map(tuple, spread_join(left, right, ["k"], "id", how, buckets=5).collect())) == plain
