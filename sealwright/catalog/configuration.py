@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import contract as c
 from ..operators import configuration
 from ..plans.fixtures import Fixtures, view

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ids
-from ..operators import graph, inventory, navigation
+from ..operators import graph, navigation
 from ..plans.fixtures import BUILDERS, Fixtures, view
 from . import query
 

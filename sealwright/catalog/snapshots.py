@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .. import contract as c
 from ..operators import snapshots
 from ..plans.fixtures import Fixtures, view
@@ -37,8 +35,8 @@ view("snapshot_sized", """
 select snapshot_id, path, kind, mode, cast(length(path) as string) as size, sha256, target from snapshot_file
 """)
 view("snapshot_head", """
-select 'a' as snapshot_id, 'git-clean' as kind, 'sha1' as object_format, substring(sha2('ca', 256), 1, 40) as revision, substring(sha2('ta', 256), 1, 40) as tree from region where r_regionkey = 0
-union all select 'b', 'git-clean', 'sha256', sha2('cb', 256), sha2('tb', 256) from region where r_regionkey = 0
+select distinct 'a' as snapshot_id, 'git-clean' as kind, 'sha1' as object_format, substring(sha2('ca', 256), 1, 40) as revision, substring(sha2('ta', 256), 1, 40) as tree from region
+union all select distinct 'b', 'git-clean', 'sha256', sha2('cb', 256), sha2('tb', 256) from region
 """, stored=True)
 view("source_profile", """
 select c_custkey as snapshot_id, case when c_custkey % 13 = 0 then 'git-dirty' else 'git-clean' end as kind,
