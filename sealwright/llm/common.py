@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Words of the contracts: runs of anything but space and U+0009 to U+000D.
@@ -118,7 +117,3 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
 def bounded_broadcast(df: DataFrame, most: int) -> DataFrame:
     """Broadcast ``df`` if it was counted and has at most ``most`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def struct_of(**fields: str) -> T.StructType:
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
