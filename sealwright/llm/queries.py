@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealwright.llm import simhash
+from sealwright.llm import language, mixing, packing, pii, quality, simhash, token_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash_near_dedup": simhash.query}
+    return {
+        "op1_simhash_near_dedup": simhash.query,
+        "op2_quality_rules": quality.query,
+        "op3_personal_data": pii.query,
+        "op4_source_mixing": mixing.query,
+        "op5_language_id": language.query,
+        "op6_toxicity": toxicity.query,
+        "op7_packing": packing.query,
+        "op10_token_counts": token_scan.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
