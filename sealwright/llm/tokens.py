@@ -8,8 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Encoded chunks that a task keeps; beyond it the store starts anew.
-KEPT = 1 << 18
+#: Encoded chunks that a task keeps; beyond it a new store begins, and the one before serves as its source.
+KEPT = 200_000
 
 
 class Encoder:
@@ -28,20 +28,27 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes | None) -> bytes:
         chunks = (text or b"").split()
-        new = list(set(chunks) - self.kept.keys())
+        kept = self.kept
+        new = [c for c in set(chunks) if c not in kept]
         if new:
-            if len(self.kept) + len(new) > KEPT:
-                self.kept.clear()
-                new = list(set(chunks))
-            kind = f"<u{self.width}"
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for chunk, found in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                    self.kept[chunk] = np.array(found.ids, kind).tobytes()
-        return b"".join(map(self.kept.__getitem__, chunks))
+            if len(kept) + len(new) > KEPT:
+                self.older, self.kept = kept, {}
+                kept, new = self.kept, list(set(chunks))
+            self._add(new)
+        return b"".join(map(kept.__getitem__, chunks))
+
+    def _add(self, chunks: list[bytes]) -> None:
+        kept, older = self.kept, self.older
+        kept.update((c, older[c]) for c in chunks if c in older)
+        new = [c for c in chunks if c not in kept]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
+            kept.update((c, np.array(f.ids, f"<u{self.width}").tobytes()) for c, f in zip(part, found))
 
 
 @lru_cache(maxsize=2)
