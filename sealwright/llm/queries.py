@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealwright.llm import language, mixing, packing, pii, quality, simhash, token_scan, toxicity
+from sealwright.llm import language, mixing, packing, pii, pivots, quality, repeats, simhash, token_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "op5_language_id": language.query,
         "op6_toxicity": toxicity.query,
         "op7_packing": packing.query,
+        "op8_embedding_near_dedup": pivots.query,
+        "op9_repeated_passages": repeats.query,
         "op10_token_counts": token_scan.query,
     }
 

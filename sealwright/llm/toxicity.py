@@ -126,7 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon of ``docs(doc_id, text)`` whose fold is one of LEXICON_FOLDS."""
     told = labelled(labels, LEXICON_FOLDS)
     # the number of labels is bounded by MOST_LABELS, 16 bytes each
-    rows = docs.join(F.broadcast(told), F.col("doc_id") == F.col("id")).select(F.col("text").cast("string").alias("text"), "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(told), F.col("doc_id") == F.col("id")).select("text", "toxic")
     counted = rows.mapInArrow(_tokens, "token string, n long, t long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counted = common.stage(counted.withColumn("stem", F.substring("token", 1, STEM)), "tokens")
     every = counted.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
