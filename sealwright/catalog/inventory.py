@@ -79,7 +79,7 @@ def _(v: Fixtures):
 def _manifest_text(v: Fixtures):
     rows = v.manifest
     entries = ordered.lines(rows, ["bundle_id"], F.col("path"), inventory.entry_line())
-    return ordered.ordered_text(entries, ["bundle_id"], inventory.manifest_glue()).select("bundle_id", "text")
+    return ordered.whole_text(ordered.ordered_text(entries, ["bundle_id"], inventory.manifest_glue()), ["bundle_id"])
 
 
 @query(
@@ -102,7 +102,7 @@ def _(v: Fixtures):
         v.checksum_line, ["bundle_id"], F.lpad(F.col("pos").cast("string"), 12, "0"), F.concat("line", F.lit("\n"))
     )
     text = ordered.ordered_text(rows, ["bundle_id"], ["", ""], separator="")
-    return manifests.read_checksums(text.select("bundle_id", "text"))
+    return manifests.read_checksums(ordered.whole_text(text, ["bundle_id"]))
 
 
 _CONTROL_SQL = f"""
@@ -156,8 +156,9 @@ union all select bundle_id, 10, 'manifest.reserved_path', path, null from path_c
 """)
 def _(v: Fixtures):
     from ..operators import records
+    from ..operators.findings import union
 
-    return records.path_profile_audit(v.path_case, "bundle_id")
+    return union(records.path_profile_audit(v.path_case, "bundle_id"), records.reserved_path_audit(v.path_case, "bundle_id"))
 
 
 @query("path_collision_audit", """

@@ -16,20 +16,21 @@ def schema_id(name: str, namespace: str = DEFAULT_NAMESPACE) -> str:
 
 
 # --- fixed values: patterns -------------------------------------------------
-HEX64 = r"^[0-9a-f]{64}$"
-HEX40 = r"^[0-9a-f]{40}$"
-SIZE = r"^(0|[1-9][0-9]*)$"
-POSITIVE_SIZE = r"^[1-9][0-9]*$"
-TOKEN = r"^[a-z0-9]+([._-][a-z0-9]+)*$"
-KIND = r"^[a-z0-9]+(-[a-z0-9]+)*$"
-VERSION = r"^[A-Za-z0-9]+([._+-][A-Za-z0-9]+)*$"
-KEY_ID = r"^[A-Za-z0-9]+([._:+-][A-Za-z0-9]+)*$"
-SNAPSHOT_ID = r"^snapshot:sha256:[0-9a-f]{64}$"
-BUNDLE_ID = r"^bundle:sha256:[0-9a-f]{64}$"
-RELEASE_TARGET = r"^releases/bundle:sha256:[0-9a-f]{64}$"
-RELATION_ID = r"^coverage-relation:sha256:[0-9a-f]{64}$"
-CHECKSUM_LINE = r"^([0-9a-f]{64})  (.+)$"
-INTEGER = r"^(0|-?[1-9][0-9]*)$"
+# \z and not $, which also matches before a last line end.
+HEX64 = r"\A[0-9a-f]{64}\z"
+HEX40 = r"\A[0-9a-f]{40}\z"
+SIZE = r"\A(0|[1-9][0-9]*)\z"
+POSITIVE_SIZE = r"\A[1-9][0-9]*\z"
+TOKEN = r"\A[a-z0-9]+([._-][a-z0-9]+)*\z"
+KIND = r"\A[a-z0-9]+(-[a-z0-9]+)*\z"
+VERSION = r"\A[A-Za-z0-9]+([._+-][A-Za-z0-9]+)*\z"
+KEY_ID = r"\A[A-Za-z0-9]+([._:+-][A-Za-z0-9]+)*\z"
+SNAPSHOT_ID = r"\Asnapshot:sha256:[0-9a-f]{64}\z"
+BUNDLE_ID = r"\Abundle:sha256:[0-9a-f]{64}\z"
+RELEASE_TARGET = r"\Areleases/bundle:sha256:[0-9a-f]{64}\z"
+RELATION_ID = r"\Acoverage-relation:sha256:[0-9a-f]{64}\z"
+CHECKSUM_LINE = r"\A([0-9a-f]{64})  ([^\r\n]+)\z"
+INTEGER = r"\A(0|-?[1-9][0-9]*)\z"
 SAFE_INTEGER = 9007199254740991
 
 # --- fixed values: control files and entry points ---------------------------

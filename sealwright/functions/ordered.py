@@ -1,14 +1,13 @@
 """Ordered texts and digests per scope, and distributed ordinals.
 
-SHA-256 of an ordered listing is sequential by definition, so the lines of one
-scope have to pass one running hash.  What can be spread is everything else:
-
-* scopes of ordinary size are assembled in the JVM by one hash aggregate;
-* larger scopes are range-sorted over many tasks, joined into blocks of a few
-  megabytes there, and only these blocks stream, in order, through the running
-  hash.  Nothing is held in memory beyond one block.
-
-Lines carry path, digest and size (about 150 bytes), never payload content.
+SHA-256 of an ordered listing is sequential by definition, so the lines of one scope have to pass
+one running hash. Everything else is spread, in the same way for scopes of any size: lines are
+range-sorted over many tasks and joined into bounded blocks there, and only the blocks stream, in
+order, through the running hash or into the chunks of a text. No task holds more than one block
+and one chunk.
+
+Lines carry path, digest and size, never payload content. They are stored before the sort, so what
+they are computed from is read once.
 """
 
 from __future__ import annotations
@@ -21,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-LARGE_SCOPE = 500_000
+from ..session import stored
+
+#: Characters of a block, and of a chunk of an ordered text; chunks do not depend on blocks.
 BLOCK_CHARS = 4_000_000
+CHUNK_CHARS = 16_000_000
 
 
 def lines(
@@ -34,30 +36,6 @@ def lines(
     )
 
 
-def split_by_size(listing: DataFrame, scope: Sequence[str], large: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary scopes, and rows of scopes with more than ``large`` rows."""
-    # At most (all lines / large) scopes can qualify, which bounds the broadcast:
-    # 10^12 lines leave 2 million keys.  Only the scope columns are read to count.
-    counted = listing.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counted.filter(F.col("_n") > large).select(*scope))
-    return (
-        listing.join(hot, list(scope), "left_anti"),
-        listing.join(hot, list(scope), "left_semi"),
-    )
-
-
-def _listing_text(part: int, separator: str) -> Column:
-    own = F.filter("_lines", lambda line: line["part"] == part)
-    return F.array_join(F.transform(own, lambda line: line["text"]), separator)
-
-
-def _glued(parts: int, glue: Column, separator: str) -> Column:
-    text = [glue[0]]
-    for part in range(parts):
-        text += [_listing_text(part, separator), glue[part + 1]]
-    return F.concat(*text)
-
-
 def _blocks(listing: DataFrame, scope: Sequence[str], separator: str) -> DataFrame:
     """Join range-sorted lines into ordered blocks, many tasks per scope."""
     names = list(scope)
@@ -107,18 +85,23 @@ def _blocks(listing: DataFrame, scope: Sequence[str], separator: str) -> DataFra
 def _framed(
     listing: DataFrame, names: list[str], glue: DataFrame | Sequence[str], separator: str
 ) -> DataFrame:
-    """Blocks of the large scopes with their glue, each scope in order in one partition.
+    """A first row with its glue and then the blocks of each scope, in order in one partition.
 
-    Blocks are a few megabytes each, so this shuffle moves few rows; a task reads
-    its sorted blocks as a stream.
+    Blocks are a few megabytes each, so this shuffle moves few rows; a task reads its sorted
+    blocks as a stream. Scopes without glue are left out, scopes without lines are kept.
     """
-    blocks = _blocks(listing, names, separator)
+    blocks = _blocks(stored(listing, "lines"), names, separator)
+    blocks = blocks.select(*names, "part", "slot", "block", F.lit(None).cast("array<string>").alias("glue"))
     if isinstance(glue, DataFrame):
-        blocks = blocks.join(glue.select(*names, "glue"), names)
+        heads = glue.select(*names, "glue")
     else:
-        blocks = blocks.withColumn("glue", F.array(*[F.lit(piece) for piece in glue]))
+        constant = F.array(*[F.lit(piece) for piece in glue]).alias("glue")
+        blocks = stored(blocks, "blocks")
+        heads = blocks.select(*names).distinct().select(*names, constant)
+    heads = heads.select(*names, F.lit(-1).alias("part"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("string").alias("block"), "glue")
     return (
-        blocks.repartition(*names)
+        blocks.unionByName(heads)
+        .repartition(*names)
         .sortWithinPartitions(*names, "part", "slot")
         .select(*names, "part", "block", "glue")
     )
@@ -128,7 +111,7 @@ def _pieces(
     batches: Iterator[pa.RecordBatch], width: int, parts: int, separator: str
 ) -> Iterator[tuple[tuple, str, bool]]:
     """Pieces of each scope's text in order: scope values, piece, and whether it is the last."""
-    owner, glue, done, fresh = None, [], 0, True
+    owner, glue, done, fresh = None, None, 0, True
 
     def tail() -> Iterator[tuple[tuple, str, bool]]:
         for part in range(done, parts):
@@ -137,18 +120,25 @@ def _pieces(
     for batch in batches:
         for row in zip(*[column.to_pylist() for column in batch.columns]):
             values, (part, block, row_glue) = row[:width], row[width:]
-            if values != owner:
-                if owner is not None:
+            if part < 0:
+                if glue is not None:
                     yield from tail()
                 owner, glue, done, fresh = values, row_glue, 0, True
                 yield owner, glue[0], False
+                continue
+            if glue is None or values != owner:
+                # lines of a scope that has no glue
+                if glue is not None:
+                    yield from tail()
+                owner, glue = values, None
+                continue
             while done < part:
                 done += 1
                 yield owner, glue[done], False
                 fresh = True
             yield owner, block if fresh else separator + block, False
             fresh = False
-    if owner is not None:
+    if glue is not None:
         yield from tail()
 
 
@@ -161,87 +151,50 @@ def _output(listing: DataFrame, names: list[str], *fields: T.StructField) -> T.S
 
 
 def ordered_text(
-    listing: DataFrame,
-    scope: Sequence[str],
-    glue: DataFrame | Sequence[str],
-    *,
-    parts: int = 1,
-    separator: str = ",",
-    large: int = LARGE_SCOPE,
+    listing: DataFrame, scope: Sequence[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
 ) -> DataFrame:
-    """Scope columns, ``chunk`` and ``text``: the text of a scope in chunk order.
+    """Scope columns, ``chunk`` and ``text``: the text of a scope, in chunks of CHUNK_CHARS at most.
 
     The text is ``glue[0] + listing 0 + glue[1] + listing 1 + ... + glue[parts]``.
-    ``glue`` is constant or a table of scope columns and an array ``glue``.  An
-    ordinary scope has the single chunk 0; a large one has bounded chunks.
+    ``glue`` is constant or a table of scope columns and an array ``glue``; with a table, scopes
+    without lines have a text too.
     """
     names = list(scope)
-    small, hot = split_by_size(listing, names, large)
-    whole = _assembled(small, hot, names, glue, parts, separator).select(
-        *names, F.lit(0).cast("long").alias("chunk"), "text"
-    )
-    return whole.unionByName(streamed_text(hot, names, glue, parts=parts, separator=separator))
-
-
-def streamed_text(
-    listing: DataFrame, names: list[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
-) -> DataFrame:
-    """:func:`ordered_text` for scopes of any size, in bounded chunks."""
     schema = _output(
         listing, names, T.StructField("chunk", T.LongType()), T.StructField("text", T.StringType())
     )
-    arrow, width = to_arrow_schema(schema), len(names)
+    arrow, width, most = to_arrow_schema(schema), len(names), CHUNK_CHARS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, chunk = None, 0
-        for values, piece, _last in _pieces(batches, width, parts, separator):
-            chunk = chunk + 1 if values == owner else 0
-            owner = values
-            yield _arrow_row((*values, chunk, piece), arrow)
+        held, size, chunk = [], 0, 0
+        for values, piece, last in _pieces(batches, width, parts, separator):
+            at = 0
+            while at < len(piece):
+                part = piece[at : at + most - size]
+                held.append(part)
+                at, size = at + len(part), size + len(part)
+                if size == most:
+                    yield _arrow_row((*values, chunk, "".join(held)), arrow)
+                    held, size, chunk = [], 0, chunk + 1
+            if last:
+                if size or not chunk:
+                    yield _arrow_row((*values, chunk, "".join(held)), arrow)
+                held, size, chunk = [], 0, 0
 
     return _framed(listing, names, glue, separator).mapInArrow(emit, schema)
 
 
-def _assembled(
-    small: DataFrame, hot: DataFrame, names: list[str], glue: DataFrame | Sequence[str], parts: int, separator: str
-) -> DataFrame:
-    grouped = small.groupBy(*names).agg(
-        F.array_sort(F.collect_list(F.struct("part", "key", "text"))).alias("_lines")
-    )
-    if isinstance(glue, DataFrame):
-        empty = F.array().cast("array<struct<part:int,key:string,text:string>>")
-        grouped = (
-            glue.select(*names, "glue")
-            .join(hot.select(*names).distinct(), names, "left_anti")
-            .join(grouped, names, "left")
-            .withColumn("_lines", F.coalesce("_lines", empty))
-        )
-        pieces = F.col("glue")
-    else:
-        pieces = F.array(*[F.lit(piece) for piece in glue])
-    return grouped.select(*names, _glued(parts, pieces, separator).alias("text"))
+def whole_text(chunks: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Scope columns and ``text``: chunks put together, for readers that parse a text as one value (2 GB at most)."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    return chunks.groupBy(*scope).agg(F.array_join(F.transform(ordered, lambda c: c["text"]), "").alias("text"))
 
 
 def ordered_digest(
-    listing: DataFrame,
-    scope: Sequence[str],
-    glue: DataFrame | Sequence[str],
-    *,
-    parts: int = 1,
-    separator: str = ",",
-    large: int = LARGE_SCOPE,
+    listing: DataFrame, scope: Sequence[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
 ) -> DataFrame:
-    """Scope columns and ``sha256`` of the text :func:`ordered_text` describes."""
+    """Scope columns and ``sha256`` of the text :func:`ordered_text` describes, by one running hash each."""
     names = list(scope)
-    small, hot = split_by_size(listing, names, large)
-    whole = _assembled(small, hot, names, glue, parts, separator).select(*names, F.sha2("text", 256).alias("sha256"))
-    return whole.unionByName(streamed_digest(hot, names, glue, parts=parts, separator=separator))
-
-
-def streamed_digest(
-    listing: DataFrame, names: list[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
-) -> DataFrame:
-    """:func:`ordered_digest` for scopes of any size, by one running hash each."""
     schema = _output(listing, names, T.StructField("sha256", T.StringType()))
     arrow, width = to_arrow_schema(schema), len(names)
 

@@ -13,7 +13,7 @@ from .paths import ancestors
 
 
 def is_malformed(pointer: Column) -> Column:
-    return pointer.isNull() | ~pointer.startswith("/") | pointer.rlike(r"~([^01]|$)")
+    return pointer.isNull() | ~pointer.startswith("/") | pointer.rlike(r"~([^01]|\z)")
 
 
 def tokens(pointer: Column) -> Column:

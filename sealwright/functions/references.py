@@ -31,7 +31,7 @@ def split(text: Column) -> Column:
             F.regexp_extract(rest, r"^//([^/?#]*)", 1).alias("authority"),
             F.regexp_extract(tail, r"(?s)^([^?#]*)", 1).alias("path"),
             F.regexp_extract(tail, r"(?s)^[^?#]*\?([^#]*)", 1).alias("query"),
-            F.regexp_extract(tail, r"(?s)#(.*)$", 1).alias("fragment"),
+            F.regexp_extract(tail, r"(?s)#(.*)\z", 1).alias("fragment"),
         )
 
     return let(F.regexp_replace(text, _SCHEME, ""), parts)

@@ -41,6 +41,14 @@ def only_not_nfc(df: DataFrame, column: str) -> DataFrame:
     return df.filter(may_break_nfc(F.col(column))).filter(~is_nfc(F.col(column)))
 
 
+def with_nfc(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add whether the text is NFC, null for null; plain Latin text never leaves the JVM."""
+    is_nfc = F.pandas_udf(_is_nfc, "boolean")
+    beyond = F.coalesce(may_break_nfc(F.col(column)), F.lit(False))
+    plain = df.filter(~beyond).withColumn(name, F.when(F.col(column).isNotNull(), F.lit(True)))
+    return plain.unionByName(df.filter(beyond).withColumn(name, is_nfc(F.col(column))))
+
+
 def with_folded(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the NFC case-folded text: ASCII by ``lower``, the rest by a batch function."""
     nfc_casefold = F.pandas_udf(_nfc_casefold, "string")

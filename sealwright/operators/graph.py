@@ -589,7 +589,7 @@ def edge_record() -> Column:
 
 
 def graph_digest(
-    node: DataFrame, edge: DataFrame, snapshot: DataFrame, namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
+    node: DataFrame, edge: DataFrame, snapshot: DataFrame, namespace: str = c.DEFAULT_NAMESPACE
 ) -> DataFrame:
     """``(graph_id, content_id)`` over schema, snapshot and all ordered records."""
     glue = snapshot.select(
@@ -607,7 +607,7 @@ def graph_digest(
     listing = ordered.lines(edge, ["graph_id"], F.col("edge_id"), edge_record(), part=0).unionByName(
         ordered.lines(node, ["graph_id"], F.col("node_id"), node_record(), part=1)
     )
-    digest = ordered.ordered_digest(listing, ["graph_id"], glue, parts=2, large=large)
+    digest = ordered.ordered_digest(listing, ["graph_id"], glue, parts=2)
     return digest.select("graph_id", F.concat(F.lit("artifact-graph:sha256:"), "sha256").alias("content_id"))
 
 

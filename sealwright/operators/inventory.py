@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ids, ordered, paths
+from ..session import stored
 from .findings import faults, finding, union
 
 RANK_LISTING = 10
@@ -199,80 +200,46 @@ def _checksum_lines(payload: DataFrame, manifest_digest: DataFrame) -> DataFrame
     )
 
 
-def tree_digest(
-    payload: DataFrame, scope: str = "bundle_id", namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
-) -> DataFrame:
+def tree_digest(payload: DataFrame, scope: str = "bundle_id", namespace: str = c.DEFAULT_NAMESPACE) -> DataFrame:
     """Digest over the ordered inventory of a report tree: ``(scope, tree_sha256)``."""
     glue = [
         '{"entries":[',
         '],"kind":"coverage-report-tree","schema":"%s"}' % c.schema_id("coverage-report-tree.v1", namespace),
     ]
     listing = ordered.lines(payload, [scope], F.col("path"), entry_line())
-    return ordered.ordered_digest(listing, [scope], glue, large=large).withColumnRenamed("sha256", "tree_sha256")
+    return ordered.ordered_digest(listing, [scope], glue).withColumnRenamed("sha256", "tree_sha256")
 
 
-def ordered_manifest_digest(
-    payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
-) -> DataFrame:
+def ordered_manifest_digest(payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE) -> DataFrame:
     """``(bundle_id, sha256)`` of the canonical manifest text."""
-    return ordered.ordered_digest(_entry_lines(payload), ["bundle_id"], manifest_glue(namespace), large=large)
-
-
-def _control_columns(small: DataFrame, namespace: str) -> DataFrame:
-    """Both control texts of ordinary bundles, from one grouping of their entries."""
-    head, tail = manifest_glue(namespace)
-    entry = F.struct("path", "sha256", F.col("size").cast("string").alias("size"))
-    grouped = small.groupBy("bundle_id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
-    texts = F.transform("_e", lambda e: F.to_json(e, {"ignoreNullFields": "false"}))
-    with_manifest = grouped.withColumn("manifest", F.concat(F.lit(head), F.array_join(texts, ","), F.lit(tail)))
-    with_manifest = with_manifest.withColumn("manifest_sha256", F.sha2("manifest", 256))
-    member = F.transform("_e", lambda e: F.struct(e["path"].alias("path"), e["sha256"].alias("sha256")))
-    own = F.array(F.struct(F.lit(c.MANIFEST).alias("path"), F.col("manifest_sha256").alias("sha256")))
-    records = F.transform(
-        F.array_sort(F.concat(member, own)), lambda m: F.concat(m["sha256"], F.lit("  "), m["path"], F.lit("\n"))
-    )
-    return with_manifest.select("bundle_id", "manifest", "manifest_sha256", F.array_join(records, "").alias("checksums"))
+    return ordered.ordered_digest(_entry_lines(payload), ["bundle_id"], manifest_glue(namespace))
 
 
-def bundle_digest(
-    payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
-) -> DataFrame:
+def payload_inventory_stored(payload: DataFrame) -> DataFrame:
+    """``(bundle_id, path, sha256, size)`` written once, so that content is read and hashed once."""
+    return stored(payload.select("bundle_id", "path", "sha256", "size"), "inventory")
+
+
+def bundle_digest(payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE) -> DataFrame:
     """``(bundle_id, manifest_sha256, checksums_sha256, content_id)`` per bundle."""
-    entries = payload.select("bundle_id", "path", "sha256", "size")
-    small, hot = ordered.split_by_size(entries, ["bundle_id"], large)
-    whole = _control_columns(small, namespace).select(
-        "bundle_id", "manifest_sha256", F.sha2("checksums", 256).alias("checksums_sha256")
-    )
-    manifest = ordered.streamed_digest(_entry_lines(hot), ["bundle_id"], manifest_glue(namespace))
-    checksums = ordered.streamed_digest(_checksum_lines(hot, manifest), ["bundle_id"], ["", ""], separator="")
-    streamed = manifest.withColumnRenamed("sha256", "manifest_sha256").join(
+    entries = payload_inventory_stored(payload)
+    manifest = stored(ordered.ordered_digest(_entry_lines(entries), ["bundle_id"], manifest_glue(namespace)), "manifest-digest")
+    checksums = ordered.ordered_digest(_checksum_lines(entries, manifest), ["bundle_id"], ["", ""], separator="")
+    both = manifest.withColumnRenamed("sha256", "manifest_sha256").join(
         checksums.withColumnRenamed("sha256", "checksums_sha256"), "bundle_id"
     )
     identity = {"checksums_sha256": F.col("checksums_sha256"), "manifest_sha256": F.col("manifest_sha256")}
-    return whole.unionByName(streamed).withColumn(
-        "content_id", ids.content_id("bundle", ids.scoped_identity("bundle", identity))
-    )
+    return both.withColumn("content_id", ids.content_id("bundle", ids.scoped_identity("bundle", identity)))
 
 
-def control_texts(
-    payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE
-) -> DataFrame:
-    """``(bundle_id, name, chunk, text)``: exact text of both control files."""
-    entries = payload.select("bundle_id", "path", "sha256", "size")
-    small, hot = ordered.split_by_size(entries, ["bundle_id"], large)
-    both = F.array(
-        F.struct(F.lit(c.MANIFEST).alias("name"), F.col("manifest").alias("text")),
-        F.struct(F.lit(c.CHECKSUMS).alias("name"), F.col("checksums").alias("text")),
-    )
-    whole = _control_columns(small, namespace).select("bundle_id", F.inline(both)).select(
-        "bundle_id", "name", F.lit(0).cast("long").alias("chunk"), "text"
-    )
-    glue = manifest_glue(namespace)
-    digest = ordered.streamed_digest(_entry_lines(hot), ["bundle_id"], glue)
-    manifest = ordered.streamed_text(_entry_lines(hot), ["bundle_id"], glue)
-    checksums = ordered.streamed_text(_checksum_lines(hot, digest), ["bundle_id"], ["", ""], separator="")
+def control_texts(payload: DataFrame, namespace: str = c.DEFAULT_NAMESPACE) -> DataFrame:
+    """``(bundle_id, name, chunk, text)``: exact text of both control files, in bounded chunks."""
+    entries = payload_inventory_stored(payload)
+    lines, glue = _entry_lines(entries), manifest_glue(namespace)
+    digest = stored(ordered.ordered_digest(lines, ["bundle_id"], glue), "manifest-digest")
+    manifest = ordered.ordered_text(lines, ["bundle_id"], glue)
+    checksums = ordered.ordered_text(_checksum_lines(entries, digest), ["bundle_id"], ["", ""], separator="")
     return union(
-        whole,
         manifest.select("bundle_id", F.lit(c.MANIFEST).alias("name"), "chunk", "text"),
         checksums.select("bundle_id", F.lit(c.CHECKSUMS).alias("name"), "chunk", "text"),
     )

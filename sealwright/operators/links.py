@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import markup, references
+from ..functions import markup, references, text
 from .findings import faults, finding, union
 from .inventory import RANK_LINK, RANK_PAGE
 
@@ -28,9 +28,10 @@ def anchors(parts: DataFrame) -> DataFrame:
 
 
 def unsupported_parts(parts: DataFrame) -> DataFrame:
-    """Pages with a base address or a source set, one finding per page and code."""
-    pages = parts.filter(F.col("kind").isin("base", "srcset")).select(*_PAGE, "kind").distinct()
-    return finding(pages, "bundle_id", RANK_PAGE, F.concat(F.lit("link.unsupported_"), F.col("kind")), F.col("path"))
+    """Pages with a base address or a source set, and pages without text, one finding per page and code."""
+    pages = parts.filter(F.col("kind").isin("base", "srcset", markup.UNREADABLE)).select(*_PAGE, "kind").distinct()
+    code = F.when(F.col("kind") == markup.UNREADABLE, "link.invalid_html_utf8").otherwise(F.concat(F.lit("link.unsupported_"), F.col("kind")))
+    return finding(pages, "bundle_id", RANK_PAGE, code, F.col("path"))
 
 
 def invalid_html_utf8(payload: DataFrame) -> DataFrame:
@@ -47,9 +48,10 @@ def duplicate_anchors(anchor: DataFrame) -> DataFrame:
 def resolve_links(link: DataFrame) -> DataFrame:
     """Add ``target``, ``fragment``, ``bad_fragment`` and ``code`` to internal links; drop external ones."""
     resolved = references.resolution(F.col("path"), F.col("reference"))
-    return (
-        link.withColumn("_r", resolved).filter(F.col("_r").isNotNull()).select(*link.columns, "_r.*")
-    )
+    internal = link.withColumn("_r", resolved).filter(F.col("_r").isNotNull()).select(*link.columns, "_r.*")
+    told = text.with_nfc(internal, "target", "_nfc")
+    code = F.when(F.col("code").isNull() & ~F.col("_nfc"), F.lit("path.invalid")).otherwise(F.col("code"))
+    return told.withColumn("code", code).drop("_nfc")
 
 
 def resolution_findings(resolved: DataFrame) -> DataFrame:

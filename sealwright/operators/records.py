@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import paths, text
+from ..functions import ids, json_text, paths, text
 from .findings import faults, finding, union
 
 
 def path_profile_audit(table: DataFrame, scope: str, column: str = "path", rank: int = 10) -> DataFrame:
-    """One finding per broken path rule, and one per reserved name."""
+    """One finding per broken path rule."""
     path = F.col(column)
     broken = table.select(scope, column, F.explode(paths.profile_violations(path)).alias("_rule"))
     not_nfc = text.only_not_nfc(table.select(scope, column), column)
-    reserved = table.filter(path.isin(*c.RESERVED_PATHS))
     return union(
         finding(broken, scope, rank, "path.invalid", path, F.col("_rule")),
         finding(not_nfc, scope, rank, "path.invalid", path, "nfc"),
-        finding(reserved, scope, rank, "manifest.reserved_path", path),
     )
 
 
+def reserved_path_audit(table: DataFrame, scope: str, column: str = "path", rank: int = 10) -> DataFrame:
+    """Entries that take the name of a control file; a listing holds those names rightly."""
+    return finding(table.filter(F.col(column).isin(*c.RESERVED_PATHS)), scope, rank, "manifest.reserved_path", F.col(column))
+
+
 def token_profile_audit(
     table: DataFrame, scope: str, rules: Mapping[str, str], record: str, code: str = "record.invalid_field"
 ) -> DataFrame:
@@ -39,41 +42,31 @@ def token_profile_audit(
 def closed_record_audit(
     table: DataFrame, scope: str, json: str, keys: tuple[str, ...], code: str = "manifest.invalid_shape"
 ) -> DataFrame:
-    """Members missing from, or unknown to, an exact key set."""
+    """Members missing from, or unknown to, an exact key set; texts that are no JSON object."""
     expected = F.array(*[F.lit(key) for key in keys])
-    found = F.json_object_keys(F.col(json))
-    rows = table.select(
-        scope,
-        F.when(found.isNull(), F.lit(None)).otherwise(F.array_except(expected, found)).alias("_missing"),
-        F.array_except(found, expected).alias("_unknown"),
-        found.isNull().alias("_unreadable"),
-    )
+    rows = json_text.with_reading(table.select(scope, json), json, "_read").select(scope, F.col("_read.valid"), F.col("_read.keys").alias("_keys"))
+    family = code.rsplit(".", 1)[0]
+    told = rows.filter(F.col("_keys").isNotNull())
     parts = [
-        finding(rows.filter("_unreadable"), scope, 21, code.rsplit(".", 1)[0] + ".invalid_json"),
+        finding(rows.filter(~F.col("valid")), scope, 21, f"{family}.invalid_json"),
+        finding(rows.filter(F.col("valid") & F.col("_keys").isNull()), scope, 23, code, None, "not an object"),
     ]
-    for column, detail in (("_missing", "missing"), ("_unknown", "unknown")):
-        names = rows.filter(~F.col("_unreadable")).select(scope, F.explode(column).alias("_name"))
-        parts.append(finding(names, scope, 23, code, F.col("_name"), detail))
+    for names, detail in ((F.array_except(expected, "_keys"), "missing"), (F.array_except("_keys", expected), "unknown")):
+        parts.append(finding(told.select(scope, F.explode(names).alias("_name")), scope, 23, code, F.col("_name"), detail))
     return union(*parts)
 
 
 def duplicate_member_audit(table: DataFrame, scope: str, json: str, code: str = "manifest.duplicate_member") -> DataFrame:
-    """Member names that occur twice in one object.
+    """Member names that occur again in one object, at any depth and inside arrays.
 
-    Names of the outer object are listed.  Deeper repetitions show by the strict
-    variant parser, which refuses a text that the lenient reader accepts.
+    Names of the outer object are listed; inner repetitions are one finding each text. Texts that
+    are no JSON are the concern of :func:`closed_record_audit`.
     """
-    keys = F.json_object_keys(F.col(json))
-    rows = table.select(scope, keys.alias("_keys"), F.try_parse_json(F.col(json)).isNull().alias("_refused"))
-    rows = rows.filter(F.col("_keys").isNotNull() & F.col("_refused"))
-    top = F.size("_keys") > F.size(F.array_distinct("_keys"))
-    repeated = F.array_distinct(
-        F.filter("_keys", lambda key: F.size(F.filter("_keys", lambda other: other == key)) > 1)
-    )
-    names = rows.filter(top).select(scope, F.explode(repeated).alias("_name"))
+    rows = json_text.with_reading(table.select(scope, json), json, "_read").select(scope, "_read.*")
+    names = rows.filter("size(repeated) > 0").select(scope, F.explode("repeated").alias("_name"))
     return union(
         finding(names, scope, 20, code, F.col("_name"), "top"),
-        finding(rows.filter(~top), scope, 20, code, None, "nested"),
+        finding(rows.filter("nested"), scope, 20, code, None, "nested"),
     )
 
 
@@ -84,7 +77,7 @@ def canonical_json_audit(table: DataFrame, scope: str, json: str, schema: str, c
     again gives the canonical text.
     """
     parsed = F.from_json(F.col(json), schema)
-    again = F.to_json(parsed, {"ignoreNullFields": "false"})
+    again = ids.canonical_text(parsed)
     bad = table.filter(~again.eqNullSafe(F.col(json)))
     return finding(bad, scope, 22, code)
 
@@ -230,7 +223,7 @@ def redact_secrets(log_text: DataFrame, secret: DataFrame, column: str = "text")
 def clean_diagnostics(diagnostic: DataFrame) -> DataFrame:
     """Normalise code and message for the run report."""
     spaced = F.regexp_replace("message", text.CONTROL, " ")
-    cleaned = F.regexp_replace(spaced, r"^\p{Z}+|\p{Z}+$", "")
+    cleaned = F.regexp_replace(spaced, r"\A\p{Z}+|\p{Z}+\z", "")
     return diagnostic.withColumn(
         "code", F.when(F.col("code").rlike(c.TOKEN), F.col("code")).otherwise(F.lit("stage.invalid_diagnostic_code"))
     ).withColumn("message", F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("stage diagnostic unavailable")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import paths, text
+from ..functions import ids, paths, text
 from .findings import faults, finding, union
 
 
@@ -309,8 +309,8 @@ ENVELOPE_TYPE = (
     "payload_sha256:string,statement_type:string>,key_id string,public_key string,schema string,signature string"
 )
 # fixed values: unpadded base64url of 64 and of 32 bytes, unused bits zero
-SIGNATURE_TEXT = r"^[A-Za-z0-9_-]{85}[AQgw]$"
-PUBLIC_KEY_TEXT = r"^[A-Za-z0-9_-]{42}[AEIMQUYcgkosw048]$"
+SIGNATURE_TEXT = r"\A[A-Za-z0-9_-]{85}[AQgw]\z"
+PUBLIC_KEY_TEXT = r"\A[A-Za-z0-9_-]{42}[AEIMQUYcgkosw048]\z"
 
 
 def signature_binding_audit(
@@ -333,7 +333,7 @@ def signature_binding_audit(
     )
     e = F.col("_e")
     rows = rows.withColumn("key_id", e["key_id"]).withColumn(
-        "_canonical", F.to_json("_e", {"ignoreNullFields": "false"}).eqNullSafe(F.col("envelope_json"))
+        "_canonical", ids.canonical_text(F.col("_e")).eqNullSafe(F.col("envelope_json"))
     )
     anchors = trust_anchor.select("key_id", F.octet_length("key_bytes").alias("_key_size"))
     stored = bundle.select("bundle_key", *[F.col(n).alias(f"_b_{n}") for n in c.BINDING_KEYS if n != "statement_type"])

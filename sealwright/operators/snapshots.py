@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import ids, ordered, paths
+from ..functions import ids, ordered, paths, text
 from ..functions.joins import spread_join
 from .findings import faults, finding, union
 
@@ -111,6 +111,8 @@ def symlink_resolution(snapshot_file: DataFrame) -> DataFrame:
         .when((resolved == "..") | resolved.startswith("../") | resolved.startswith("/"), "snapshot.symlink_escape")
         .when(paths.bad_segments(target), "snapshot.invalid_symlink"),
     )
+    rows = text.with_nfc(rows, "_resolved", "_nfc")
+    rows = rows.withColumn("_code", F.when(F.col("_code").isNull() & ~F.col("_nfc"), "snapshot.invalid_symlink").otherwise(F.col("_code")))
     broken = rows.filter("_code is not null")
     usable = rows.filter("_code is null")
     files = snapshot_file.filter("kind = 'file'").select("snapshot_id", F.col("path").alias("_resolved"))
@@ -134,7 +136,7 @@ def file_record() -> Column:
 
 def snapshot_digest(
     snapshot: DataFrame, snapshot_file: DataFrame, policy: DataFrame,
-    namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE,
+    namespace: str = c.DEFAULT_NAMESPACE,
 ) -> DataFrame:
     """``(snapshot_id, content_id)`` over source, policy and ordered file records."""
     source = ids.canonical({name: F.col(name) for name in ("commit", "kind", "object_format", "tree")})
@@ -155,5 +157,5 @@ def snapshot_digest(
         ordered.lines(policy.filter("list = 'exclude'"), ["snapshot_id"], F.col("root"), root, 1),
         ordered.lines(policy.filter("list = 'include'"), ["snapshot_id"], F.col("root"), root, 2),
     )
-    digest = ordered.ordered_digest(listing, ["snapshot_id"], glue, parts=3, large=large)
+    digest = ordered.ordered_digest(listing, ["snapshot_id"], glue, parts=3)
     return digest.select("snapshot_id", F.concat(F.lit("snapshot:sha256:"), "sha256").alias("content_id"))

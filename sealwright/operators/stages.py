@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ids, ordered
-from ..session import cut_lineage
+from ..session import stored
 from .findings import faults, finding, union
 
 ROOT = "snapshot"
@@ -114,31 +114,32 @@ def stage_edge_check(stage: DataFrame, stage_dep: DataFrame, plan_edge: DataFram
 def stage_levels(stage: DataFrame, stage_dep: DataFrame) -> DataFrame:
     """``(run_id, stage, level)``; level is null on a cycle or behind an unknown dependency.
 
-    All runs advance together, one level per round, so the number of rounds is
-    the depth of the deepest plan.  Each round drops the edges whose dependency
-    was just placed, then places the stages that have no edge left; both are
-    equi joins on ``(run_id, stage)``.  Lineage is cut every round.
+    All runs advance together, one level per round, so the number of rounds is the depth of the
+    deepest plan. A round reads and writes one table: every stage with its level, and the edges
+    that still wait for a stage without one. Edges only become fewer.
     """
-    pending = stage.select("run_id", "stage").distinct()
+    stages_ = stage.select("run_id", "stage").distinct().withColumns({"dependency": F.lit(None).cast("string"), "level": F.lit(None).cast("int")})
     waits = (
         stage_dep.filter(F.col("dependency").isNotNull() & (F.col("dependency") != ROOT))
         .select("run_id", "stage", "dependency")
         .distinct()
-        .join(pending, ["run_id", "stage"], "left_semi")
+        .join(stages_.select("run_id", "stage"), ["run_id", "stage"], "left_semi")
+        .withColumn("level", F.lit(None).cast("int"))
     )
-    placed = []
+    state = stored(stages_.unionByName(waits), "levels")
     level = 0
     while True:
-        ready = pending.join(waits.select("run_id", "stage").distinct(), ["run_id", "stage"], "left_anti")
-        ready = cut_lineage(ready)
-        if ready.isEmpty():
-            break
-        placed.append(ready.withColumn("level", F.lit(level)))
-        pending = cut_lineage(pending.join(ready, ["run_id", "stage"], "left_anti"))
-        done = ready.withColumnRenamed("stage", "dependency")
-        waits = cut_lineage(waits.join(done, ["run_id", "dependency"], "left_anti"))
+        waits = state.filter("dependency is not null")
+        open_ = state.filter("dependency is null and level is null").select("run_id", "stage")
+        ready = open_.join(waits.select("run_id", "stage").distinct(), ["run_id", "stage"], "left_anti").withColumn("_ready", F.lit(True))
+        placed = state.filter("dependency is null").join(ready, ["run_id", "stage"], "left")
+        placed = placed.withColumn("level", F.when(F.col("_ready"), F.lit(level)).otherwise(F.col("level"))).drop("_ready")
+        done = ready.select("run_id", F.col("stage").alias("dependency"))
+        left = waits.join(done, ["run_id", "dependency"], "left_anti")
+        state = stored(placed.unionByName(left), "levels")
+        if state.filter(F.col("level") == level).isEmpty():
+            return state.filter("dependency is null").select("run_id", "stage", "level")
         level += 1
-    return union(*placed, pending.withColumn("level", F.lit(None).cast("int")))
 
 
 def level_findings(levels: DataFrame) -> DataFrame:
@@ -154,36 +155,31 @@ def stage_outcomes(stage: DataFrame, stage_dep: DataFrame, levels: DataFrame | N
     an optional one; a dependency that did not succeed blocks; a failed optional
     stage is degraded.  Stages without level get no result.
     """
-    levels = cut_lineage(stage_levels(stage, stage_dep) if levels is None else levels)
+    levels = stored(stage_levels(stage, stage_dep) if levels is None else levels)
     deepest = levels.agg(F.max("level")).first()[0]
-    staged = cut_lineage(stage.join(levels.filter("level is not null"), ["run_id", "stage"]))
+    staged = stored(stage.join(levels.filter("level is not null"), ["run_id", "stage"]))
     waits = stage_dep.filter(F.col("dependency").isNotNull() & (F.col("dependency") != ROOT)).select(
         "run_id", "stage", "dependency"
     )
     required = F.col("policy") == "required"
     own = F.when((F.col("own_status") == "failed") & ~required, "degraded").otherwise(F.col("own_status"))
     results: list[DataFrame] = []
-    good = staged.select("run_id", F.col("stage").alias("dependency")).limit(0)
+    # edges whose dependency has not succeeded so far; they only become fewer
+    waits = stored(waits, "waits")
     for level in range((deepest if deepest is not None else -1) + 1):
         current = staged.filter(F.col("level") == level)
-        broken = (
-            waits.join(current.select("run_id", "stage"), ["run_id", "stage"], "left_semi")
-            .join(good, ["run_id", "dependency"], "left_anti")
-            .select("run_id", "stage", F.lit(True).alias("_broken"))
-            .distinct()
-        )
+        broken = waits.select("run_id", "stage").distinct().withColumn("_broken", F.lit(True))
         status = (
             F.when(F.col("static_fault"), F.when(required, "blocked").otherwise("skipped"))
             .when(F.col("_broken"), "blocked")
             .otherwise(own)
         )
-        result = cut_lineage(
+        result = stored(
             current.join(broken, ["run_id", "stage"], "left").select("run_id", "stage", "policy", status.alias("status"))
         )
         results.append(result)
-        good = good.unionByName(
-            result.filter("status = 'succeeded'").select("run_id", F.col("stage").alias("dependency"))
-        )
+        good = result.filter("status = 'succeeded'").select("run_id", F.col("stage").alias("dependency"))
+        waits = stored(waits.join(good, ["run_id", "dependency"], "left_anti"), "waits")
     if not results:
         return staged.select("run_id", "stage", "policy", F.col("own_status").alias("status"))
     return union(*results)
@@ -215,12 +211,12 @@ def _stage_lines(stage_result: DataFrame, first_part: int) -> DataFrame:
     )
 
 
-def optional_stage_rollup(stage_result: DataFrame, large: int = ordered.LARGE_SCOPE) -> DataFrame:
+def optional_stage_rollup(stage_result: DataFrame) -> DataFrame:
     """JSON text of the sorted degraded and skipped lists of each run, by chunk."""
     glue = stage_result.select("run_id").distinct().select(
         "run_id", F.array(F.lit('{"degraded":['), F.lit('],"skipped":['), F.lit("]}")).alias("glue")
     )
-    return ordered.ordered_text(_stage_lines(stage_result, 0), ["run_id"], glue, parts=2, large=large)
+    return ordered.ordered_text(_stage_lines(stage_result, 0), ["run_id"], glue, parts=2)
 
 
 def stage_status_overlap(listed: DataFrame) -> DataFrame:
@@ -253,7 +249,7 @@ def plan_stage_record(**columns: Column) -> Column:
 
 def plan_digest(
     plan: DataFrame, stage: DataFrame, stage_dep: DataFrame, diagnostic: DataFrame,
-    namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE,
+    namespace: str = c.DEFAULT_NAMESPACE,
 ) -> DataFrame:
     """``(run_id, plan_sha256)``.
 
@@ -284,7 +280,7 @@ def plan_digest(
         ),
         ordered.lines(stage, ["run_id"], F.col("stage"), F.col("record_json"), 2),
     )
-    digest = ordered.ordered_digest(listing, ["run_id"], glue, parts=3, large=large)
+    digest = ordered.ordered_digest(listing, ["run_id"], glue, parts=3)
     return digest.withColumnRenamed("sha256", "plan_sha256")
 
 
@@ -298,7 +294,7 @@ def report_diagnostics(stage_result: DataFrame, diagnostic: DataFrame) -> DataFr
 
 def run_report(
     run: DataFrame, artifact_count: DataFrame, stage_result: DataFrame, diagnostic: DataFrame,
-    namespace: str = c.DEFAULT_NAMESPACE, large: int = ordered.LARGE_SCOPE,
+    namespace: str = c.DEFAULT_NAMESPACE,
 ) -> DataFrame:
     """Canonical text of each run report: ``(run_id, chunk, text)``.
 
@@ -341,4 +337,4 @@ def run_report(
         _stage_lines(stage_result, 2),
         ordered.lines(stage_result, ["run_id"], F.col("ord"), ids.json_string(F.col("digest")), 4),
     )
-    return ordered.ordered_text(listing, ["run_id"], glue, parts=5, large=large)
+    return ordered.ordered_text(listing, ["run_id"], glue, parts=5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +23,25 @@ def recommended(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a bare test session gets its own."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and spark.sparkContext.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if shared is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(shared)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own for its lifetime."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again.
+
+    Cuts lineage, survives lost executors, and later reads prune columns and push filters down.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+cut_lineage = stored

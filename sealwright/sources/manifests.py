@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract as c
+from ..functions import ids, json_text
 from ..operators.findings import finding, union
 from ..operators.inventory import RANK_CHECKSUMS, RANK_MANIFEST_TEXT, control_texts
 
@@ -40,17 +41,26 @@ def read_entry_points(manifest_text: DataFrame) -> DataFrame:
 
 
 def manifest_shape_audit(manifest_text: DataFrame, namespace: str = c.DEFAULT_NAMESPACE) -> DataFrame:
-    """Unreadable text, missing or unknown members, unsupported schema."""
-    keys = F.json_object_keys("text")
-    parsed = manifest_text.withColumn("keys", keys).withColumn("m", F.from_json("text", MANIFEST_TYPE))
-    unreadable = parsed.filter(F.col("keys").isNull())
-    readable = parsed.filter(F.col("keys").isNotNull())
-    closed = F.array_sort("keys") == F.array(F.lit("entries"), F.lit("entry_points"), F.lit("schema"))
-    wrong_schema = ~F.col("m.schema").eqNullSafe(c.schema_id("bundle-manifest.v1", namespace))
+    """Faults of whole manifest texts ``(bundle_id, text)``, each in its place of the order of reading.
+
+    A text that is no JSON, repeated members, text that differs from its canonical form, members
+    missing or unknown at every level, an unsupported schema.
+    """
+    read = json_text.with_reading(manifest_text.select("bundle_id", "text"), "text", "_read")
+    parsed = read.select("bundle_id", "text", "_read.*", F.from_json("text", MANIFEST_TYPE).alias("m"))
+    whole = parsed.filter("valid")
+    single = whole.filter("size(repeated) = 0 and not nested")
+    repeated = whole.filter("size(repeated) > 0 or nested")
+    again = ids.canonical_text(F.col("m"))
+    closed = F.array_sort(F.coalesce("keys", F.array().cast("array<string>"))) == F.array(F.lit("entries"), F.lit("entry_points"), F.lit("schema"))
+    supported = F.col("m.schema").eqNullSafe(c.schema_id("bundle-manifest.v1", namespace))
+    rank = RANK_MANIFEST_TEXT
     return union(
-        finding(unreadable, "bundle_id", RANK_MANIFEST_TEXT + 1, "manifest.invalid_json"),
-        finding(readable.filter(~closed), "bundle_id", RANK_MANIFEST_TEXT + 3, "manifest.invalid_shape"),
-        finding(readable.filter(closed & wrong_schema), "bundle_id", RANK_MANIFEST_TEXT + 4, "manifest.unsupported_schema"),
+        finding(parsed.filter(~F.col("valid")), "bundle_id", rank + 1, "manifest.invalid_json"),
+        finding(repeated, "bundle_id", rank, "manifest.duplicate_member"),
+        finding(single.filter(~closed), "bundle_id", rank + 3, "manifest.invalid_shape"),
+        finding(single.filter(closed & ~supported), "bundle_id", rank + 4, "manifest.unsupported_schema"),
+        finding(single.filter(closed & supported & ~again.eqNullSafe(F.col("text"))), "bundle_id", rank + 2, "manifest.noncanonical"),
     )
 
 

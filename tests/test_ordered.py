@@ -51,42 +51,40 @@ def by_hand(rows, bundle: str) -> dict:
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(ordered, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(ordered, "CHUNK_CHARS", 1000)
 
 
-@pytest.mark.parametrize("large", [10**6, 10, 1])
-def test_bundle_digest_matches_recomputation(spark, small_blocks, large):
+def test_bundle_digest_matches_recomputation(spark, small_blocks):
     rows = payload_rows(120)
     payload = spark.createDataFrame(rows, "bundle_id string, path string, size long, sha256 string").repartition(5)
-    for row in inventory.bundle_digest(payload, large=large).collect():
+    for row in inventory.bundle_digest(payload).collect():
         want = by_hand(rows, row.bundle_id)
         assert row.manifest_sha256 == want["manifest_sha256"]
         assert row.checksums_sha256 == want["checksums_sha256"]
         assert row.content_id == want["content_id"]
 
 
-@pytest.mark.parametrize("large", [10**6, 10])
-def test_control_texts_join_to_the_exact_files(spark, small_blocks, large):
+def test_control_texts_join_to_the_exact_files(spark, small_blocks):
     rows = payload_rows(60)
     payload = spark.createDataFrame(rows, "bundle_id string, path string, size long, sha256 string")
     texts: dict = {}
-    chunks = inventory.control_texts(payload, large=large).collect()
+    chunks = inventory.control_texts(payload).collect()
     for row in sorted(chunks, key=lambda r: (r.bundle_id, r.name, r.chunk)):
         texts[row.bundle_id, row.name] = texts.get((row.bundle_id, row.name), "") + row.text
-    assert len(chunks) == 6 if large > 60 else len(chunks) > 8
+    assert len(chunks) > 8 and all(len(row.text) <= 1000 for row in chunks)
     for bundle in ("one", "two", "three"):
         want = by_hand(rows, bundle)
         assert texts[bundle, c.MANIFEST] == want["manifest"]
         assert texts[bundle, c.CHECKSUMS] == want["checksum_text"]
 
 
-@pytest.mark.parametrize("large", [10**6, 5])
-def test_several_listings_with_scoped_glue(spark, small_blocks, large):
+def test_several_listings_with_scoped_glue(spark, small_blocks):
     frame = spark.range(90).selectExpr("id % 3 as s", "lpad(cast(id as string), 3, '0') as k")
     listing = ordered.lines(frame.filter("s < 2"), ["s"], F.col("k"), F.col("k"), 0).unionByName(
         ordered.lines(frame.filter("s = 1"), ["s"], F.col("k"), F.concat(F.lit("x"), "k"), 2)
     )
     glue = spark.range(3).selectExpr("id as s", "array(concat('<', id), '|', '/', '>') as glue")
-    got = {r.s: r.sha256 for r in ordered.ordered_digest(listing, ["s"], glue, parts=3, large=large).collect()}
+    got = {r.s: r.sha256 for r in ordered.ordered_digest(listing, ["s"], glue, parts=3).collect()}
     keys = {s: [f"{n:03d}" for n in range(90) if n % 3 == s] for s in range(3)}
     want = {
         0: "<0" + ",".join(keys[0]) + "|/>",
