@@ -37,6 +37,8 @@ select bundle_id, path, sha256, size, case when pos % 6 = 0 then pos + 1 when po
 from (select bundle_id, path, sha256, size, row_number() over (partition by bundle_id order by path) as pos from manifest) t
 """)
 
+view("manifest_numbered", "select bundle_id, path, sha256, size, row_number() over (partition by bundle_id order by path) - 1 as pos from manifest")
+
 # entry points named by each bundle: the index is the least path, the run report is absent for some
 view("entry_points", """
 select source as bundle_id, min('artifacts/' || lang || '/' || doc_id || '.txt') as index_path,
@@ -288,6 +290,40 @@ def _(v: Fixtures):
     return inventory.duplicate_ids(v.relation, "scope", keys, "coverage.duplicate_relation")
 
 
+ENTRY_POINT_SQL = """
+select bundle_id as scope_id, 30 as check_rank, 'manifest.invalid_entry_points' as code, path, name as detail from (
+  select bundle_id, 'index' as name, index_path as path from entry_points
+  union all select bundle_id, 'run_report', run_report from entry_points) p
+where not exists (select 1 from manifest m where m.bundle_id = p.bundle_id and m.path = p.path)
+"""
+# control texts hold the manifest too, whose digest no record names
+VERIFY_CHECKSUM_SQL = f"""
+with m as (select bundle_id, '{{"entries":[' || string_agg({ENTRY_JSON}, ',' order by path) || '{MANIFEST_TAIL}' as text from manifest group by bundle_id),
+a as (select bundle_id, path, sha256 from payload union all select bundle_id, 'manifest.json', sha256(text) from m),
+s as (
+  select coalesce(c.bundle_id, p.bundle_id) as bundle_id, coalesce(c.path, p.path) as path, c.sha256 as c, p.sha256 as a
+  from checksum c full join a p on c.bundle_id = p.bundle_id and c.path = p.path),
+o as (select bundle_id, path, lag(path) over (partition by bundle_id order by pos) as before from checksum)
+select bundle_id as scope_id, 60 as check_rank, 'checksums.noncanonical' as code, path,
+       case when c is null then 'missing record' when a is null then 'extra record' else 'digest' end as detail
+from s where c is null or a is null or c <> a
+union all select bundle_id, 60, 'checksums.noncanonical', path, 'order' from o where before > path
+"""
+VERIFY_PAGE_SQL = """
+select 'talk' as scope_id, 80 as check_rank, 'link.ambiguous_fragment' as code, path, name as detail
+from (select 'c' || conv_id || '.html' as path, 't' || turn as name from conversations
+      union all select 'c' || conv_id || '.html', role from conversations) a
+group by path, name having count(*) > 1
+union all
+select 'talk', 90, 'link.missing_target', 'c' || (conv_id + 1) || '.html', 'c' || conv_id || '.html' from conversations
+"""
+VERIFY_SQL = f"""
+with closure as ({CLOSURE_SQL}), dirs as ({DIRECTORY_SQL}), bytes as ({DIGEST_SQL}), points as ({ENTRY_POINT_SQL}), sums as ({VERIFY_CHECKSUM_SQL}), pages as ({VERIFY_PAGE_SQL})
+select * from closure union all select * from dirs union all select * from bytes union all select * from points
+union all select * from sums union all select * from pages
+"""
+
+
 FIRST_SQL = f"""
 with closure as ({CLOSURE_SQL}), dirs as ({DIRECTORY_SQL}), bytes as ({DIGEST_SQL}),
 f as (select * from closure union all select * from dirs union all select * from bytes)
@@ -311,6 +347,22 @@ def _(v: Fixtures):
     return findings.first_finding(bundle_findings(v))
 
 
+def _verified(v: Fixtures):
+    """All findings of the fixture's bundles and of one bundle of pages; no run reports."""
+    from ..plans import verify
+
+    pages = v.html_talk.select("bundle_id", "path", F.col("html_part").alias("html"))
+    reports = v.manifest.select("bundle_id", F.lit("").alias("report")).limit(0)
+    numbered = v.manifest_numbered.select("bundle_id", "path", "sha256", "size", "pos")
+    points = v.entry_points.withColumnRenamed("index_path", "index")
+    return verify.verify_bundles(v.payload, numbered, points, v.checksum, v.listing, pages, reports)
+
+
+@query("verify_bundles", VERIFY_SQL)
+def _(v: Fixtures):
+    return _verified(v).select("scope_id", "check_rank", "code", "path", "detail")
+
+
 @query("append_new_releases", """
 select c.root, c.bundle_id, c.run_report_sha256,
        case when r.bundle_id is null then 'append' when r.run_report_sha256 = c.run_report_sha256 then 'reuse'

@@ -84,9 +84,8 @@ def _(v: Fixtures):
 
 
 @query("redact_secrets", """
-select run_id, seq, list_reduce((select list(literal order by ord) from secret where literal <> ''),
-  lambda done, literal: replace(done, literal, '<redacted>'), text) as text
-from logs
+select l.run_id, l.seq, coalesce(list_reduce(s.literals, lambda done, literal: replace(done, literal, '<redacted>'), l.text), l.text) as text
+from logs l left join (select run_id, list(literal order by ord) as literals from secret where literal <> '' group by run_id) s on s.run_id = l.run_id
 """)
 def _(v: Fixtures):
     return records.redact_secrets(v.logs, v.secret)

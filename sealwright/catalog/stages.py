@@ -31,9 +31,11 @@ select run_id, stage, policy, case when status = 'degraded' then 'failed' when s
        status in ('blocked', 'skipped') as static_fault
 from stage
 """)
-view("plan_stage", """
-select s.run_id, s.stage, s.policy, d.dependency from stage s join (select run_id, stage, min(dependency) as dependency from stage_dep group by run_id, stage) d
-  on s.run_id = d.run_id and s.stage = d.stage where d.dependency is not null
+view("plan_stage", "select run_id, stage, policy from stage")
+# stages with no, one and two dependencies
+view("plan_edge", """
+select d.run_id, d.stage, d.dependency from stage_dep d join stage s on s.run_id = d.run_id and s.stage = d.stage where d.dependency is not null
+union all select run_id, stage, 'preflight' from stage where stage = 'purchase'
 """)
 view("plan_diagnostic", """
 select run_id, stage, 'plan.input_missing' as code, 'no input for ' || stage as message, policy = 'required' as blocking from stage where status in ('blocked', 'skipped')
@@ -197,15 +199,17 @@ def _(v: Fixtures):
 
 
 _STAGE_RECORD = """
-'{"adapter":{"selector":"builtin.' || stage || '.v1"},"adapter_options":{},"capability":null,"dependencies":["' || dependency
-|| '"],"expected_outputs":["out/' || stage || '.json"],"id":"' || stage || '","invocation":{"argv":["run"]},"policy":"' || policy
+'{"adapter":{"selector":"builtin.' || stage || '.v1"},"adapter_options":{},"capability":null,"dependencies":[' || coalesce(dependencies, '')
+|| '],"expected_outputs":["out/' || stage || '.json"],"id":"' || stage || '","invocation":{"argv":["run"]},"policy":"' || policy
 || '","required_inputs":[],"workspace":"stages/' || stage || '"}'
 """
 
 
 @query("plan_digest", f"""
-with s as (select run_id, string_agg({_STAGE_RECORD}, ',' order by stage) as text from plan_stage group by run_id),
-e as (select run_id, string_agg('{{"from":"' || dependency || '","to":"' || stage || '"}}', ',' order by dependency, stage) as text from plan_stage group by run_id),
+with l as (select run_id, stage, string_agg('"' || dependency || '"', ',' order by dependency) as dependencies from plan_edge group by run_id, stage),
+s as (select p.run_id, string_agg({_STAGE_RECORD.replace("stage", "p.stage").replace("p.stages/", "stages/")}, ',' order by p.stage) as text
+      from plan_stage p left join l on l.run_id = p.run_id and l.stage = p.stage group by p.run_id),
+e as (select run_id, string_agg('{{"from":"' || dependency || '","to":"' || stage || '"}}', ',' order by dependency, stage) as text from plan_edge group by run_id),
 d as (select run_id, string_agg('{{"blocking":' || blocking || ',"code":"' || code || '","message":"' || message || '","stage":"' || stage || '"}}', ',' order by stage, code) as text
       from plan_diagnostic group by run_id)
 select h.run_id, sha256('{{"identity":{{"configuration":' || configuration_json || ',"diagnostics":[' || coalesce(d.text, '') || '],"edges":[' || coalesce(e.text, '')
@@ -215,11 +219,12 @@ from plan_head h left join s on s.run_id = h.run_id left join e on e.run_id = h.
 def _(v: Fixtures):
     record = stages.plan_stage_record(
         selector=F.concat(F.lit("builtin."), "stage", F.lit(".v1")), stage=F.col("stage"), policy=F.col("policy"),
-        dependencies=F.array("dependency"), expected_outputs=F.array(F.concat(F.lit("out/"), "stage", F.lit(".json"))),
+        dependencies=F.coalesce("dependencies", F.array().cast("array<string>")), expected_outputs=F.array(F.concat(F.lit("out/"), "stage", F.lit(".json"))),
         argv=F.array(F.lit("run")), workspace=F.concat(F.lit("stages/"), "stage"),
     )
-    plan = v.plan_stage.withColumn("record_json", record)
-    return stages.plan_digest(v.plan_head, plan, plan, v.plan_diagnostic)
+    listed = v.plan_edge.groupBy("run_id", "stage").agg(F.array_sort(F.collect_list("dependency")).alias("dependencies"))
+    plan = v.plan_stage.join(listed, ["run_id", "stage"], "left").withColumn("record_json", record)
+    return stages.plan_digest(v.plan_head, plan, v.plan_edge, v.plan_diagnostic)
 
 
 _REPORT_SQL = f"""

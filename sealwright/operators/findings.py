@@ -1,6 +1,9 @@
 """The findings table: every fault is a row with a stable code.
 
 ``finding(scope_id string, check_rank int, code string, path string, detail string)``
+
+Findings of pages may also carry ``order_page`` and ``order_pos``: the page a reader was on and the
+place in it, which the path of the finding need not tell.
 """
 
 from __future__ import annotations
@@ -26,18 +29,22 @@ def finding(
     code: str | Column,
     path: Column | str | None = None,
     detail: Column | str | None = None,
+    order: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Project rows that are faults already into the findings schema.
 
-    ``code`` and ``detail`` given as text are constants; columns are columns.
+    ``code`` and ``detail`` given as text are constants; columns are columns. ``order`` is the page
+    and the place in it.
     """
     rank = rank if isinstance(rank, Column) else F.lit(rank)
+    place = () if order is None else (order[0].cast("string").alias("order_page"), order[1].cast("long").alias("order_pos"))
     return df.select(
         F.col(scope).cast("string").alias("scope_id"),
         rank.cast("int").alias("check_rank"),
         _text(code).alias("code"),
         _text(path).alias("path"),
         _text(detail).alias("detail"),
+        *place,
     )
 
 
@@ -72,17 +79,21 @@ def faults(
 
 
 def union(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def first_finding(findings: DataFrame) -> DataFrame:
     """The single fault a fail-fast run would report, one row per scope.
 
     A minimum over structs merges map-side, so a scope with very many faults
-    costs one partial row per task.  Size comes before digest within a path.
+    costs one partial row per task.  Faults of a rank come by page and place in it where they
+    have these, else by path; size comes before digest within a path.
     """
+    paged = "order_page" in findings.columns
+    page = F.coalesce("order_page", "path") if paged else F.col("path")
+    pos = F.coalesce("order_pos", F.lit(0)) if paged else F.lit(0)
     after = F.when(F.col("code") == "payload.hash_mismatch", 1).otherwise(0)
-    least = F.min(F.struct("check_rank", "path", after.alias("after"), "code", "detail"))
+    least = F.min(F.struct("check_rank", page.alias("page"), pos.alias("pos"), after.alias("after"), "path", "code", "detail"))
     return findings.groupBy("scope_id").agg(least.alias("f")).select(
         "scope_id", "f.check_rank", "f.code", "f.path", "f.detail"
     )

@@ -6,7 +6,7 @@ would meet them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import contract as c
@@ -14,6 +14,7 @@ from ..functions import ids, ordered, paths
 from ..session import stored
 from .findings import faults, finding, union
 
+ORDER_RUN = 1 << 16
 RANK_LISTING = 10
 RANK_MANIFEST_TEXT = 20
 RANK_ENTRY = 25
@@ -139,15 +140,20 @@ def manifest_entry_audit(manifest: DataFrame) -> DataFrame:
 def order_audit(
     table: DataFrame, scope: str, key: str = "path", pos: str = "pos", code: str = "manifest.unsorted_entries"
 ) -> DataFrame:
-    """Stored order must be byte order; ``pos`` counts rows of a scope without gaps.
+    """Stored order must be byte order; positions may have gaps.
 
-    Each row meets its predecessor by an equi join on ``(scope, pos)``, which
-    spreads one scope over many tasks; a window would sort it in one.
+    Rows are ordered in runs of ORDER_RUN positions, so one scope spreads over many tasks; the last
+    key of each run, one row, meets the first row of the next.
     """
     rows = table.select(scope, F.col(pos).cast("long").alias("_pos"), F.col(key).alias("_key"))
-    before = rows.select(scope, (F.col("_pos") + 1).alias("_pos"), F.col("_key").alias("_before"))
-    unsorted = rows.join(before, [scope, "_pos"]).filter(F.col("_before") > F.col("_key"))
-    return finding(unsorted, scope, RANK_ORDER, code, F.col("_key"), F.col("_before"))
+    rows = rows.withColumn("_run", F.floor(F.col("_pos") / ORDER_RUN))
+    inside = Window.partitionBy(scope, "_run").orderBy("_pos", "_key")
+    lasts = rows.groupBy(scope, "_run").agg(F.max(F.struct("_pos", "_key")).alias("_last"))
+    ahead = Window.partitionBy(scope).orderBy("_run")
+    lasts = lasts.select(scope, "_run", F.lag("_last._key").over(ahead).alias("_ahead"))
+    before = F.coalesce(F.lag("_key").over(inside), "_ahead")
+    met = rows.join(lasts, [scope, "_run"]).withColumn("_before", before)
+    return finding(met.filter(F.col("_before") > F.col("_key")), scope, RANK_ORDER, code, F.col("_key"), F.col("_before"))
 
 
 def duplicate_ids(

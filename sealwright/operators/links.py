@@ -27,11 +27,16 @@ def anchors(parts: DataFrame) -> DataFrame:
     return parts.filter("kind = 'anchor'").select(*_PAGE, "pos", F.col("value").alias("name"))
 
 
-def unsupported_parts(parts: DataFrame) -> DataFrame:
+def _order(page, pos, ordered: bool):
+    return (page, pos) if ordered else None
+
+
+def unsupported_parts(parts: DataFrame, ordered: bool = False) -> DataFrame:
     """Pages with a base address or a source set, and pages without text, one finding per page and code."""
     pages = parts.filter(F.col("kind").isin("base", "srcset", markup.UNREADABLE)).select(*_PAGE, "kind").distinct()
     code = F.when(F.col("kind") == markup.UNREADABLE, "link.invalid_html_utf8").otherwise(F.concat(F.lit("link.unsupported_"), F.col("kind")))
-    return finding(pages, "bundle_id", RANK_PAGE, code, F.col("path"))
+    step = F.when(F.col("kind") == markup.UNREADABLE, 0).when(F.col("kind") == "base", 1).otherwise(2)
+    return finding(pages, "bundle_id", RANK_PAGE, code, F.col("path"), None, _order(F.col("path"), step, ordered))
 
 
 def invalid_html_utf8(payload: DataFrame) -> DataFrame:
@@ -40,9 +45,9 @@ def invalid_html_utf8(payload: DataFrame) -> DataFrame:
     return finding(bad, "bundle_id", RANK_PAGE, "link.invalid_html_utf8", F.col("path"))
 
 
-def duplicate_anchors(anchor: DataFrame) -> DataFrame:
+def duplicate_anchors(anchor: DataFrame, ordered: bool = False) -> DataFrame:
     repeated = anchor.groupBy(*_PAGE, "name").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return finding(repeated, "bundle_id", RANK_PAGE, "link.ambiguous_fragment", F.col("path"), F.col("name"))
+    return finding(repeated, "bundle_id", RANK_PAGE, "link.ambiguous_fragment", F.col("path"), F.col("name"), _order(F.col("path"), F.lit(3), ordered))
 
 
 def resolve_links(link: DataFrame) -> DataFrame:
@@ -54,9 +59,9 @@ def resolve_links(link: DataFrame) -> DataFrame:
     return told.withColumn("code", code).drop("_nfc")
 
 
-def resolution_findings(resolved: DataFrame) -> DataFrame:
+def resolution_findings(resolved: DataFrame, ordered: bool = False) -> DataFrame:
     bad = resolved.filter(F.col("code").isNotNull())
-    return finding(bad, "bundle_id", RANK_LINK, F.col("code"), F.col("path"), F.col("reference"))
+    return finding(bad, "bundle_id", RANK_LINK, F.col("code"), F.col("path"), F.col("reference"), _order(F.col("path"), F.col("pos"), ordered))
 
 
 def _missing(resolved: DataFrame, payload: DataFrame) -> DataFrame:
@@ -66,13 +71,13 @@ def _missing(resolved: DataFrame, payload: DataFrame) -> DataFrame:
     return wanted.join(have, ["bundle_id", "target"], "left_anti")
 
 
-def link_target_check(resolved: DataFrame, payload: DataFrame) -> DataFrame:
+def link_target_check(resolved: DataFrame, payload: DataFrame, ordered: bool = False) -> DataFrame:
     usable = resolved.filter(F.col("code").isNull())
     dangling = usable.join(_missing(resolved, payload), ["bundle_id", "target"], "left_semi")
-    return finding(dangling, "bundle_id", RANK_LINK, "link.missing_target", F.col("target"), F.col("path"))
+    return finding(dangling, "bundle_id", RANK_LINK, "link.missing_target", F.col("target"), F.col("path"), _order(F.col("path"), F.col("pos"), ordered))
 
 
-def link_fragment_check(resolved: DataFrame, payload: DataFrame, anchor: DataFrame) -> DataFrame:
+def link_fragment_check(resolved: DataFrame, payload: DataFrame, anchor: DataFrame, ordered: bool = False) -> DataFrame:
     """Fragments of links whose target exists: page targets only, and a known anchor."""
     keys = ["bundle_id", "target", "fragment"]
     usable = resolved.filter(F.col("code").isNull() & (F.coalesce(F.col("fragment"), F.lit("")) != ""))
@@ -86,10 +91,11 @@ def link_fragment_check(resolved: DataFrame, payload: DataFrame, anchor: DataFra
         wanted.filter(is_page).join(named, keys, "left_anti").withColumn("_code", F.lit("link.missing_fragment")),
     )
     hits = usable.join(bad, keys)
+    order = _order(F.col("path"), F.col("pos"), ordered)
     broken = resolved.filter(F.col("code").isNull() & F.col("bad_fragment")).join(have, ["bundle_id", "target"], "left_semi")
     return union(
-        finding(hits, "bundle_id", RANK_LINK, F.col("_code"), F.col("target"), F.concat_ws("#", "path", "fragment")),
-        finding(broken, "bundle_id", RANK_LINK, "link.invalid_percent_utf8", F.col("path"), F.col("reference")),
+        finding(hits, "bundle_id", RANK_LINK, F.col("_code"), F.col("target"), F.concat_ws("#", "path", "fragment"), order),
+        finding(broken, "bundle_id", RANK_LINK, "link.invalid_percent_utf8", F.col("path"), F.col("reference"), order),
     )
 
 

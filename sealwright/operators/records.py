@@ -187,37 +187,22 @@ def run_report_audit(
 # --- text cleaning ----------------------------------------------------------
 
 def redact_secrets(log_text: DataFrame, secret: DataFrame, column: str = "text") -> DataFrame:
-    """Replace every protected literal, in list order, by a fixed mark.
+    """Replace every protected literal of a row's run, in list order, by a fixed mark.
 
-    ``secret`` is ``(ord, literal)``, optionally per ``run_id``.  Literals of a
-    run are configuration, so they travel as one ordered array: by a join on the
-    run where they are per run, else as one scalar value whose size is checked.
+    ``secret`` is ``(run_id, ord, literal)``. The literals of a run are its configuration, so they
+    travel as one ordered array; null and empty ones protect nothing.
     """
     useful = secret.filter(F.coalesce(F.col("literal"), F.lit("")) != "")
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "literal"))), lambda item: item["literal"]
-    ).alias("_literals")
-
-    def redacted(literals: Column) -> Column:
-        return F.aggregate(
-            literals, F.col(column), lambda done, literal: F.replace(done, literal, F.lit(c.REDACTED))
-        )
-
-    if "run_id" in secret.columns:
-        per_run = useful.groupBy("run_id").agg(ordered)
-        return (
-            log_text.join(per_run, "run_id", "left")
-            .withColumn(column, F.coalesce(redacted(F.col("_literals")), F.col(column)))
-            .drop("_literals")
-        )
-    limit = 64 << 20
-    checked = useful.agg(ordered, F.sum(F.octet_length("literal")).alias("_bytes")).select(
-        F.when(F.coalesce(F.col("_bytes"), F.lit(0)) <= limit, F.col("_literals"))
-        .otherwise(F.raise_error(F.lit("a global secret list beyond 64 MB needs a run_id column")))
-        .alias("_literals")
+    listed = F.array_sort(F.collect_list(F.struct("ord", "literal")))
+    per_run = useful.groupBy("run_id").agg(F.transform(listed, lambda item: item["literal"]).alias("_literals"))
+    redacted = F.aggregate(
+        F.col("_literals"), F.col(column), lambda done, literal: F.replace(done, literal, F.lit(c.REDACTED))
+    )
+    return (
+        log_text.join(per_run, "run_id", "left")
+        .withColumn(column, F.coalesce(redacted, F.col(column)))
+        .select(*log_text.columns)
     )
-    staged = log_text.withColumn("_literals", checked.scalar())
-    return staged.withColumn(column, redacted(F.col("_literals"))).drop("_literals")
 
 
 def clean_diagnostics(diagnostic: DataFrame) -> DataFrame:

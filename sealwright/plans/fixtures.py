@@ -297,7 +297,11 @@ view("logs", """
 select conv_id as run_id, turn as seq, text from conversations
 """)
 
-# ordered protected literals
+# ordered protected literals of each run: first words and whole texts
 view("secret", """
-select item_id as ord, split_part(text, ' ', 1) as literal from benchmark
+select r.run_id, b.ord, b.literal
+from (select distinct conv_id as run_id from conversations) r
+join (select item_id as ord, item_id % 10 as part, split_part(text, ' ', 1) as literal from benchmark
+      union all select 100000 + item_id, item_id % 10, text from benchmark
+      union all select 200000 + item_id, item_id % 10, '' from benchmark) b on r.run_id % 10 = b.part
 """)
