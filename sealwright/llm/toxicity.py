@@ -149,6 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     clean = words.where("odds > 0").groupBy(F.round("odds", 1).alias("odds")).agg(F.sum(F.col("n") - F.col("t")).alias("c")).collect()
     lexicon = Lexicon({k: v if v is not None else math.log(1 - DENSITY) for k, v in entries.items()}, {r.stem: r.odds for r in listed.collect()})
     lexicon.scale = _lambda([(r.odds, r.c / (every.n - every.t)) for r in clean], lexicon.other)
+    # segments begin at lexicon words, so their number in clean text follows from how often it has these
+    hits = (sum(r.c for r in clean) + 0.5) / (every.n - every.t + 1)
+    lexicon.spread = min(1.0, hits * math.exp(lexicon.scale * LEAST_ODDS))
     return lexicon
 
 

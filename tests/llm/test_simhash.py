@@ -77,11 +77,12 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_wide_pairs_go_deeper(spark):
     rng = np.random.default_rng(4)
-    near = np.unique(np.int64(5 << 50) ^ np.left_shift(np.int64(1), rng.integers(0, 63, 300)) ^ np.left_shift(np.int64(1), rng.integers(0, 63, 300)))
-    values = [int(x) for x in near] + [int(x) for x in rng.integers(-(2**63), 2**63, 300)]
+    flips = [np.left_shift(np.int64(1), rng.integers(48, 63, 120)) for _ in range(2)]
+    near = np.unique(np.int64(5 << 20) ^ flips[0] ^ flips[1])
+    values = [int(x) for x in near] + [int(x) for x in rng.integers(-(2**63), 2**63, 100)]
     frame = spark.createDataFrame([(v,) for v in values], "fp long")
     ways = []
-    for most in (1 << 20, 40):
+    for most in (1 << 20, 60):
         found = simhash.trie_join(frame, pair_rows=most)
         from sealwright.llm import common
 
