@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 #: Words of the contracts: runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +35,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Shuffle files of the write are of no use after it and are dropped at once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/llm/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
@@ -44,7 +46,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts are long: 1,000 of them to an Arrow batch where the session has left the 10,000 of Spark."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 

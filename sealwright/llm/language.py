@@ -27,7 +27,7 @@ PART = 0.05
 HASHES, ROWS_PER_GRAM = 3, 8
 UNKNOWN = "und"
 #: Code points handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
