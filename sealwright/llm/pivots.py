@@ -111,7 +111,7 @@ def candidates(left: np.ndarray, right: np.ndarray, pivot: int) -> np.ndarray:
         both = left[:, w, None] & right[None, :, w]
         shared += np.bitwise_count(both)
         if 64 * w <= pivot:
-            before |= (both & np.uint64((1 << min(64, pivot - 64 * w)) - 1)) != 0
+            before |= (both & np.uint64((1 << min(64, int(pivot) - 64 * w)) - 1)) != 0
     return (shared >= SHARED) & ~before
 
 
