@@ -33,7 +33,7 @@ from stage
 """)
 view("plan_stage", "select run_id, stage, policy from stage")
 # stages with no, one and two dependencies
-view("plan_edge", """
+view("plan_dependency", """
 select d.run_id, d.stage, d.dependency from stage_dep d join stage s on s.run_id = d.run_id and s.stage = d.stage where d.dependency is not null
 union all select run_id, stage, 'preflight' from stage where stage = 'purchase'
 """)
@@ -206,10 +206,10 @@ _STAGE_RECORD = """
 
 
 @query("plan_digest", f"""
-with l as (select run_id, stage, string_agg('"' || dependency || '"', ',' order by dependency) as dependencies from plan_edge group by run_id, stage),
+with l as (select run_id, stage, string_agg('"' || dependency || '"', ',' order by dependency) as dependencies from plan_dependency group by run_id, stage),
 s as (select p.run_id, string_agg({_STAGE_RECORD.replace("stage", "p.stage").replace("p.stages/", "stages/")}, ',' order by p.stage) as text
       from plan_stage p left join l on l.run_id = p.run_id and l.stage = p.stage group by p.run_id),
-e as (select run_id, string_agg('{{"from":"' || dependency || '","to":"' || stage || '"}}', ',' order by dependency, stage) as text from plan_edge group by run_id),
+e as (select run_id, string_agg('{{"from":"' || dependency || '","to":"' || stage || '"}}', ',' order by dependency, stage) as text from plan_dependency group by run_id),
 d as (select run_id, string_agg('{{"blocking":' || blocking || ',"code":"' || code || '","message":"' || message || '","stage":"' || stage || '"}}', ',' order by stage, code) as text
       from plan_diagnostic group by run_id)
 select h.run_id, sha256('{{"identity":{{"configuration":' || configuration_json || ',"diagnostics":[' || coalesce(d.text, '') || '],"edges":[' || coalesce(e.text, '')
@@ -222,9 +222,9 @@ def _(v: Fixtures):
         dependencies=F.coalesce("dependencies", F.array().cast("array<string>")), expected_outputs=F.array(F.concat(F.lit("out/"), "stage", F.lit(".json"))),
         argv=F.array(F.lit("run")), workspace=F.concat(F.lit("stages/"), "stage"),
     )
-    listed = v.plan_edge.groupBy("run_id", "stage").agg(F.array_sort(F.collect_list("dependency")).alias("dependencies"))
+    listed = v.plan_dependency.groupBy("run_id", "stage").agg(F.array_sort(F.collect_list("dependency")).alias("dependencies"))
     plan = v.plan_stage.join(listed, ["run_id", "stage"], "left").withColumn("record_json", record)
-    return stages.plan_digest(v.plan_head, plan, v.plan_edge, v.plan_diagnostic)
+    return stages.plan_digest(v.plan_head, plan, v.plan_dependency, v.plan_diagnostic)
 
 
 _REPORT_SQL = f"""
