@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +31,8 @@ AROUND = THRESHOLD - DIGIT + 1
 REACH = AROUND - 1
 EVERY = (1 << AROUND) - 1
 CONTEXT = DIGIT + 2 * REACH
-#: Windows handled at once; bytes of text that one group of the radix passes stands for.
-SEGMENT, GROUP = 1 << 20, 1 << 22
+#: Windows handled at once; bytes of text that are packed at once, and that one group of the radix passes stands for.
+SEGMENT, SLICE, GROUP = 1 << 18, 1 << 22, 1 << 22
 _LOW = np.uint64((1 << 21) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _ONE = np.uint64(1)
@@ -123,8 +124,8 @@ def suffixes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _group_of(digit: np.ndarray, groups: int) -> np.ndarray:
-    """The digit's range: groups are ranges of the first digit."""
-    return ((digit >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    """The group of a first digit. Digits are the least hashes around, so they are mixed once more to spread evenly."""
+    return ((_mix(digit) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -138,7 +139,7 @@ def _unplanes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-#: Bytes of a sorted suffix: digit (its range is known), context, document, tag, place.
+#: Bytes of a sorted suffix: digit (its group tells more of it), context, document, tag, place.
 _WIDTHS = (6, 6, 8, 4, 5)
 
 
@@ -164,6 +165,18 @@ def _dealt(groups: np.ndarray, columns: list[np.ndarray], pack) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(kinds, ["grp", "n", "blob"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE bytes of text, so that a task's memory does not depend on its batches."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column("text").cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + SLICE, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a batch's texts end to end, and where they begin; null texts are empty."""
     column = batch.column("text").cast(pa.binary()).fill_null(b"")
@@ -173,7 +186,7 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         data, starts = _texts(batch)
         text, place, digit, context = suffixes(data, starts)
         ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
@@ -204,7 +217,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _sort_first(table: pa.Table) -> pa.Table:
-    """Entries of one range of first digits: (document, place << AROUND | mask of repeated windows).
+    """Entries of one group of first digits: (document, place << AROUND | mask of repeated windows).
 
     Mask 0 marks a suffix whose windows the second pass has to sort.
     """
@@ -232,17 +245,17 @@ _CONTEXT_WIDTHS = (8, 4, 5, 1, 1)
 
 def _contexts(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """The bytes around the suffixes of ``entries``, dealt by their first digit again."""
-    for batch in batches:
+    for batch in _slices(batches):
         data, starts = _texts(batch)
         lists = batch.column("entries")
-        text = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
-        place = np.asarray(lists.flatten()).astype(np.int64) >> AROUND
+        text = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) >> AROUND
         ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)[text]
         tags = np.asarray(batch.column("tag").to_numpy(zero_copy_only=False), np.int64)[text]
         left = np.minimum(REACH, place)
         right = np.minimum(REACH, starts[text + 1] - starts[text] - place - DIGIT)
-        at = (starts[text] + place)[:, None] + np.arange(-REACH, DIGIT + REACH)
-        around = data[np.clip(at, 0, max(0, len(data) - 1))] if len(data) else np.zeros((0, CONTEXT), np.uint8)
+        padded = np.pad(data, REACH)
+        around = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[starts[text] + place] if len(text) else np.zeros((0, CONTEXT), np.uint8)
         gram = _mix(_linear(around[:, REACH : REACH + DIGIT], 1))
         columns = [ids.view(np.uint64), tags.view(np.uint64), place, left, right, around]
         yield _dealt(_group_of(gram, groups), columns, lambda c: _pack(c[:5], _CONTEXT_WIDTHS) + c[5].tobytes())
