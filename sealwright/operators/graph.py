@@ -337,6 +337,58 @@ def _relation_edges(
     return edges
 
 
+def _absent(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not known; popular keys meet ``known`` once, and only failing ones come back to their rows."""
+    missing = rows.select(*keys).distinct().join(known.select(*keys).distinct(), keys, "left_anti")
+    return rows.join(missing, keys, "left_semi")
+
+
+def assembly_findings(records: Mapping[str, DataFrame]) -> DataFrame:
+    """Records that :func:`assemble` can give no node or edge, as rows.
+
+    Absent endpoints of symbol mappings, coverage relations, stage outputs and logs; symbols that a
+    relation could mean more than one of; mappings that repeat a reference id or a semantic target;
+    lines and columns that are no positive canonical decimals.
+    """
+    found: list[DataFrame] = []
+
+    def report(rows: DataFrame, code: str, path: Column, detail: str | None = None) -> None:
+        found.append(finding(rows, "graph_id", 0, f"artifact_graph.{code}", path, detail))
+
+    sources = records["snapshot_file"].filter("kind = 'file'").select("graph_id", F.col("path").alias("source_path"))
+    if "symbol_mapping" in records and "api_artifact" in records:
+        mapped, refid = records["symbol_mapping"], F.col("refid")
+        pages = records["api_artifact"].filter("kind = 'api-page'").select("graph_id", F.col("path").alias("html_path"))
+        report(_absent(mapped, pages, ["graph_id", "html_path"]), "missing_endpoint", refid, "page")
+        report(_absent(mapped, sources, ["graph_id", "source_path"]), "missing_endpoint", refid, "source")
+        for keys, detail in ((["refid"], "reference id"), (["source_path", "qualified_name", "html_path", "html_anchor"], "target")):
+            repeated = mapped.groupBy("graph_id", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("refid").alias("_first")).filter("_n > 1")
+            report(repeated, "duplicate_node_id", F.col("_first"), detail)
+        for place in ("line", "column"):
+            if place in mapped.columns:
+                text = F.col(place).cast("string")
+                report(mapped.filter(text.isNotNull() & ~text.rlike(c.POSITIVE_SIZE)), "invalid_identity", refid, place)
+        if "coverage_relation" in records:
+            keys = ["graph_id", "source_path", "symbol"]
+            names = mapped.select("graph_id", "source_path", F.col("qualified_name").alias("symbol"))
+            many = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+            report(records["coverage_relation"].join(many, keys, "left_semi"), "ambiguous_relation", F.col("report_path"), "symbol")
+    if "coverage_relation" in records and "coverage_artifact" in records:
+        relation = records["coverage_relation"]
+        reports = records["coverage_artifact"].select("graph_id", F.col("path").alias("report_path"))
+        report(_absent(relation, reports, ["graph_id", "report_path"]), "missing_endpoint", F.col("report_path"), "report")
+        report(_absent(relation, sources, ["graph_id", "source_path"]), "missing_endpoint", F.col("source_path"), "source")
+    if "stage_result" in records:
+        results = records["stage_result"]
+        for name, detail in (("stage_output", "output"), ("producer_log", "log")):
+            if name in records:
+                report(_absent(records[name], results, ["graph_id", "stage"]), "missing_endpoint", F.col("path"), detail)
+        if "producer_log" in records:
+            idle = results.filter(~F.col("executed")).select("graph_id", "stage").distinct()
+            report(records["producer_log"].join(idle, ["graph_id", "stage"], "left_semi"), "stage_output_mismatch", F.col("path"), "log")
+    return union(*found) if found else finding(sources.limit(0), "graph_id", 0, "artifact_graph.missing_endpoint")
+
+
 # --- field audits -----------------------------------------------------------
 
 def rule_table(spark: SparkSession) -> DataFrame:
