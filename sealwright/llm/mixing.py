@@ -157,8 +157,13 @@ def apply(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     joined = rows.join(got, "rid")
     # each word with the spaces before it, so that a part keeps its lines
     words = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))
-    parts = F.transform("ranges", lambda r: F.slice(words, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))
-    part = F.when(F.size("ranges") > 0, F.array_join(F.flatten(parts), ""))
+
+    def cut(bound: Column) -> Column:
+        parts = F.transform("ranges", lambda r: F.slice(bound, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))
+        return F.array_join(F.flatten(parts), "")
+
+    # bound once, so that a text is taken apart once and not for each of its ranges
+    part = F.when(F.size("ranges") > 0, F.transform(F.array(words), cut)[0])
     copies = F.array_repeat(F.col("row.text").cast("string"), F.col("rounds").cast("int"))
     texts = F.filter(F.concat(copies, F.array(part)), lambda t: t.isNotNull())
     return joined.select("row", F.explode(texts).alias("_text")).select(
