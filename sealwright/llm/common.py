@@ -29,6 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of the tables staged so far by this driver.
+STAGED: list[str] = []
+
+
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in STAGED:
+            STAGED.remove(folder)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cut lineage that survives lost executors.
 
@@ -43,6 +57,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
