@@ -9,7 +9,7 @@ from ..functions import ordered
 from ..operators import findings, inventory
 from ..plans.fixtures import Fixtures, view
 from ..sources import manifests
-from . import query
+from . import query, stages
 
 MANIFEST_SCHEMA = c.schema_id("bundle-manifest.v1")
 TREE_SCHEMA = c.schema_id("coverage-report-tree.v1")
@@ -363,6 +363,70 @@ def _(v: Fixtures):
     return _verified(v).select("scope_id", "check_rank", "code", "path", "detail")
 
 
+def _read_checksums(v: Fixtures):
+    rows = ordered.lines(
+        v.checksum_line, ["bundle_id"], F.lpad(F.col("pos").cast("string"), 12, "0"), F.concat("line", F.lit("\n"))
+    )
+    text = ordered.ordered_text(rows, ["bundle_id"], ["", ""], separator="")
+    return manifests.read_checksums(ordered.whole_text(text, ["bundle_id"]))
+
+
+# the texts of a bundle: seeded faults of a manifest by the bundle's number, with the rank of each
+_MANIFEST_FAULTS = (
+    (1, '{"entries":', '{"entries":[],"entries":', 0, "manifest.duplicate_member"),
+    (2, '{"entries":', '{"entries":,', 1, "manifest.invalid_json"),
+    (3, '{"entries":', '{"added":1,"entries":', 3, "manifest.invalid_shape"),
+    (4, MANIFEST_SCHEMA, MANIFEST_SCHEMA + "9", 4, "manifest.unsupported_schema"),
+    (5, '{"entries":', '{ "entries":', 2, "manifest.noncanonical"),
+)
+# checksum lines that are well formed, as the view checksum_line seeds the others
+view("checksum_kept", "select bundle_id, sha256, path, pos from checksum_line where pos % 41 <> 0 and pos % 43 <> 0")
+# a bundle takes the least run of the user with its number
+view("bundle_run", """
+select d.bundle_id, min(run_id) as run_id
+from run_head join (select distinct source as bundle_id from documents) d on d.bundle_id = 'src' || split_part(run_id, '-', 1)
+group by d.bundle_id
+""")
+_KEPT_CHECKSUM_SQL = VERIFY_CHECKSUM_SQL.replace("from checksum", "from checksum_kept")
+_MANIFEST_FAULT_SQL = " union all ".join(
+    f"select distinct source as scope_id, {inventory.RANK_MANIFEST_TEXT + rank} as check_rank, '{code}' as code, cast(null as varchar) as path, cast(null as varchar) as detail "
+    f"from documents where cast(substr(source, 4) as int) % 6 = {n}"
+    for n, _old, _new, rank, code in _MANIFEST_FAULTS
+)
+_REPORT_FAULT_SQL = " union all ".join(
+    f"select b.bundle_id as scope_id, 70 as check_rank, 'run_report.invalid_shape' as code, cast(null as varchar) as path, '{detail}' as detail "
+    f"from ({stages._REPORT_SQL}) r join bundle_run b on b.run_id = r.run_id where r.run_id like '%{digit}' and contains(text, '{old}')"
+    for digit, old, _new, detail in stages._TAMPER
+)
+
+
+@query("verify_bundle_texts", f"""
+with closure as ({CLOSURE_SQL}), dirs as ({DIRECTORY_SQL}), bytes as ({DIGEST_SQL}), points as ({ENTRY_POINT_SQL}), sums as ({_KEPT_CHECKSUM_SQL}), pages as ({VERIFY_PAGE_SQL}),
+texts as ({_MANIFEST_FAULT_SQL}), reports as ({_REPORT_FAULT_SQL})
+select * from closure union all select * from dirs union all select * from bytes union all select * from points
+union all select * from sums union all select * from pages union all select * from texts union all select * from reports
+union all select bundle_id, 60, 'checksums.noncanonical', null, cast(pos - 1 as varchar) from checksum_line where pos % 41 = 0 or pos % 43 = 0
+""")
+def _(v: Fixtures):
+    """``verify_bundles`` with all its inputs: texts of manifests, checksum lines as read, run reports."""
+    from ..plans import verify
+
+    pages = v.html_talk.select("bundle_id", "path", F.col("html_part").alias("html"))
+    numbered = v.manifest_numbered.select("bundle_id", "path", "sha256", "size", "pos")
+    points = v.entry_points.withColumnRenamed("index_path", "index")
+    text, number = F.col("text"), F.substring("bundle_id", 4, 9).cast("int") % 6
+    for n, old, new, _rank, _code in _MANIFEST_FAULTS:
+        text = F.when(number == n, F.replace(F.col("text"), F.lit(old), F.lit(new))).otherwise(text)
+    manifest_text = _manifest_text(v).select("bundle_id", text.alias("text"))
+    report = F.col("text")
+    for digit, old, new, _detail in stages._TAMPER:
+        report = F.when(F.col("run_id").endswith(digit), F.replace(F.col("text"), F.lit(old), F.lit(new))).otherwise(report)
+    whole = ordered.whole_text(stages._reports(v), ["run_id"]).join(v.bundle_run, "run_id")
+    reports = whole.select("bundle_id", report.alias("report"))
+    found = verify.verify_bundles(v.payload, numbered, points, _read_checksums(v), v.listing, pages, reports, manifest_text=manifest_text)
+    return found.select("scope_id", "check_rank", "code", "path", "detail")
+
+
 @query("append_new_releases", """
 select c.root, c.bundle_id, c.run_report_sha256,
        case when r.bundle_id is null then 'append' when r.run_report_sha256 = c.run_report_sha256 then 'reuse'
