@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealwright.llm import language, mixing, packing, pii, pivots, quality, repeats, simhash, token_scan, toxicity
+from sealwright.llm import (
+    language,
+    mixing,
+    packing,
+    pii,
+    pivots,
+    postings,
+    quality,
+    repeats,
+    signatures,
+    simhash,
+    token_scan,
+    toxicity,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +37,9 @@ def queries() -> dict[str, Query]:
         "op8_embedding_near_dedup": pivots.query,
         "op9_repeated_passages": repeats.query,
         "op10_token_counts": token_scan.query,
+        "op11_embedding_whitening": whitening.query,
+        "op12_ranked_search": signatures.query,
+        "op13_benchmark_decontamination": postings.query,
     }
 
 
@@ -43,4 +60,8 @@ from v join least on least.a = v.vec_id left join n on n.a = v.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_near_dedup": _PAIRS_SQL}
+    return {
+        "op8_embedding_near_dedup": _PAIRS_SQL,
+        "op12_ranked_search": signatures.SQL,
+        "op13_benchmark_decontamination": postings.SQL,
+    }
