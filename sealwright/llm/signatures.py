@@ -16,7 +16,7 @@ import math
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +31,9 @@ from sealwright.llm import common
 TOP = 50
 #: BM25 with k1 = 2 and b = 0.5, in thousandths and hundredths.
 ONE, B = 1_000_000_000, 50
-#: Filter bits for each entry, and slices of one entry.
-BITS, HASHES = 14, 4
+#: Filter bits for each entry, and slices of one entry: a rare term weighs more than all common ones together, so one
+#: seen falsely makes a document a candidate, and an item has some forty terms.
+BITS, HASHES = 24, 10
 #: An entry tells that a term occurs at least so often; beyond the last the document's words bound it.
 STEPS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 29, 38, 50, 65, 85, 110, 150, 200, 300, 500, 1000, 2500, 10_000)
 #: Entries and documents of a block.
@@ -52,17 +53,31 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").translate(_LOW))
 
 
-def _slots(hashes: np.ndarray, step: int, slots: int) -> np.ndarray:
+def _slots(hashes: np.ndarray, steps: np.ndarray | int, slots: int) -> np.ndarray:
     """The slices of entries (term hash, step): HASHES rows of numbers below ``slots``."""
     with np.errstate(over="ignore"):
-        mixed = (hashes + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (hashes + np.asarray(steps).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
         one, two = mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) * np.uint64(2) + np.uint64(1)
-        return np.stack([((one + np.uint64(k) * two) & np.uint64(0xFFFFFFFF)) % np.uint64(slots) for k in range(HASHES)]).astype(np.int64)
+        turns = np.arange(HASHES, dtype=np.uint64)[:, None]
+        return (((one + turns * two) & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(np.int64)
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+def _hash(words: Iterable[str], known: dict[str, int] | None = None) -> np.ndarray:
+    """64-bit hashes of terms; ``known`` keeps those of terms met before."""
+    if known is None:
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.array([known[w] for w in words], np.uint64)
+
+
+def entries(hashes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term hash, step) of each filter entry of terms that reach ``often`` steps."""
+    starts = np.cumsum(often) - often
+    return np.repeat(hashes, often), np.arange(int(often.sum())) - np.repeat(starts, often)
 
 
 class _Block:
@@ -74,11 +89,10 @@ class _Block:
         self.ids: list[int] = []
         self.texts: list[int] = []
         self.sizes: list[int] = []
-        self.bits: list[np.ndarray] = []
+        self.entries: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, row: int, text: int, size: int, hashes: np.ndarray, counts: np.ndarray) -> bool:
-        at = [_slots(hashes[counts >= step], k, self.slots).ravel() for k, step in enumerate(STEPS) if k == 0 or (counts >= step).any()]
-        self.bits.append(np.unique(np.concatenate(at)))
+    def add(self, row: int, text: int, size: int, hashes: np.ndarray, steps: np.ndarray) -> bool:
+        self.entries.append((hashes, steps))
         self.ids.append(row)
         self.texts.append(text)
         self.sizes.append(size)
@@ -86,12 +100,14 @@ class _Block:
 
     def row(self) -> dict:
         n = len(self.ids)
-        width = -(-n // 64) * 8
-        slices = np.zeros((self.slots, width), np.uint8)
-        for k, slots in enumerate(self.bits):
-            slices[slots, k >> 3] |= np.uint8(1 << (k & 7))
+        slots = _slots(*(np.concatenate(c) for c in zip(*self.entries)), self.slots)
+        owner = np.repeat(np.arange(n), [len(h) for h, _ in self.entries])
+        bits = np.zeros((self.slots, -(-n // 64) * 64), bool)
+        for own in slots:
+            bits[own, owner] = True
         packed = {"ids": self.ids, "texts": self.texts, "sizes": self.sizes}
-        return {"slots": self.slots, "slices": slices.tobytes()} | {c: np.array(v, np.int64).tobytes() for c, v in packed.items()}
+        slices = np.packbits(bits, axis=1, bitorder="little").tobytes()
+        return {"slots": self.slots, "slices": slices} | {c: np.array(v, np.int64).tobytes() for c, v in packed.items()}
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
@@ -102,6 +118,7 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks: dict[int, _Block] = {}
     seen: Counter = Counter()
+    known: dict[str, int] = {}
     for batch in batches:
         docs = total = 0
         for row, digest, text in zip(*(batch.column(c).to_pylist() for c in ("_id", "_digest", "_text"))):
@@ -111,17 +128,18 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, size = docs + 1, sum(counts.values())
             total += size
             seen.update(counts.keys())
-            words, often = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            entries = int(np.searchsorted(STEPS, often, "right").sum())
-            kind = max(3, (entries - 1).bit_length())
+            often = np.searchsorted(STEPS, np.fromiter(counts.values(), np.int64, len(counts)), "right")
+            hashes, steps = entries(_hash(counts, known), often)
+            kind = max(3, (len(hashes) - 1).bit_length())
             block = blocks.setdefault(kind, _Block(kind))
-            if block.add(row, digest, size, _hash(words), often):
+            if block.add(row, digest, size, hashes, steps):
                 yield _rows([blocks.pop(kind).row()])
         if docs:
             yield _rows([{"docs": docs, "terms": total}])
         if len(seen) > WORDS:
             yield _rows([{"term": t, "df": n} for t, n in seen.items()])
             seen.clear()
+            known.clear()
     for block in blocks.values():
         yield _rows([block.row()])
     if seen:

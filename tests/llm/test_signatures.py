@@ -85,7 +85,8 @@ def test_bounds_are_never_below_scores():
     block.room = len(texts)
     bags = [Counter(signatures.terms(t)) for t in texts]
     for k, c in enumerate(bags):
-        block.add(k, 0, sum(c.values()), signatures._hash(list(c)), np.array(list(c.values())))
+        often = np.searchsorted(signatures.STEPS, np.array(list(c.values())), "right")
+        block.add(k, 0, sum(c.values()), *signatures.entries(signatures._hash(list(c)), often))
     row = block.row()
     words = sorted({t for c in bags for t in c})
     asked = [np.array(sorted(rng.sample(range(len(words)), 20))) for _ in range(10)]
