@@ -8,6 +8,7 @@ from .. import contract as c
 from ..functions import ids, ordered
 from ..operators import coverage, graph
 from ..plans.fixtures import Fixtures, view
+from ..session import stored
 from ..sources import sidecars
 from . import query
 
@@ -43,7 +44,7 @@ def _(v: Fixtures):
     record = ids.canonical({"fragment": None, **{n: F.col(n) for n in ("line", "report_path", "source_path", "symbol")}})
     listing = ordered.lines(v.relation.withColumn("_json", record), ["scope"], F.col("_json"), F.col("_json"))
     glue = ['{"relations":[', '],"report":{"entry_point":"index.html","tree_sha256":"%s"},"schema":"%s"}' % ("0" * 64, MAP_SCHEMA)]
-    return sidecars.read_relation_sidecars(ordered.whole_text(ordered.ordered_text(listing, ["scope"], glue), ["scope"]))
+    return sidecars.read_relation_sidecars(stored(ordered.ordered_text(listing, ["scope"], glue), "mapping-chunks"))
 
 
 @query("read_attestations", """

@@ -8,6 +8,7 @@ from .. import contract as c
 from ..functions import ordered
 from ..operators import findings, inventory
 from ..plans.fixtures import Fixtures, view
+from ..session import stored
 from ..sources import manifests
 from . import query, stages
 
@@ -81,7 +82,7 @@ def _(v: Fixtures):
 def _manifest_text(v: Fixtures):
     rows = v.manifest
     entries = ordered.lines(rows, ["bundle_id"], F.col("path"), inventory.entry_line())
-    return ordered.whole_text(ordered.ordered_text(entries, ["bundle_id"], inventory.manifest_glue()), ["bundle_id"])
+    return stored(ordered.ordered_text(entries, ["bundle_id"], inventory.manifest_glue()), "manifest-chunks")
 
 
 @query(
@@ -100,11 +101,7 @@ select bundle_id, pos - 1 as pos,
 from checksum_line
 """)
 def _(v: Fixtures):
-    rows = ordered.lines(
-        v.checksum_line, ["bundle_id"], F.lpad(F.col("pos").cast("string"), 12, "0"), F.concat("line", F.lit("\n"))
-    )
-    text = ordered.ordered_text(rows, ["bundle_id"], ["", ""], separator="")
-    return manifests.read_checksums(ordered.whole_text(text, ["bundle_id"]))
+    return _read_checksums(v)
 
 
 _CONTROL_SQL = f"""
@@ -367,8 +364,7 @@ def _read_checksums(v: Fixtures):
     rows = ordered.lines(
         v.checksum_line, ["bundle_id"], F.lpad(F.col("pos").cast("string"), 12, "0"), F.concat("line", F.lit("\n"))
     )
-    text = ordered.ordered_text(rows, ["bundle_id"], ["", ""], separator="")
-    return manifests.read_checksums(ordered.whole_text(text, ["bundle_id"]))
+    return manifests.read_checksums(stored(ordered.ordered_text(rows, ["bundle_id"], ["", ""], separator=""), "checksum-chunks"))
 
 
 # the texts of a bundle: seeded faults of a manifest by the bundle's number, with the rank of each
@@ -393,11 +389,7 @@ _MANIFEST_FAULT_SQL = " union all ".join(
     f"from documents where cast(substr(source, 4) as int) % 6 = {n}"
     for n, _old, _new, rank, code in _MANIFEST_FAULTS
 )
-_REPORT_FAULT_SQL = " union all ".join(
-    f"select b.bundle_id as scope_id, 70 as check_rank, 'run_report.invalid_shape' as code, cast(null as varchar) as path, '{detail}' as detail "
-    f"from ({stages._REPORT_SQL}) r join bundle_run b on b.run_id = r.run_id where r.run_id like '%{digit}' and contains(text, '{old}')"
-    for digit, old, _new, detail in stages._TAMPER
-)
+_REPORT_FAULT_SQL = stages.tamper_sql("b.bundle_id", f"({stages._REPORT_SQL}) r join bundle_run b on b.run_id = r.run_id")
 
 
 @query("verify_bundle_texts", f"""
@@ -417,12 +409,10 @@ def _(v: Fixtures):
     text, number = F.col("text"), F.substring("bundle_id", 4, 9).cast("int") % 6
     for n, old, new, _rank, _code in _MANIFEST_FAULTS:
         text = F.when(number == n, F.replace(F.col("text"), F.lit(old), F.lit(new))).otherwise(text)
-    manifest_text = _manifest_text(v).select("bundle_id", text.alias("text"))
-    report = F.col("text")
-    for digit, old, new, _detail in stages._TAMPER:
-        report = F.when(F.col("run_id").endswith(digit), F.replace(F.col("text"), F.lit(old), F.lit(new))).otherwise(report)
-    whole = ordered.whole_text(stages._reports(v), ["run_id"]).join(v.bundle_run, "run_id")
-    reports = whole.select("bundle_id", report.alias("report"))
+    # both literals stand once, in the first and in the last chunk
+    manifest_text = _manifest_text(v).select("bundle_id", "chunk", text.alias("text"))
+    whole = stages.whole_reports(v).join(v.bundle_run, "run_id")
+    reports = whole.select("bundle_id", stages.tampered(F.col("run_id"), F.col("text")).alias("report"))
     found = verify.verify_bundles(v.payload, numbered, points, _read_checksums(v), v.listing, pages, reports, manifest_text=manifest_text)
     return found.select("scope_id", "check_rank", "code", "path", "detail")
 

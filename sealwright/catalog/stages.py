@@ -44,8 +44,9 @@ view("plan_head", """
 select distinct run_id, '{"resolved":{"sha256":"' || sha2(run_id, 256) || '"}}' as configuration_json,
        '{"snapshot_id":"snapshot:sha256:' || sha2('s' || run_id, 256) || '"}' as snapshot_json from stage
 """)
-view("run_head", """
-select distinct run_id, '{"controlled_input":{"path":"inspector.json","sha256":"' || sha2(run_id, 256) || '","size":"1"}}' as configuration_json,
+view("run_head", f"""
+select distinct run_id, '{{"controlled_input":{{"path":"inspector.json","sha256":"' || sha2(run_id, 256) || '","size":"1"}},"defaults":{{"id":"builtin","sha256":"' || sha2('d', 256)
+  || '"}},"overrides":[{{"pointer":"/a","value":{{"n":[1,true,null]}}}}],"resolved":{{"sha256":"' || sha2('r' || run_id, 256) || '"}},"schema":{{"id":"{c.schema_id('config.v1')}","sha256":"' || sha2('s', 256) || '"}}}}' as configuration_json,
        sha2('p' || run_id, 256) as plan_sha256, 'snapshot:sha256:' || sha2('s' || run_id, 256) as snapshot_id, '0.1.0' as version from stage
 """)
 view("run_stage", "select run_id, stage, stage as ord, status, policy, sha2(run_id || stage || status, 256) as digest from stage")
@@ -251,25 +252,47 @@ def _(v: Fixtures):
     return _reports(v)
 
 
-# seeded faults by the last digit of the run's date
+# seeded faults by the last digit of the run's date: text, its replacement, code and detail of the finding
 _TAMPER = (
-    ("0", '"satisfied"', '"approved"', "decision"),
-    ("1", '"version":"0.1.0"', '"version":"0 1"', "version"),
-    ("2", '"certification",', "", "claim_boundary"),
-    ("3", '"kind":"stage-result"', '"kind":"Stage"', "artifact_counts"),
-    ("4", '"severity":"warning"', '"severity":"notice"', "diagnostics"),
-    ("5", "snapshot:sha256:", "snapshot:md5:", "snapshot_id"),
+    ("0", '"satisfied"', '"approved"', "invalid_shape", "decision"),
+    ("1", '"version":"0.1.0"', '"version":"0 1"', "invalid_shape", "version"),
+    ("2", '"certification",', "", "invalid_shape", "claim_boundary"),
+    ("3", '"kind":"stage-result"', '"kind":"Stage"', "invalid_shape", "artifact_counts"),
+    ("4", '"severity":"warning"', '"severity":"notice"', "invalid_shape", "diagnostics"),
+    ("5", "snapshot:sha256:", "snapshot:md5:", "invalid_shape", "snapshot_id"),
+    ("6", '{"artifact_counts":', 'x {"artifact_counts":', "invalid_json", None),
+    ("7", '"size":"1"', '"size":1', "invalid_shape", "configuration size"),
+    ("8", '"snapshot_id":', '"shadow":null,"snapshot_id":', "invalid_shape", "members"),
+    ("9", '"defaults":{', '"defaults":{"added":1,', "invalid_shape", "configuration members"),
 )
 
 
-@query("run_report_audit", "with r as (" + _REPORT_SQL + ") select run_id as scope_id, 70 as check_rank, 'run_report.invalid_shape' as code, cast(null as varchar) as path, detail from ("
-       + " union all ".join(f"select run_id, '{detail}' as detail from r where run_id like '%{digit}' and contains(text, '{old}')" for digit, old, new, detail in _TAMPER) + ") t")
+def tampered(run_id, text):
+    """The report's text with the fault of its run."""
+    out = text
+    for digit, old, new, _code, _detail in _TAMPER:
+        out = F.when(run_id.endswith(digit), F.replace(text, F.lit(old), F.lit(new))).otherwise(out)
+    return out
+
+
+def tamper_sql(scope: str, reports: str) -> str:
+    """Findings of the seeded faults; ``reports`` has ``run_id`` and ``text``."""
+    return " union all ".join(
+        f"select {scope} as scope_id, 70 as check_rank, 'run_report.{code}' as code, cast(null as varchar) as path, {f"'{detail}'" if detail else 'cast(null as varchar)'} as detail "
+        f"from {reports} where r.run_id like '%{digit}' and contains(text, '{old}')"
+        for digit, old, _new, code, detail in _TAMPER
+    )
+
+
+def whole_reports(v: Fixtures):
+    """``(run_id, text)``: run reports are records of a few kilobytes, and are read as such."""
+    chunk = F.struct("chunk", "text")
+    return _reports(v).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(chunk)), lambda x: x["text"]), "").alias("text"))
+
+
+@query("run_report_audit", "with r as (" + _REPORT_SQL + ") " + tamper_sql("run_id", "r"))
 def _(v: Fixtures):
-    text = F.col("text")
-    for digit, old, new, _detail in _TAMPER:
-        text = F.when(F.col("run_id").endswith(digit), F.replace(F.col("text"), F.lit(old), F.lit(new))).otherwise(text)
-    whole = ordered.whole_text(_reports(v), ["run_id"])
-    return records.run_report_audit(whole.withColumn("report", text))
+    return records.run_report_audit(whole_reports(v).withColumn("report", tampered(F.col("run_id"), F.col("text"))))
 
 
 # --- plug-ins ---------------------------------------------------------------

@@ -184,12 +184,6 @@ def ordered_text(
     return _framed(listing, names, glue, separator).mapInArrow(emit, schema)
 
 
-def whole_text(chunks: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Scope columns and ``text``: chunks put together, for readers that parse a text as one value (2 GB at most)."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk", "text")))
-    return chunks.groupBy(*scope).agg(F.array_join(F.transform(ordered, lambda c: c["text"]), "").alias("text"))
-
-
 def ordered_digest(
     listing: DataFrame, scope: Sequence[str], glue: DataFrame | Sequence[str], *, parts: int = 1, separator: str = ","
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import paths, pointers
+from ..functions import json_walk, paths, pointers
 from .findings import faults, finding, union
 
 OVERRIDES = 2
@@ -75,55 +75,92 @@ def override_overlap_audit(config_override: DataFrame, config_leaf: DataFrame) -
     )
 
 
-IDENTITY_TYPE = (
-    "controlled_input struct<path:string,sha256:string,size:string>,defaults struct<id:string,sha256:string>,"
-    "overrides array<struct<pointer:string>>,resolved struct<sha256:string>,schema struct<id:string,sha256:string>"
-)
+def identity_rules(at: str = "", prefix: str = "", namespace: str = c.DEFAULT_NAMESPACE) -> list[json_walk.Rule]:
+    """Rules of a configuration identity that stands at the path ``at``; details begin with ``prefix``."""
+    rule = json_walk.Rule
+    text, members = ("string",), f"{prefix}members"
 
+    def closed(path: str, *names: str) -> json_walk.Rule:
+        return rule(f"{at}{path}", ("object",), members, members=names)
+
+    def digest(path: str) -> json_walk.Rule:
+        return rule(f"{at}{path}/sha256", text, f"{prefix}digest", pattern=c.HEX64)
+
+    return [
+        closed("", "controlled_input", "defaults", "overrides", "resolved", "schema"),
+        closed("/controlled_input", "path", "sha256", "size"),
+        closed("/defaults", "id", "sha256"),
+        closed("/resolved", "sha256"),
+        closed("/schema", "id", "sha256"),
+        rule(f"{at}/overrides", ("array",), members),
+        closed("/overrides/[]", "pointer", "value"),
+        *[digest(f"/{name}") for name in ("controlled_input", "defaults", "resolved", "schema")],
+        rule(f"{at}/controlled_input/path", text, f"{prefix}path"),
+        rule(f"{at}/controlled_input/size", text, f"{prefix}size", pattern=c.SIZE),
+        rule(f"{at}/defaults/id", text, f"{prefix}defaults", pattern=r"(?s)\A.+\z"),
+        rule(f"{at}/schema/id", text, f"{prefix}schema", allowed=(c.schema_id("config.v1", namespace),)),
+        rule(f"{at}/overrides/[]/pointer", text, f"{prefix}pointer"),
+    ]
 
-def configuration_identity_audit(
-    identity: DataFrame, scope: str, json: str, namespace: str = c.DEFAULT_NAMESPACE
-) -> DataFrame:
-    """Shape, digests and override order of configuration identity records.
+
+def unsafe_values(nodes: DataFrame, at: str = "") -> DataFrame:
+    """Numbers within override values that are no integers, or beyond the range that every reader keeps."""
+    inside = F.col("path").startswith(f"{at}/overrides/[]/value")
+    size = F.abs(F.col("value").try_cast("decimal(38,0)"))
+    return nodes.filter(inside & ((F.col("type") == "number") | ((F.col("type") == "integer") & ~F.coalesce(size <= c.SAFE_INTEGER, F.lit(False)))))
+
+
+def pointer_rules(listed: Column, prefix: str = "") -> list[tuple[Column, str, str]]:
+    """Faults of a list of override pointers.
 
     Sorted pointers put an ancestor next to or before its descendants, but not
     always adjacent, so each pointer looks its own prefixes up in the array.
     """
-    keys = F.array(*[F.lit(k) for k in ("controlled_input", "defaults", "overrides", "resolved", "schema")])
-    rows = identity.select(
-        scope,
-        F.array_sort(F.json_object_keys(json)).eqNullSafe(keys).alias("_closed"),
-        F.from_json(json, IDENTITY_TYPE).alias("_i"),
-    ).withColumn("_pointers", F.transform("_i.overrides", lambda record: record["pointer"]))
-    i, listed = F.col("_i"), F.col("_pointers")
-
-    def hex64(value: Column) -> Column:
-        return F.coalesce(value.rlike(c.HEX64), F.lit(False))
-
     overlap = F.exists(
         listed,
         lambda pointer: F.exists(pointers.proper_prefixes(pointer), lambda prefix: F.array_contains(listed, prefix)),
     )
     code = "run_report.invalid_shape"
-    closed = F.col("_closed")
-    return faults(
-        rows, scope, 70, None,
-        (~closed, code, "members"),
-        (closed & paths.breaks_profile(i["controlled_input"]["path"]), "path.invalid", i["controlled_input"]["path"]),
-        (
-            closed & (
-                ~hex64(i["controlled_input"]["sha256"]) | ~hex64(i["defaults"]["sha256"])
-                | ~hex64(i["resolved"]["sha256"]) | ~hex64(i["schema"]["sha256"])
-            ),
-            code, "digest",
-        ),
-        (closed & ~F.coalesce(i["controlled_input"]["size"].rlike(c.SIZE), F.lit(False)), code, "size"),
-        (closed & (F.coalesce(i["defaults"]["id"], F.lit("")) == ""), code, "defaults"),
-        (closed & ~i["schema"]["id"].eqNullSafe(c.schema_id("config.v1", namespace)), code, "schema"),
-        (closed & (i["overrides"].isNull() | F.exists(listed, pointers.is_malformed)), code, "pointer"),
-        (
-            closed & ((F.array_sort(listed) != listed) | (F.size(F.array_distinct(listed)) != F.size(listed))),
-            code, "pointer order",
-        ),
-        (closed & F.coalesce(overlap, F.lit(False)), code, "pointer overlap"),
+    return [
+        (F.exists(listed, pointers.is_malformed), code, f"{prefix}pointer"),
+        (~json_walk.ascending(listed), code, f"{prefix}pointer order"),
+        (overlap, code, f"{prefix}pointer overlap"),
+    ]
+
+
+def configuration_identity_audit(
+    identity: DataFrame, scope: str, json: str, namespace: str = c.DEFAULT_NAMESPACE
+) -> DataFrame:
+    """Shape, digests and override order of configuration identity records, strictly read.
+
+    A text that is no JSON, a repeated member, an unknown or missing member at any level, a value of another
+    type, a number beyond the safe range inside an override are findings like those of digests and pointers. A record
+    whose outer members are not the exact ones has that finding only.
+    """
+    nodes = json_walk.walk(identity, [scope], json)
+    code = "run_report.invalid_shape"
+    bad = json_walk.broken(nodes, identity_rules(namespace=namespace), code)
+    outer = bad.filter("at = ''").select("doc").distinct()
+    path = (F.col("path") == "/controlled_input/path") & (F.col("type") == "string")
+    # a path that is absent has been told as a missing member
+    listed = json_walk.lists(nodes, [scope], pointers="/overrides/[]/pointer")
+    inner = union(
+        finding(nodes.filter(path & paths.breaks_profile(F.col("value"))), "doc", 70, "path.invalid", None, F.col("value")),
+        finding(unsafe_values(nodes), "doc", 70, code, None, "override value"),
+        finding(nodes.filter("repeated"), "doc", 70, code, None, "repeated member"),
+        finding(bad.filter("at <> ''"), "doc", 70, F.col("code"), None, F.col("detail")),
+        faults(listed, "doc", 70, None, *pointer_rules(F.col("pointers"))),
+    )
+    inner = inner.withColumn("doc", F.col("scope_id").cast("long")).join(outer, "doc", "left_anti")
+    outer_bad = bad.filter("at = ''")
+    invalid = nodes.filter(F.col("type") == json_walk.INVALID)
+    owners = nodes.filter("at = ''").select("doc", F.col(scope).cast("string").alias("_owner"))
+    told = union(
+        inner.drop("scope_id"),
+        finding(outer_bad, "doc", 70, F.col("code"), None, F.col("detail")).withColumn("doc", F.col("scope_id").cast("long")).drop("scope_id"),
+    ).distinct()
+    told = told.join(invalid.select("doc"), "doc", "left_anti").join(owners, "doc")
+    return union(
+        told.select(F.col("_owner").alias("scope_id"), "check_rank", "code", "path", "detail"),
+        finding(invalid, scope, 70, code, None, "members"),
     )

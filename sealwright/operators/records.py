@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import ids, json_text, paths, text
+from ..functions import ids, json_text, json_walk, paths, text
+from . import configuration
 from .findings import faults, finding, union
 
 
@@ -104,84 +105,98 @@ def safe_number_audit(table: DataFrame, scope: str, value: str, path: Column | N
 
 # --- run reports ------------------------------------------------------------
 
-RUN_REPORT_TYPE = (
-    "artifact_counts array<struct<count:string,kind:string>>,"
-    "claim_boundary struct<does_not_establish:array<string>,scope:string>,"
-    "configuration_identity struct<controlled_input:struct<path:string,sha256:string,size:string>,"
-    "defaults:struct<id:string,sha256:string>,overrides:array<struct<pointer:string,value:string>>,"
-    "resolved:struct<sha256:string>,schema:struct<id:string,sha256:string>>,"
-    "diagnostics array<struct<code:string,message:string,path:string,severity:string>>,"
-    "inspector struct<version:string>,"
-    "optional_stages struct<degraded:array<string>,skipped:array<string>>,"
-    "plan_sha256 string,required_stage_decision string,schema string,snapshot_id string,"
-    "stage_result_digests array<string>"
-)
-
-
-def _matches(value: Column, pattern: str) -> Column:
-    return F.coalesce(value.rlike(pattern), F.lit(False))
-
-
-def _sorted_unique(values: Column) -> Column:
-    return (F.array_sort(values) == values) & (F.size(F.array_distinct(values)) == F.size(values))
+def run_report_rules(namespace: str = c.DEFAULT_NAMESPACE) -> list[json_walk.Rule]:
+    """Types, exact members, patterns and allowed values at every level of a run report."""
+    rule = json_walk.Rule
+    text, entries = ("string",), ("array",)
+    return [
+        rule("", ("object",), "members", members=(
+            "artifact_counts", "claim_boundary", "configuration_identity", "diagnostics", "inspector", "optional_stages",
+            "plan_sha256", "required_stage_decision", "schema", "snapshot_id", "stage_result_digests",
+        )),
+        rule("/schema", text, None, allowed=(c.schema_id("run.v1", namespace),), code="run_report.unsupported_schema"),
+        rule("/claim_boundary", ("object",), "claim_boundary", members=("does_not_establish", "scope")),
+        rule("/claim_boundary/scope", text, "claim_boundary", allowed=(c.CLAIM_SCOPE,)),
+        rule("/claim_boundary/does_not_establish", entries, "claim_boundary"),
+        rule("/claim_boundary/does_not_establish/[]", text, "claim_boundary"),
+        rule("/artifact_counts", entries, "artifact_counts"),
+        rule("/artifact_counts/[]", ("object",), "artifact_counts", members=("count", "kind")),
+        rule("/artifact_counts/[]/count", text, "artifact_counts", pattern=c.POSITIVE_SIZE),
+        rule("/artifact_counts/[]/kind", text, "artifact_counts", pattern=c.KIND),
+        rule("/optional_stages", ("object",), "optional_stages", members=("degraded", "skipped")),
+        *[rule(f"/optional_stages/{name}", entries, "optional_stages") for name in ("degraded", "skipped")],
+        *[rule(f"/optional_stages/{name}/[]", text, "optional_stages", pattern=c.TOKEN) for name in ("degraded", "skipped")],
+        rule("/diagnostics", entries, "diagnostics"),
+        rule("/diagnostics/[]", ("object",), "diagnostics", members=("code", "message", "path", "severity")),
+        rule("/diagnostics/[]/code", text, "diagnostics", pattern=c.TOKEN),
+        rule("/diagnostics/[]/message", text, "diagnostics", pattern=r"(?s)\A\P{Cc}+\z"),
+        rule("/diagnostics/[]/path", ("string", "null"), "diagnostics"),
+        rule("/diagnostics/[]/severity", text, "diagnostics", allowed=c.SEVERITIES),
+        rule("/inspector", ("object",), "version", members=("version",)),
+        rule("/inspector/version", text, "version", pattern=c.VERSION),
+        rule("/stage_result_digests", entries, "stage_result_digests"),
+        rule("/stage_result_digests/[]", text, "stage_result_digests", pattern=c.HEX64),
+        rule("/plan_sha256", text, "plan_sha256", pattern=c.HEX64),
+        rule("/snapshot_id", text, "snapshot_id", pattern=c.SNAPSHOT_ID),
+        rule("/required_stage_decision", text, "decision", allowed=c.DECISIONS),
+        *configuration.identity_rules("/configuration_identity", "configuration ", namespace),
+    ]
 
 
 def run_report_audit(
     run_report: DataFrame, scope: str = "run_id", json: str = "report", namespace: str = c.DEFAULT_NAMESPACE
 ) -> DataFrame:
-    """All rules of a run report, each broken rule one finding named in ``detail``."""
-    rows = run_report.select(scope, F.from_json(F.col(json), RUN_REPORT_TYPE).alias("r"))
-    r = F.col("r")
-    claim = F.array(*[F.lit(name) for name in c.CLAIM_EXCLUSIONS])
-    optional = r["optional_stages"]
-
-    def stage_list(values: Column) -> Column:
-        return (
-            values.isNull()
-            | ~F.forall(values, lambda name: _matches(name, c.TOKEN))
-            | ~_sorted_unique(values)
-        )
+    """All rules of a run report, strictly read; each broken rule is one finding named in ``detail``.
 
+    A text that is no JSON, a repeated member and text other than its canonical form have codes of their own. Everything
+    else is told on the rows of one strict walk (``json_walk``): exact members and types at every level, among
+    them those of the configuration identity, patterns, order and repetition in lists.
+    """
+    nodes = json_walk.walk(run_report, [scope], json)
     code = "run_report.invalid_shape"
-    return faults(
-        rows, scope, 70, None,
-        (~r["schema"].eqNullSafe(c.schema_id("run.v1", namespace)), "run_report.unsupported_schema", None),
-        (
-            ~r["claim_boundary"]["scope"].eqNullSafe(c.CLAIM_SCOPE)
-            | ~r["claim_boundary"]["does_not_establish"].eqNullSafe(claim),
-            code, "claim_boundary",
-        ),
-        (
-            r["artifact_counts"].isNull()
-            | F.exists(r["artifact_counts"], lambda x: ~_matches(x["count"], c.POSITIVE_SIZE) | ~_matches(x["kind"], c.KIND))
-            | ~_sorted_unique(F.transform(r["artifact_counts"], lambda x: x["kind"])),
-            code, "artifact_counts",
-        ),
-        (stage_list(optional["degraded"]) | stage_list(optional["skipped"]), code, "optional_stages"),
-        (F.coalesce(F.arrays_overlap(optional["degraded"], optional["skipped"]), F.lit(False)), code, "stage overlap"),
-        (
-            r["diagnostics"].isNull()
-            | F.exists(
-                r["diagnostics"],
-                lambda d: ~_matches(d["code"], c.TOKEN)
-                | F.coalesce(d["message"] == "", F.lit(True))
-                | text.has_control(d["message"])
-                | ~F.coalesce(d["severity"].isin(*c.SEVERITIES), F.lit(False))
-                | F.when(d["path"].isNotNull(), paths.breaks_profile(d["path"])).otherwise(F.lit(False)),
-            ),
-            code, "diagnostics",
-        ),
-        (~_matches(r["inspector"]["version"], c.VERSION), code, "version"),
-        (
-            r["stage_result_digests"].isNull()
-            | ~F.forall(r["stage_result_digests"], lambda d: _matches(d, c.HEX64))
-            | (F.size(F.array_distinct(r["stage_result_digests"])) != F.size(r["stage_result_digests"])),
-            code, "stage_result_digests",
+    value = F.col("value")
+    diagnostic_path = (F.col("path") == "/diagnostics/[]/path") & (F.col("type") == "string")
+    controlled = (F.col("path") == "/configuration_identity/controlled_input/path") & (F.col("type") == "string")
+    identity = "/configuration_identity"
+    listed = json_walk.lists(
+        nodes, [scope], kinds="/artifact_counts/[]/kind", degraded="/optional_stages/degraded/[]", skipped="/optional_stages/skipped/[]",
+        digests="/stage_result_digests/[]", claims="/claim_boundary/does_not_establish/[]", pointers=f"{identity}/overrides/[]/pointer",
+    )
+    claim = F.array(*[F.lit(name) for name in c.CLAIM_EXCLUSIONS])
+    # a report without the list has been told that a member is missing
+    claims = nodes.filter((F.col("path") == "/claim_boundary/does_not_establish") & (F.col("type") == "array")).select("doc", F.lit(True).alias("_claims"))
+    listed = listed.join(claims, "doc", "left")
+    outer = nodes.filter("at = ''")
+    sound = outer.filter(F.col("type") != json_walk.INVALID)
+    repeated = nodes.filter("repeated").select("doc").distinct().withColumn("_repeated", F.lit(True))
+    sound = sound.join(repeated, "doc", "left")
+    found = union(
+        finding(outer.filter(F.col("type") == json_walk.INVALID), "doc", 70, "run_report.invalid_json"),
+        finding(sound.filter("_repeated"), "doc", 70, "run_report.duplicate_member"),
+        finding(sound.filter("_repeated is null and not canonical"), "doc", 70, "run_report.noncanonical"),
+        _broken(nodes, namespace, code),
+        finding(nodes.filter(diagnostic_path & paths.breaks_profile(value)), "doc", 70, code, None, "diagnostics"),
+        finding(nodes.filter(controlled & paths.breaks_profile(value)), "doc", 70, "path.invalid", None, value),
+        finding(configuration.unsafe_values(nodes, identity), "doc", 70, code, None, "configuration override value"),
+        faults(
+            listed, "doc", 70, None,
+            (F.col("_claims") & (F.col("claims") != claim), code, "claim_boundary"),
+            (~json_walk.ascending(F.col("kinds")), code, "artifact_counts"),
+            (~json_walk.ascending(F.col("degraded")) | ~json_walk.ascending(F.col("skipped")), code, "optional_stages"),
+            (F.arrays_overlap("degraded", "skipped"), code, "stage overlap"),
+            (F.size(F.array_distinct("digests")) != F.size("digests"), code, "stage_result_digests"),
+            *configuration.pointer_rules(F.col("pointers"), "configuration "),
         ),
-        (~_matches(r["plan_sha256"], c.HEX64), code, "plan_sha256"),
-        (~_matches(r["snapshot_id"], c.SNAPSHOT_ID), code, "snapshot_id"),
-        (~F.coalesce(r["required_stage_decision"].isin(*c.DECISIONS), F.lit(False)), code, "decision"),
     )
+    owners = outer.select(F.col("doc").cast("string").alias("_doc"), F.col(scope).cast("string").alias("_owner"))
+    # several values may break one rule of a report
+    found = found.distinct().join(owners, F.col("scope_id") == F.col("_doc"))
+    return found.select(F.col("_owner").alias("scope_id"), "check_rank", "code", "path", "detail")
+
+
+def _broken(nodes: DataFrame, namespace: str, code: str) -> DataFrame:
+    bad = json_walk.broken(nodes.filter(F.col("type") != json_walk.INVALID), run_report_rules(namespace), code)
+    return finding(bad, "doc", 70, F.col("code"), None, F.col("detail"))
 
 
 # --- text cleaning ----------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import ids, paths, text
+from ..functions import ids, json_walk, paths, text
 from .findings import faults, finding, union
 
 
@@ -103,54 +103,64 @@ def process_result_audit(result: DataFrame) -> DataFrame:
     )
 
 
-POLICY_TYPE = (
-    "contract_assets map<string,string>,fixture_revision int,package struct<name:string,version:string>,schema string,"
-    "support struct<operating_systems:array<string>,process_protocols:array<string>,python:array<string>,schemas:array<string>>"
-)
-
-
 def release_policy_audit(
     policy: DataFrame, scope: str, json: str, *, package: tuple[str, str], required_assets: Sequence[str],
     operating_systems: Sequence[str], python: Sequence[str], protocols: Sequence[str],
     namespace: str = c.DEFAULT_NAMESPACE,
 ) -> DataFrame:
-    """Closed policy object, exact declarations, complete and sorted asset bindings."""
-    own = c.schema_id("release-policy.v1", namespace)
-    members = F.array(*[F.lit(k) for k in ("contract_assets", "fixture_revision", "package", "schema", "support")])
-    rows = policy.select(
-        scope,
-        F.array_sort(F.json_object_keys(json)).eqNullSafe(members).alias("_closed"),
-        F.json_object_keys(F.get_json_object(json, "$.contract_assets")).alias("_assets"),
-        F.from_json(json, POLICY_TYPE).alias("_p"),
-    )
-    p, assets, closed = F.col("_p"), F.col("_assets"), F.col("_closed")
-    support = p["support"]
-
-    def exactly(values: Column, wanted: Sequence[str]) -> Column:
-        return ~values.eqNullSafe(F.array(*[F.lit(value) for value in wanted]))
+    """Closed policy object, exact declarations, complete and sorted asset bindings, strictly read.
 
-    schemas = support["schemas"]
-    code = "contract.policy_violation"
-    return faults(
-        rows, scope, 0, None,
-        (~closed, code, "members"),
-        (closed & ~p["schema"].eqNullSafe(own), code, "schema"),
-        (closed & ~(p["package"]["name"].eqNullSafe(package[0]) & p["package"]["version"].eqNullSafe(package[1])), code, "package"),
-        (closed & ~F.coalesce(p["fixture_revision"] >= 1, F.lit(False)), code, "fixture revision"),
-        (closed & exactly(support["operating_systems"], operating_systems), code, "operating systems"),
-        (closed & exactly(support["python"], python), code, "python"),
-        (closed & exactly(support["process_protocols"], protocols), code, "protocols"),
-        (
-            closed & (
-                ~F.coalesce(F.array_contains(schemas, own), F.lit(False))
-                | (F.array_sort(F.array_distinct(schemas)) != schemas)
-            ),
-            code, "schemas",
+    A text that is no JSON object of exactly the five members has that finding only. Closed are also ``package`` and
+    ``support``; a value of another type breaks the rule of its member.
+    """
+    own = c.schema_id("release-policy.v1", namespace)
+    nodes = json_walk.walk(policy, [scope], json)
+    code, text = "contract.policy_violation", ("string",)
+    rule = json_walk.Rule
+    named = {"operating_systems": ("operating systems", operating_systems), "python": ("python", python), "process_protocols": ("protocols", protocols), "schemas": ("schemas", None)}
+    rules = [
+        rule("", ("object",), "members", members=("contract_assets", "fixture_revision", "package", "schema", "support")),
+        rule("/schema", text, "schema", allowed=(own,)),
+        rule("/package", ("object",), "package", members=("name", "version")),
+        rule("/package/name", text, "package", allowed=(package[0],)),
+        rule("/package/version", text, "package", allowed=(package[1],)),
+        rule("/fixture_revision", ("integer",), "fixture revision"),
+        rule("/contract_assets", ("object",), "asset set", members=tuple(required_assets)),
+        rule("/support", ("object",), "support", members=tuple(named)),
+        *[rule(f"/support/{name}", ("array",), detail) for name, (detail, _) in named.items()],
+        *[rule(f"/support/{name}/[]", text, detail) for name, (detail, _) in named.items()],
+    ]
+    bad = json_walk.broken(nodes, rules, code)
+    outer = bad.filter("at = ''").select("doc").distinct()
+    listed = json_walk.lists(nodes, [scope], **{name: f"/support/{name}/[]" for name in named})
+    there = nodes.filter(F.col("path").startswith("/support/") & (F.col("type") == "array")).groupBy("doc").agg(F.collect_set("path").alias("_there"))
+    listed = listed.join(there, "doc")
+    revision = (F.col("path") == "/fixture_revision") & (F.col("type") == "integer") & ~F.coalesce(F.col("value").try_cast("decimal(38,0)") >= 1, F.lit(False))
+    asset = (F.col("parent") == "/contract_assets") & ~((F.col("type") == "string") & F.coalesce(F.col("value").rlike(c.HEX64), F.lit(False)))
+    assets = (F.col("path") == "/contract_assets") & (F.col("type") == "object") & (F.array_sort("members") != F.col("members"))
+
+    def given(name: str, broken: Column) -> Column:
+        return F.array_contains("_there", f"/support/{name}") & broken
+
+    def exactly(wanted: Sequence[str]) -> Column:
+        return F.array(*[F.lit(value) for value in wanted])
+
+    found = union(
+        finding(bad, "doc", 0, F.col("code"), None, F.col("detail")),
+        finding(nodes.filter(revision), "doc", 0, code, None, "fixture revision"),
+        finding(nodes.filter(asset), "doc", 0, code, None, "asset digest"),
+        finding(nodes.filter(assets), "doc", 0, code, None, "asset order"),
+        finding(nodes.filter("repeated"), "doc", 0, code, None, "repeated member"),
+        faults(
+            listed, "doc", 0, None,
+            *[(given(name, F.col(name) != exactly(wanted)), code, detail) for name, (detail, wanted) in named.items() if wanted is not None],
+            (given("schemas", ~F.array_contains("schemas", own) | ~json_walk.ascending(F.col("schemas"))), code, "schemas"),
         ),
-        (closed & ~F.array_sort(assets).eqNullSafe(F.array(*[F.lit(a) for a in sorted(required_assets)])), code, "asset set"),
-        (closed & (F.array_sort(assets) != assets), code, "asset order"),
-        (closed & F.exists(F.map_values(p["contract_assets"]), lambda digest: ~digest.rlike(c.HEX64)), code, "asset digest"),
     )
+    found = found.withColumn("doc", F.col("scope_id").cast("long")).distinct()
+    found = found.join(outer, "doc", "left_anti").unionByName(found.filter("detail = 'members'").join(outer, "doc", "left_semi"))
+    owners = nodes.filter("at = ''").select("doc", F.col(scope).cast("string").alias("_owner"))
+    return found.join(owners, "doc").select(F.col("_owner").alias("scope_id"), "check_rank", "code", "path", "detail")
 
 
 def contract_change_gate(policy_history: DataFrame, slice_width: int = 100_000) -> DataFrame:

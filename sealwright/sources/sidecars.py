@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..operators.findings import faults
+from ..functions import chunks, json_walk
+from ..operators.findings import faults, finding, union
+from ..session import stored
 
-MAPPING_TYPE = (
-    "relations array<struct<fragment:string,line:bigint,report_path:string,source_path:string,symbol:string>>,"
-    "report struct<entry_point:string,tree_sha256:string>,schema string"
-)
+REPORT_TYPE = "report struct<entry_point:string,tree_sha256:string>"
+RELATION = {"fragment": "string", "line": "integer", "report_path": "string", "source_path": "string", "symbol": "string"}
 ATTESTATION_TYPE = (
     "configuration_identity_sha256 string,coverage_data_identity string,instrumentation_identity string,"
     "producer struct<name:string,version:string>,report struct<entry_point:string,tree_sha256:string>,schema string,"
@@ -23,19 +23,61 @@ ATTESTATION_KEYS = (
 )
 
 
+def mapping_parts(sidecar_text: DataFrame, size: int | None = None) -> DataFrame:
+    """``(scope, array, pos, text)``: relations and frames of mapping texts, whole or in chunks; stored."""
+    return stored(chunks.json_parts(chunks.as_chunks(sidecar_text, ["scope"], size=size), ["scope"]), "mapping-parts")
+
+
+def _frames(parts: DataFrame) -> DataFrame:
+    return json_walk.with_part(parts.where(F.col("array") == chunks.FRAME).select("scope", "text"), "text", "_read")
+
+
+def _relations(parts: DataFrame) -> DataFrame:
+    """Each relation with its strictly typed members in ``_r``; of several arrays of the name, the last one."""
+    place = F.array_size("_read.arrays") - F.array_position(F.reverse("_read.arrays"), "relations")
+    named = _frames(parts).where(F.array_contains("_read.arrays", "relations")).select("scope", place.cast("long").alias("array"))
+    rows = parts.where((F.col("array") != chunks.FRAME) & (F.col("pos") >= 0)).join(named, ["scope", "array"])
+    return json_walk.with_members(rows, "text", "_r", **RELATION)
+
+
+def _parts(sidecar_text: DataFrame) -> DataFrame:
+    return sidecar_text if "array" in sidecar_text.columns else mapping_parts(sidecar_text)
+
+
 def read_relation_sidecars(sidecar_text: DataFrame) -> DataFrame:
-    """``(scope, text)`` to relation rows with their position."""
-    parsed = sidecar_text.select("scope", F.from_json("text", MAPPING_TYPE).alias("m"))
-    return parsed.select("scope", F.posexplode("m.relations").alias("pos", "r")).select(
-        "scope", "pos", "r.report_path", "r.source_path", "r.fragment", "r.line", "r.symbol"
-    )
+    """Mapping texts or parts to relation rows with their position; a member of another type is null."""
+    return _relations(_parts(sidecar_text)).select("scope", "pos", "_r.report_path", "_r.source_path", "_r.fragment", "_r.line", "_r.symbol")
 
 
 def read_report_bindings(sidecar_text: DataFrame) -> DataFrame:
-    parsed = sidecar_text.select("scope", F.from_json("text", MAPPING_TYPE).alias("m"))
+    parsed = _frames(_parts(sidecar_text)).select("scope", F.when(F.col("_read.valid"), F.from_json("text", REPORT_TYPE)).alias("m"))
     return parsed.select("scope", "m.report.entry_point", "m.report.tree_sha256")
 
 
+def mapping_audit(sidecar_text: DataFrame) -> DataFrame:
+    """Mapping texts or parts that are no JSON, repeat a member, or have other members; relations of another shape."""
+    parts = _parts(sidecar_text)
+    frames = _frames(parts).select("scope", "_read.*")
+    each = json_walk.with_part(parts.where((F.col("array") != chunks.FRAME) & (F.col("pos") >= 0)), "text", "_read")
+    told = each.groupBy("scope").agg(F.min("_read.valid").alias("_valid"), F.max(F.coalesce("_read.repeated", F.lit(False))).alias("_repeated"))
+    read = frames.join(told, "scope", "left").select(
+        "scope", "keys", (F.col("valid") & F.coalesce("_valid", F.lit(True))).alias("valid"),
+        (F.coalesce("repeated", F.lit(False)) | F.coalesce("_repeated", F.lit(False))).alias("repeated"),
+        F.array_contains(F.coalesce("arrays", F.array().cast("array<string>")), "relations").alias("_listed"),
+    )
+    sound = read.filter("valid and not repeated")
+    closed = F.array_sort(F.coalesce("keys", F.array().cast("array<string>"))) == F.array(F.lit("relations"), F.lit("report"), F.lit("schema"))
+    shaped = _relations(parts).join(sound.filter(closed & F.col("_listed")).select("scope"), "scope", "left_semi")
+    r = F.col("_r")
+    code = "coverage.invalid_sidecar"
+    return union(
+        finding(read.filter("not valid"), "scope", 0, code, None, "json"),
+        finding(read.filter("valid and repeated"), "scope", 0, code, None, "repeated member"),
+        finding(sound.filter(~(closed & F.col("_listed"))), "scope", 0, code, None, "members"),
+        finding(shaped.filter(~r["closed"] | r["report_path"].isNull() | r["source_path"].isNull()), "scope", 0, "coverage.invalid_relation", r["report_path"], F.col("pos")),
+    )
+
+
 def read_attestations(sidecar_text: DataFrame) -> DataFrame:
     """``(scope, text)`` to one typed row per attestation."""
     parsed = sidecar_text.select("scope", F.from_json("text", ATTESTATION_TYPE).alias("a"))
