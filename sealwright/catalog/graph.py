@@ -353,6 +353,71 @@ def _(v: Fixtures):
     return graph.content_id_check(v.node_forged, v.edge_forged)
 
 
+# claims at every level, each forged by a digit of a digest: ids of leaves, stage results, relations and edges
+def _claimed(expr: str, prefix: str) -> str:
+    return f"case substring(sha256, 1, 1) when '0' then '{prefix}:sha256:' || sha256 else {expr} end as artifact_id"
+
+
+view("api_claimed", f"select a.*, {_claimed(ARTIFACT, 'artifact')} from g_api a")
+view("coverage_claimed", f"select a.*, {_claimed(COVERAGE_ARTIFACT, 'coverage-artifact')} from g_coverage a")
+view("sidecar_claimed", f"""
+select graph_id, snapshot_id, kind, path, sha256, content, case when graph_id = 1 then '999' else cast(octet_length(content) as string) end as size,
+       case when graph_id = 2 and kind = 'mapping' then 'coverage-sidecar:sha256:' || sha256 else {SIDECAR} end as artifact_id
+from (select graph_id, snapshot_id, kind, path, case when kind = 'mapping' then 'm' else 'a' end || graph_id as content,
+             case when graph_id = 3 then sha2('other', 256) else sha256 end as sha256 from g_sidecar) s
+""")
+_RESULT_JSON = """'{"adapter":"a",' || case when executed then '' else '"diagnostics":[],' end || case when executed then '"executable":{"name":"x"},"invocation":{},"outputs":[],' else '' end
+  || '"policy":"required","schema":"s","snapshot_id":"' || snapshot_id || '","stage":"' || stage || '","status":"' || status || '"}'"""
+view("stage_claimed", f"""
+select graph_id, snapshot_id, stage, status, executed, n_nationkey, case when n_nationkey = 7 then sha2(identity_json, 256) || '0' else sha2(identity_json, 256) end as digest, identity_json
+from (select graph_id, snapshot_id, stage, case when n_nationkey = 11 then 'degraded' else status end as status, executed, n_nationkey,
+             case n_nationkey when 3 then replace(text, ',', ', ') when 4 then replace(text, '"schema":', '"scheme":') when 5 then '{{' else text end as identity_json
+      from (select a.*, {_RESULT_JSON} as text from g_stage a) t) u
+""")
+view("edge_claim", f"""
+select graph_id, d, case d when '2' then edge_id || '0' when '1' then 'edge:sha256:' || sha2({EDGE_JSON}, 256) else edge_id end as edge_id, kind, source, target, relation_id, fragment, line, symbol
+from (select graph_id, edge_id, substring(edge_id, 13, 1) as d, kind, source, target,
+             case when relation_id is not null and substring(edge_id, 13, 1) in ('0', '1') then 'coverage-relation:sha256:' || sha2(relation_id, 256) else relation_id end as relation_id,
+             fragment, line, symbol from edge_record) e
+""")
+view("edge_claimed", "select graph_id, edge_id, kind, source, target, relation_id, fragment, line, symbol from edge_claim", stored=True)
+
+
+def _digest_sql(edges: str) -> str:
+    def record(names) -> str:
+        return "cast(to_json({" + ", ".join(f"'{name}': {name}" for name in sorted(names)) + "}) as varchar)"
+
+    return f"""
+select s.graph_id, 'artifact-graph:sha256:' || sha256('{{"edges":[' || coalesce(e.text, '') || '],"nodes":[' || n.text
+       || '],"schema":"{GRAPH_SCHEMA}","snapshot_id":"' || s.snapshot_id || '"}}') as content_id
+from g_snapshot s
+join (select graph_id, string_agg({record(graph.NODE_COLUMNS)}, ',' order by node_id, {record(graph.NODE_COLUMNS)}) as text from node_record group by graph_id) n on n.graph_id = s.graph_id
+left join (select graph_id, string_agg({record(graph.EDGE_COLUMNS)}, ',' order by edge_id, {record(graph.EDGE_COLUMNS)}) as text from {edges} group by graph_id) e on e.graph_id = s.graph_id"""
+
+
+_LEVEL_ROW = "select cast(graph_id as varchar) as scope_id, 0 as check_rank, 'artifact_graph.identity_mismatch' as code"
+
+
+@query("content_id_levels", f"""
+{_LEVEL_ROW}, path, 'artifact id' as detail from g_api where substring(sha256, 1, 1) = '0'
+union all {_LEVEL_ROW}, path, 'coverage artifact id' from g_coverage where substring(sha256, 1, 1) = '0'
+union all {_LEVEL_ROW}, path, 'sidecar id' from g_sidecar where graph_id = 2 and kind = 'mapping'
+union all {_LEVEL_ROW}, path, 'sidecar bytes' from g_sidecar where graph_id in (1, 3)
+union all {_LEVEL_ROW}, stage, 'stage result preimage' from g_stage where n_nationkey in (3, 5)
+union all {_LEVEL_ROW}, stage, 'stage result fields' from g_stage where n_nationkey in (4, 11)
+union all {_LEVEL_ROW}, stage, 'stage result digest' from g_stage where n_nationkey = 7
+union all {_LEVEL_ROW.replace('identity_mismatch', 'invalid_relation')}, edge_id, 'relation id' from edge_claim where relation_id is not null and d in ('0', '1')
+union all {_LEVEL_ROW}, edge_id || '0', 'edge id' from edge_record where substring(edge_id, 13, 1) = '2'
+union all select cast(f.graph_id as varchar), 0, 'artifact_graph.identity_mismatch', t.content_id || '0', f.content_id
+  from ({_digest_sql("edge_claimed")}) f join ({_digest_sql("edge_record")}) t on t.graph_id = f.graph_id where f.graph_id = 3
+""")
+def _(v: Fixtures):
+    records = {"api_artifact": v.api_claimed, "coverage_artifact": v.coverage_claimed, "coverage_sidecar": v.sidecar_claimed, "stage_result": v.stage_claimed}
+    claimed = graph.graph_digest(v.node_record, v.edge_record, v.g_snapshot)
+    claimed = claimed.withColumn("content_id", F.when(F.col("graph_id") == 3, F.concat("content_id", F.lit("0"))).otherwise(F.col("content_id")))
+    return graph.identity_levels(records, v.node_record, v.edge_claimed, v.g_snapshot, claimed)
+
+
 def _kinds(values) -> str:
     return "(" + ", ".join(f"'{value}'" for value in values) + ")"
 

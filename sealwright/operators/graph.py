@@ -9,13 +9,15 @@ point at, becomes one row per map task before anything shuffles.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import ids, ordered, paths, text
-from ..functions.joins import spread_join
+from ..functions import ids, json_walk, ordered, paths, text
+from ..functions.joins import counted_join, spread_join
+from ..session import stored as stored_table
 from .findings import faults, finding, union
 
 _OPTIONAL = ("path", "fragment", "sha256", "provenance", "stage_status")
@@ -663,8 +665,8 @@ def graph_digest(
     return digest.select("graph_id", F.concat(F.lit("artifact-graph:sha256:"), "sha256").alias("content_id"))
 
 
-def content_id_check(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """Stored ids, digests and preimages against recomputation, for nodes and edges."""
+def content_id_check(node: DataFrame, edge: DataFrame | None) -> DataFrame:
+    """Stored ids, digests and preimages against recomputation, for nodes and (if given) edges."""
     code = "artifact_graph.identity_mismatch"
     preimage, digest = F.col("identity_json"), F.sha2("identity_json", 256)
     member = F.from_json(preimage, "identity struct<snapshot_id:string>, kind string")
@@ -685,16 +687,153 @@ def content_id_check(node: DataFrame, edge: DataFrame) -> DataFrame:
         (held & ~F.col("node_id").eqNullSafe(F.concat("kind", F.lit(":sha256:"), digest)), code, "node id"),
         suspect=~sound,
     )
+    if edge is None:
+        return nodes
     again = edge_id(*[F.col(n) for n in ("fragment", "kind", "line", "relation_id", "source", "symbol", "target")])
     edges = faults(edge, "graph_id", 0, F.col("edge_id"), (~F.col("edge_id").eqNullSafe(again), code, "edge id"))
     return union(nodes, edges)
 
 
-def graph_id_check(stored: DataFrame, digest: DataFrame) -> DataFrame:
-    """Stored graph ids ``(graph_id, content_id)`` against :func:`graph_digest`."""
+def graph_id_check(stored: DataFrame, digest: DataFrame, corrected: DataFrame | None = None) -> DataFrame:
+    """Stored graph ids ``(graph_id, content_id)`` against :func:`graph_digest`.
+
+    ``corrected``: the digest over records whose own faults are mended (:func:`mended`). A graph id that covers the right
+    records is sound, whatever has been done to a record since.
+    """
     joined = stored.select("graph_id", F.col("content_id").alias("_stored")).join(digest, "graph_id", "left")
-    wrong = joined.filter(~F.col("_stored").eqNullSafe(F.col("content_id")))
-    return finding(wrong, "graph_id", 0, "artifact_graph.identity_mismatch", F.col("_stored"), F.col("content_id"))
+    sound = F.col("_stored").eqNullSafe(F.col("content_id"))
+    if corrected is not None:
+        joined = joined.join(corrected.select("graph_id", F.col("content_id").alias("_right")), "graph_id", "left")
+        sound |= F.col("_stored").eqNullSafe(F.col("_right"))
+    return finding(joined.filter(~sound), "graph_id", 0, "artifact_graph.identity_mismatch", F.col("_stored"), F.col("content_id"))
+
+
+def leaf_id_check(records: Mapping[str, DataFrame]) -> DataFrame:
+    """Ids that records claim of themselves, against recomputation: the lowest level of identities.
+
+    ``api_artifact``, ``coverage_artifact`` and ``coverage_sidecar`` claim ``artifact_id``, ``stage_result`` claims
+    ``digest`` of ``identity_json``. A sidecar may bring its ``content``: then digest and size are held against it too. Tables
+    and columns that are not there are not checked.
+    """
+    code = "artifact_graph.identity_mismatch"
+    path, digest = F.col("path"), F.col("sha256")
+    found: list[DataFrame] = []
+    claims = {
+        "api_artifact": ("artifact id", lambda: ids.artifact_id(path, digest, c.SYMBOL_PAYLOAD_KIND)),
+        "coverage_artifact": ("coverage artifact id", lambda: ids.coverage_artifact_id(path, F.col("tree_sha256"))),
+        "coverage_sidecar": ("sidecar id", lambda: ids.sidecar_id(F.col("kind"), path, digest)),
+    }
+    for name, (detail, own) in claims.items():
+        if name in records and "artifact_id" in records[name].columns:
+            rules = [(~F.col("artifact_id").eqNullSafe(own()), code, detail)]
+            if "content" in records[name].columns:
+                content = F.col("content")
+                wrong = ~digest.eqNullSafe(F.sha2(content, 256)) | ~F.col("size").eqNullSafe(F.octet_length(content).cast("string"))
+                rules.append((wrong, code, "sidecar bytes"))
+            found.append(faults(records[name], "graph_id", 0, path, *rules))
+    if "stage_result" in records and "identity_json" in records["stage_result"].columns:
+        found.append(stage_result_check(records["stage_result"]))
+    nothing = finding(next(iter(records.values())).limit(0), "graph_id", 0, code)
+    return union(*found) if found else nothing
+
+
+#: Members of a stage result's preimage: always, and with or without a process.
+_RESULT = ("adapter", "policy", "schema", "snapshot_id", "stage", "status")
+_PROCESS = {True: ("executable", "invocation", "outputs"), False: ("diagnostics",)}
+
+
+def stage_result_check(stage_result: DataFrame) -> DataFrame:
+    """Stage results whose preimage is not canonical, has other members or values than its row, or another digest.
+
+    Of ``adapter``, ``policy``, ``schema``, ``snapshot_id``, ``stage`` and ``status`` the columns that are there are
+    held against the preimage; ``executed`` tells which members it has besides.
+    """
+    code = "artifact_graph.identity_mismatch"
+    read = json_walk.with_part(stage_result, "identity_json", "_read")
+    executed = F.coalesce("executed", F.lit(False)) if "executed" in stage_result.columns else F.array_contains("_read.keys", "executable")
+
+    def members(process: bool) -> Column:
+        return F.array(*[F.lit(name) for name in sorted((*_RESULT, *_PROCESS[process]))])
+
+    closed = F.array_sort("_read.keys").eqNullSafe(F.when(executed, members(True)).otherwise(members(False)))
+    named = [name for name in _RESULT if name in stage_result.columns]
+    other = reduce(Column.__or__, [~F.get_json_object("identity_json", f"$.{name}").eqNullSafe(F.col(name)) for name in named], F.lit(False))
+    sound = F.coalesce(F.col("_read.canonical") & ~F.col("_read.repeated"), F.lit(False))
+    return faults(
+        read, "graph_id", 0, F.col("stage"),
+        (~sound, code, "stage result preimage"),
+        (sound & (~closed | other), code, "stage result fields"),
+        (~F.col("digest").eqNullSafe(F.sha2("identity_json", 256)), code, "stage result digest"),
+    )
+
+
+def true_relations(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """Coverage edges with ``_true``, the relation id that follows from the nodes they join.
+
+    The report's artifact id is not read from its preimage but recomputed from its path and tree, so that a forged
+    leaf does not pass upward. A popular report is dealt to tasks by its number of edges.
+    """
+    identity = "identity struct<report_tree_sha256:string,source_path:string>"
+    member = F.from_json("identity_json", identity)["identity"]
+    relative = F.regexp_replace("path", r"\Aartifacts/coverage/", "")
+    reports = node.filter(F.col("kind").isin(*c.COVERAGE_KINDS)).select(
+        "graph_id", F.col("node_id").alias("source"), relative.alias("_report_path"), ids.coverage_artifact_id(relative, member["report_tree_sha256"]).alias("_artifact")
+    )
+    targets = node.filter(F.col("kind").isin("source-file", "symbol")).select(
+        "graph_id", "snapshot_id", F.col("node_id").alias("target"), F.when(F.col("kind") == "symbol", member["source_path"]).otherwise(F.col("path")).alias("_source_path")
+    )
+    covers = edge.filter(F.col("kind").isin(*c.RELATION_EDGES))
+    met = counted_join(covers, reports.dropDuplicates(["graph_id", "source"]), ["graph_id", "source"], ["target", "edge_id"])
+    met = counted_join(met, targets.dropDuplicates(["graph_id", "target"]), ["graph_id", "target"], ["source", "edge_id"])
+    own = ids.relation_id(*[F.col(n) for n in ("fragment", "line", "_artifact", "_report_path", "snapshot_id", "_source_path", "symbol")])
+    return met.select("graph_id", *EDGE_COLUMNS, own.alias("_true"))
+
+
+def relation_id_check(relations: DataFrame) -> DataFrame:
+    """Relation ids of :func:`true_relations` that do not follow from their edge."""
+    wrong = relations.filter(~F.col("relation_id").eqNullSafe(F.col("_true")))
+    return finding(wrong, "graph_id", 0, "artifact_graph.invalid_relation", F.col("edge_id"), "relation id")
+
+
+def _edge_id_with(relation: Column) -> Column:
+    return edge_id(F.col("fragment"), F.col("kind"), F.col("line"), relation, F.col("source"), F.col("symbol"), F.col("target"))
+
+
+def edge_id_check(edge: DataFrame, relations: DataFrame) -> DataFrame:
+    """Edge ids that follow neither from the edge as it stands nor from the edge with its true relation id.
+
+    So a forged relation id is a finding of its own level only, whether or not the edge id was made after it.
+    """
+    others = edge.filter(~F.col("kind").isin(*c.RELATION_EDGES))
+    known = relations.select("graph_id", *EDGE_COLUMNS, "_true").unionByName(others.select("graph_id", *EDGE_COLUMNS, F.col("relation_id").alias("_true")))
+    own, right = _edge_id_with(F.col("relation_id")), _edge_id_with(F.col("_true"))
+    wrong = known.filter(~F.col("edge_id").eqNullSafe(own) & ~F.col("edge_id").eqNullSafe(right))
+    return finding(wrong, "graph_id", 0, "artifact_graph.identity_mismatch", F.col("edge_id"), "edge id")
+
+
+def mended(edge: DataFrame, relations: DataFrame) -> DataFrame:
+    """``edge`` with the true relation ids in their places, and all edge ids as they follow from their edges."""
+    others = edge.filter(~F.col("kind").isin(*c.RELATION_EDGES)).select("graph_id", *EDGE_COLUMNS)
+    right = relations.withColumn("relation_id", F.col("_true")).select("graph_id", *EDGE_COLUMNS).unionByName(others)
+    return right.withColumn("edge_id", _edge_id_with(F.col("relation_id"))).select("graph_id", *EDGE_COLUMNS)
+
+
+def identity_levels(
+    records: Mapping[str, DataFrame], node: DataFrame, edge: DataFrame, snapshot: DataFrame, stored: DataFrame, namespace: str = c.DEFAULT_NAMESPACE
+) -> DataFrame:
+    """All identities of graphs, bottom up: leaves, relations, nodes and edges, graphs.
+
+    Each level is judged with the recomputed ids of the level below in its preimages, so one forged id is one finding, at
+    its own level. ``stored`` are the claimed graph ids ``(graph_id, content_id)``; edges whose ends are absent
+    belong to :func:`edge_endpoint_check`.
+    """
+    relations = stored_table(true_relations(node, edge), "true-relations")
+    digest = graph_digest(node, edge, snapshot, namespace)
+    corrected = graph_digest(node, mended(edge, relations), snapshot, namespace)
+    return union(
+        leaf_id_check(records), relation_id_check(relations), content_id_check(node, None), edge_id_check(edge, relations),
+        graph_id_check(stored, digest, corrected),
+    )
 
 
 def artifact_counts(node: DataFrame) -> DataFrame:
