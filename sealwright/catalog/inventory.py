@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import contract as c
 from ..functions import ordered
 from ..operators import findings, inventory
 from ..plans.fixtures import Fixtures, view
-from ..session import stored
-from ..sources import manifests
+from ..session import shared_folder, stored
+from ..sources import manifests, releases, trees
 from . import query, stages
 
 MANIFEST_SCHEMA = c.schema_id("bundle-manifest.v1")
@@ -76,7 +78,10 @@ from part
 
 @query("scan_payload_tree", "select bundle_id, path, size, sha256 from payload")
 def _(v: Fixtures):
-    return inventory.payload_inventory(v.payload)
+    """The given contents written as files to the shared folder, and that tree scanned."""
+    root = f"{shared_folder(v.spark)}/trees/{uuid.uuid4().hex}"
+    trees.write_tree(v.payload, root)
+    return trees.scan_payload_tree(v.spark, root)
 
 
 def _manifest_text(v: Fixtures):
@@ -418,12 +423,23 @@ def _(v: Fixtures):
 
 
 @query("append_new_releases", """
-select c.root, c.bundle_id, c.run_report_sha256,
-       case when r.bundle_id is null then 'append' when r.run_report_sha256 = c.run_report_sha256 then 'reuse'
-            else 'publication.release_identity_mismatch' end as outcome
-from release_candidate c left join release r on c.root = r.root and c.bundle_id = r.bundle_id
+with c as (
+  select c.*, case when r.bundle_id is null then 'append' when r.run_report_sha256 = c.run_report_sha256 then 'reuse' else 'publication.release_identity_mismatch' end as outcome
+  from release_candidate c left join release r on c.root = r.root and c.bundle_id = r.bundle_id)
+select 'first' as step, cast(root as varchar) as root, bundle_id, run_report_sha256, outcome from c
+union all
+select 'again', cast(root as varchar), bundle_id, run_report_sha256, case outcome when 'append' then 'reuse' else outcome end from c
+union all
+select 'table', cast(root as varchar), bundle_id, run_report_sha256, null from release
+union all
+select 'table', cast(root as varchar), bundle_id, run_report_sha256, null from c where outcome = 'append'
 """)
 def _(v: Fixtures):
-    from ..sources import releases
-
-    return releases.classify_candidates(v.release_candidate, v.release)
+    """A table of the given releases; the candidates are appended to it, and then once more by another attempt."""
+    path = f"{shared_folder(v.spark)}/releases/{uuid.uuid4().hex}"
+    releases.append_new_releases(v.release, path, "given")
+    told = [("first", stored(releases.append_new_releases(v.release_candidate, path, "first"), "outcomes"))]
+    told.append(("again", stored(releases.append_new_releases(v.release_candidate, path, "again"), "outcomes")))
+    table = releases.read_releases(v.spark, path).withColumn("outcome", F.lit(None).cast("string"))
+    parts = [rows.withColumn("step", F.lit(step)) for step, rows in [*told, ("table", table)]]
+    return findings.union(*parts).select("step", "root", "bundle_id", "run_report_sha256", "outcome")

@@ -113,3 +113,52 @@ def test_releases_append_once(spark, tmp_path):
     releases.append_new_releases(candidates, path)
     releases.append_new_releases(candidates, path)
     assert sorted(r.bundle_id for r in spark.read.parquet(path).collect()) == ["b1", "b2"]
+
+
+def test_releases_with_records(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "root string, bundle_id string, run_report_sha256 string"
+    first = spark.createDataFrame([("r", "b1", "x"), ("r", "b2", "y"), ("r", "b2", "z"), ("s", "b1", "x")], schema)
+    second = spark.createDataFrame([("r", "b1", "other"), ("r", "b3", "x"), ("s", "b1", "x")], schema)
+
+    def rows(frame):
+        return sorted(tuple(r) for r in frame.collect())
+
+    assert rows(releases.read_releases(spark, path)) == []
+    told = [("r", "b1", "x", "append"), ("r", "b2", "y", "append"), ("r", "b2", "z", "publication.release_identity_mismatch"), ("s", "b1", "x", "append")]
+    assert rows(releases.append_new_releases(first, path, "one")) == told
+    table = [("r", "b1", "x"), ("r", "b2", "y"), ("s", "b1", "x")]
+    assert rows(releases.read_releases(spark, path)) == table
+    # the same attempt again: the same answer, and nothing is added
+    assert rows(releases.append_new_releases(first, path, "one")) == told and rows(releases.read_releases(spark, path)) == table
+    # a driver lost between its rows and its record
+    second.write.parquet(f"{path}/attempts/two")
+    assert rows(releases.read_releases(spark, path)) == table
+    assert rows(releases.append_new_releases(second, path, "two")) == [
+        ("r", "b1", "other", "publication.release_identity_mismatch"), ("r", "b3", "x", "append"), ("s", "b1", "x", "reuse"),
+    ]
+    assert rows(releases.read_releases(spark, path)) == sorted([*table, ("r", "b3", "x")])
+    # a record that another driver has made first
+    assert not releases._commit(spark, path, 1, "late") and releases.commits(spark, path) == ["one", "two"]
+    assert releases._commit(spark, path, 2, "next") and not (tmp_path / "table/commits/.0000000001-late").exists()
+
+
+def test_trees_are_listed_level_by_level(spark, tmp_path):
+    deep = "b1/" + "/".join(f"d{i}" for i in range(6)) + "/x.txt"
+    files = {deep: b"deep", "b1/e.txt": b"", "b2/ä ö%20.txt": b"name", "b2/big.bin": bytes(3 << 20), "top.txt": b"no bundle", **{f"b3/many/{i}.txt": b"%d" % i for i in range(300)}}
+    write_tree(tmp_path, files)
+    (tmp_path / "b2/empty").mkdir()
+    (tmp_path / "b2/link").symlink_to("big.bin")
+    for root in (str(tmp_path), f"file:{tmp_path}/"):
+        got = {(r.bundle_id, r.path): (r.size, r.sha256) for r in trees.scan_payload_tree(spark, root).collect()}
+        assert got == {tuple(p.split("/", 1)): (len(b), hashlib.sha256(b).hexdigest()) for p, b in files.items() if "/" in p}
+    kinds = {(r.bundle_id, r.path): r.object_type for r in trees.scan_listing(spark, str(tmp_path)).collect()}
+    assert kinds["b2", "empty"] == "directory" and kinds["b2", "link"] == "symlink" and len(kinds) == len(files) - 1 + 6 + 3
+
+
+def test_written_trees_come_back(spark, tmp_path):
+    rows = [("b", "a/x.txt", "é"), ("b", "y", ""), ("c", "z/z/z", "w" * 100_000), ("c", "none", None)]
+    trees.write_tree(spark.createDataFrame(rows, "bundle_id string, path string, content string"), f"file:{tmp_path}/t")
+    trees.write_tree(spark.createDataFrame(rows, "bundle_id string, path string, content string"), f"file:{tmp_path}/t")
+    got = {(r.bundle_id, r.path, r.size, r.sha256) for r in trees.scan_payload_tree(spark, f"{tmp_path}/t").collect()}
+    assert got == {(b, p, len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for b, p, t in rows if t is not None}
+    assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".")]
