@@ -53,15 +53,16 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").translate(_LOW))
 
 
-def _slots(hashes: np.ndarray, steps: np.ndarray | int, slots: int) -> np.ndarray:
-    """The slices of entries (term hash, step): HASHES rows of numbers below ``slots``."""
+def _slots(hashes: np.ndarray, steps: np.ndarray | int, slots: int) -> Iterator[np.ndarray]:
+    """The slices of entries (term hash, step): HASHES times a number below ``slots`` for each."""
     with np.errstate(over="ignore"):
         mixed = (hashes + np.asarray(steps).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         one, two = mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) * np.uint64(2) + np.uint64(1)
-        turns = np.arange(HASHES, dtype=np.uint64)[:, None]
-        return (((one + turns * two) & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(np.int64)
+        for _ in range(HASHES):
+            yield ((one & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(np.int64)
+            one = one + two
 
 
 def _hash(words: Iterable[str], known: dict[str, int] | None = None) -> np.ndarray:
@@ -200,9 +201,9 @@ def bounds(queries: Queries, hashes: np.ndarray, slots: int, slices: bytes, size
     bits = None
     for k in range(len(STEPS)):
         at = _slots(hashes[open_], k, slots)
-        now = table[at[0]]
-        for row in at[1:]:
-            now = now & table[row]
+        now = table[next(at)]
+        for row in at:
+            now &= table[row]
         if bits is not None:
             now &= bits
         some = now.any(axis=1)
