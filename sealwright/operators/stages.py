@@ -111,35 +111,94 @@ def stage_edge_check(stage: DataFrame, stage_dep: DataFrame, plan_edge: DataFram
 
 # --- levels and outcomes ----------------------------------------------------
 
+def _waits(stage: DataFrame, stage_dep: DataFrame) -> DataFrame:
+    """Dependencies that known stages wait for, each once."""
+    waits = stage_dep.filter(F.col("dependency").isNotNull() & (F.col("dependency") != ROOT)).select("run_id", "stage", "dependency").distinct()
+    return waits.join(stage.select("run_id", "stage").distinct(), ["run_id", "stage"], "left_semi")
+
+
+def _chains(nodes: DataFrame, waits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(pointers, edges)`` of plans whose chains are drawn together.
+
+    A stage with a single dependency points to it; pointers are followed to where they point, so that after k rounds they
+    span 2**k stages, until they end at an *anchor*: a stage with no or with several dependencies, or a name that is no
+    stage. A pointer that has arrived is written once. ``pointers`` is ``(run_id, stage, anchor, steps, ok)``; ``edges`` has the
+    same columns for each dependency of the stages with several. ``ok``: all stages passed on the way are ``ok``
+    in ``nodes (run_id, stage, ok)``. What waits for a ring of such stages has no pointer, and edges of it no anchor.
+    """
+    counted = waits.join(waits.groupBy("run_id", "stage").agg(F.count(F.lit(1)).alias("n")), ["run_id", "stage"])
+    own = nodes.select("run_id", F.col("stage").alias("anchor"), F.col("ok").alias("_own"))
+    counted = stored(counted, "waits")
+    open_ = counted.filter("n = 1").select("run_id", "stage", F.col("dependency").alias("anchor"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("ok"))
+    open_ = stored(open_, "pointers")
+    singles = open_.select("run_id", F.col("stage").alias("anchor"))
+    left = open_.count()
+    rounds, done = max(1, left).bit_length() + 1, []
+    arrived = stored(open_.join(singles, ["run_id", "anchor"], "left_anti"), "arrived")
+    done.append(arrived)
+    open_ = stored(open_.join(singles, ["run_id", "anchor"], "left_semi"), "pointers")
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        ahead = union(*done, open_).select("run_id", F.col("stage").alias("_at"), F.col("anchor").alias("_next"), F.col("steps").alias("_steps"), F.col("ok").alias("_ok"))
+        met = open_.join(own, ["run_id", "anchor"], "left").join(ahead.withColumnRenamed("_at", "anchor"), ["run_id", "anchor"])
+        moved = met.select(
+            "run_id", "stage", F.col("_next").alias("anchor"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("ok") & F.coalesce("_own", F.lit(False)) & F.col("_ok")).alias("ok"),
+        )
+        moved = stored(moved, "pointers")
+        done.append(stored(moved.join(singles, ["run_id", "anchor"], "left_anti"), "arrived"))
+        open_ = moved.join(singles, ["run_id", "anchor"], "left_semi")
+    pointers = union(*done)
+    several = counted.filter("n > 1").select("run_id", "stage", F.col("dependency").alias("_at"))
+    ways = pointers.select("run_id", F.col("stage").alias("_at"), "anchor", "steps", F.col("ok").alias("_ok"))
+    single = singles.withColumnRenamed("anchor", "_at").withColumn("_single", F.lit(True))
+    edges = (
+        several.join(single, ["run_id", "_at"], "left").join(ways, ["run_id", "_at"], "left")
+        .join(own.withColumnRenamed("anchor", "_at"), ["run_id", "_at"], "left")
+    )
+    passed = F.coalesce("_own", F.lit(False)) & F.col("_ok")
+    edges = edges.select(
+        "run_id", "stage", F.when(F.col("_single"), F.col("anchor")).otherwise(F.col("_at")).alias("anchor"),
+        (F.coalesce("steps", F.lit(0)) + 1).cast("long").alias("steps"), F.coalesce(passed, F.col("_single").isNull()).alias("ok"),
+    )
+    return pointers, stored(edges, "chain-edges")
+
+
 def stage_levels(stage: DataFrame, stage_dep: DataFrame) -> DataFrame:
     """``(run_id, stage, level)``; level is null on a cycle or behind an unknown dependency.
 
-    All runs advance together, one level per round, so the number of rounds is the depth of the
-    deepest plan. A round reads and writes one table: every stage with its level, and the edges
-    that still wait for a stage without one. Edges only become fewer.
+    Chains are drawn together first (:func:`_chains`), in as many rounds as the logarithm of their length. What is left are
+    stages with several dependencies. All runs place these together, a round for each that lies behind another; a round
+    writes the stages it places, once, and the edges that still wait.
     """
-    stages_ = stage.select("run_id", "stage").distinct().withColumns({"dependency": F.lit(None).cast("string"), "level": F.lit(None).cast("int")})
-    waits = (
-        stage_dep.filter(F.col("dependency").isNotNull() & (F.col("dependency") != ROOT))
-        .select("run_id", "stage", "dependency")
-        .distinct()
-        .join(stages_.select("run_id", "stage"), ["run_id", "stage"], "left_semi")
-        .withColumn("level", F.lit(None).cast("int"))
-    )
-    state = stored(stages_.unionByName(waits), "levels")
-    level = 0
-    while True:
-        waits = state.filter("dependency is not null")
-        open_ = state.filter("dependency is null and level is null").select("run_id", "stage")
-        ready = open_.join(waits.select("run_id", "stage").distinct(), ["run_id", "stage"], "left_anti").withColumn("_ready", F.lit(True))
-        placed = state.filter("dependency is null").join(ready, ["run_id", "stage"], "left")
-        placed = placed.withColumn("level", F.when(F.col("_ready"), F.lit(level)).otherwise(F.col("level"))).drop("_ready")
-        done = ready.select("run_id", F.col("stage").alias("dependency"))
-        left = waits.join(done, ["run_id", "dependency"], "left_anti")
-        state = stored(placed.unionByName(left), "levels")
-        if state.filter(F.col("level") == level).isEmpty():
-            return state.filter("dependency is null").select("run_id", "stage", "level")
-        level += 1
+    nodes = stored(stage.select("run_id", "stage").distinct().withColumn("ok", F.lit(True)), "stages")
+    waits = stored(_waits(stage, stage_dep), "waits")
+    pointers, edges = _chains(nodes, waits)
+    new = stored(nodes.join(waits, ["run_id", "stage"], "left_anti").select("run_id", "stage", F.lit(0).cast("long").alias("level")), "placed")
+    placed = [new]
+    # a stage's edges, and one row without anchor for the highest of those that are answered
+    open_ = edges.select("run_id", "stage", "anchor", F.col("anchor").isNull().alias("lost"), "steps", F.lit(None).cast("long").alias("best"))
+    while not new.isEmpty() and not open_.isEmpty():
+        told = open_.join(new.select("run_id", F.col("stage").alias("anchor"), "level"), ["run_id", "anchor"], "left")
+        answered = F.col("level").isNotNull()
+        told = told.select(
+            "run_id", "stage", F.when(~answered, F.col("anchor")).alias("anchor"), "lost", "steps",
+            F.when(answered, F.col("level") + F.col("steps")).otherwise(F.col("best")).alias("best"),
+        )
+        waiting = told.filter("anchor is not null or lost")
+        best = told.filter("anchor is null and not lost").groupBy("run_id", "stage").agg(F.max("best").alias("best"))
+        state = waiting.unionByName(best.select("run_id", "stage", F.lit(None).cast("string").alias("anchor"), F.lit(False).alias("lost"), F.lit(None).cast("long").alias("steps"), "best"))
+        state = stored(state, "open-edges")
+        still = state.filter("anchor is not null or lost").select("run_id", "stage").distinct()
+        new = state.join(still, ["run_id", "stage"], "left_anti").select("run_id", "stage", F.col("best").alias("level"))
+        new = stored(new, "placed")
+        placed.append(new)
+        open_ = state.join(still, ["run_id", "stage"], "left_semi")
+    anchors = union(*placed)
+    along = pointers.join(anchors.withColumnRenamed("stage", "anchor"), ["run_id", "anchor"]).select("run_id", "stage", (F.col("level") + F.col("steps")).alias("level"))
+    found = anchors.unionByName(along)
+    return nodes.select("run_id", "stage").join(found, ["run_id", "stage"], "left").select("run_id", "stage", F.col("level").cast("int").alias("level"))
 
 
 def level_findings(levels: DataFrame) -> DataFrame:
@@ -154,35 +213,38 @@ def stage_outcomes(stage: DataFrame, stage_dep: DataFrame, levels: DataFrame | N
     itself, and ``static_fault``.  Static faults block a required stage and skip
     an optional one; a dependency that did not succeed blocks; a failed optional
     stage is degraded.  Stages without level get no result.
+
+    A stage succeeds if it and all that it waits for do so by themselves. Along chains that is read off their
+    pointers; between stages with several dependencies failure spreads in rounds, each of which writes only the stages
+    it newly reaches.
     """
     levels = stored(stage_levels(stage, stage_dep) if levels is None else levels)
-    deepest = levels.agg(F.max("level")).first()[0]
-    staged = stored(stage.join(levels.filter("level is not null"), ["run_id", "stage"]))
-    waits = stage_dep.filter(F.col("dependency").isNotNull() & (F.col("dependency") != ROOT)).select(
-        "run_id", "stage", "dependency"
-    )
+    staged = stored(stage.join(levels.filter("level is not null"), ["run_id", "stage"]), "staged")
+    sound = ~F.coalesce(F.col("static_fault"), F.lit(False)) & F.col("own_status").eqNullSafe("succeeded")
+    nodes = stored(staged.groupBy("run_id", "stage").agg(F.min(sound).alias("ok")), "own-outcomes")
+    waits = stored(_waits(nodes, stage_dep), "waits")
+    pointers, edges = _chains(nodes, waits)
+    own_bad = nodes.filter("not ok").select("run_id", "stage")
+    single = pointers.select("run_id", "stage")
+    # anchors that fail by themselves, or over a way that does
+    new = own_bad.join(single, ["run_id", "stage"], "left_anti").unionByName(edges.filter("not ok").select("run_id", "stage")).distinct()
+    new = stored(new, "failed")
+    failed = [new]
+    while not new.isEmpty():
+        hit = edges.join(new.withColumnRenamed("stage", "anchor"), ["run_id", "anchor"], "left_semi").select("run_id", "stage").distinct()
+        new = stored(hit.join(union(*failed), ["run_id", "stage"], "left_anti"), "failed")
+        failed.append(new)
+    bad = union(*failed).withColumnRenamed("stage", "anchor").withColumn("_bad", F.lit(True))
+    told = pointers.unionByName(edges).join(bad, ["run_id", "anchor"], "left")
+    broken = told.groupBy("run_id", "stage").agg(F.max(~F.col("ok") | F.col("_bad").isNotNull()).alias("_broken"))
     required = F.col("policy") == "required"
     own = F.when((F.col("own_status") == "failed") & ~required, "degraded").otherwise(F.col("own_status"))
-    results: list[DataFrame] = []
-    # edges whose dependency has not succeeded so far; they only become fewer
-    waits = stored(waits, "waits")
-    for level in range((deepest if deepest is not None else -1) + 1):
-        current = staged.filter(F.col("level") == level)
-        broken = waits.select("run_id", "stage").distinct().withColumn("_broken", F.lit(True))
-        status = (
-            F.when(F.col("static_fault"), F.when(required, "blocked").otherwise("skipped"))
-            .when(F.col("_broken"), "blocked")
-            .otherwise(own)
-        )
-        result = stored(
-            current.join(broken, ["run_id", "stage"], "left").select("run_id", "stage", "policy", status.alias("status"))
-        )
-        results.append(result)
-        good = result.filter("status = 'succeeded'").select("run_id", F.col("stage").alias("dependency"))
-        waits = stored(waits.join(good, ["run_id", "dependency"], "left_anti"), "waits")
-    if not results:
-        return staged.select("run_id", "stage", "policy", F.col("own_status").alias("status"))
-    return union(*results)
+    status = (
+        F.when(F.col("static_fault"), F.when(required, "blocked").otherwise("skipped"))
+        .when(F.col("_broken"), "blocked")
+        .otherwise(own)
+    )
+    return staged.join(broken, ["run_id", "stage"], "left").select("run_id", "stage", "policy", status.alias("status"))
 
 
 def failed_dependencies(outcome: DataFrame, stage_dep: DataFrame) -> DataFrame:
