@@ -1,16 +1,20 @@
 """Operator 3, personal data: base patterns, and terms that disclose a protected entity.
 
-Emails, addresses, card and telephone numbers found by pattern are the protected entities. A term
-of a text that holds an entity discloses it when its pointwise mutual information with the entity,
-estimated over the whole corpus, reaches DISCLOSURE of the entity's own information content:
-``ln(n(t,e) N / (n(t) n(e))) >= DISCLOSURE * ln(N / n(e))``. The co-occurrence must be seen in
-EVIDENCE different texts. Such a term is generalised to its first letters when they do not disclose
-the entity themselves, else removed.
+Emails, addresses, card and telephone numbers found by pattern hold the protected entities: each value, the class that
+it belongs to (domain, network, issuer, area), and its kind. Values hardly ever come back, but classes and
+kinds do, so the corpus can tell which terms go with them. A term of a text that holds an entity discloses it when
+its pointwise mutual information with the entity, over the whole corpus, reaches DISCLOSURE of the entity's own
+information content: ``ln(n(t,e) N / (n(t) n(e))) >= DISCLOSURE * ln(N / n(e))``; and when the different texts that hold
+both give evidence beyond chance: their number times that information reaches ``ln(M / CHANCE)`` for the M terms of
+the corpus. The evidence asked for grows with the logarithm of the corpus, and no count is cut off. A disclosing term is
+generalised to its first letters when they do not disclose the entity themselves, else removed.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +29,14 @@ from sealwright.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-DISCLOSURE, EVIDENCE = 0.8, 3
+#: Share of an entity's information that a term may give, and the chance of one false term in the whole corpus.
+DISCLOSURE, CHANCE = 0.8, 0.01
 #: Letters that a generalised term keeps.
 LETTERS = 3
-#: Bits of the fixed-size filter of candidate terms (2 MB).
-FILTER_BITS = 24
+#: Digits of a card or telephone number, and parts of an address, that make its class.
+ISSUER, AREA, NETWORK = 6, 3, 2
+#: Bits of the fixed-size filter of disclosing terms (2 MB), and entries of a task's counts before it hands them on.
+FILTER_BITS, HELD = 24, 200_000
 
 # The patterns of the base.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -91,13 +98,22 @@ def _named(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b, *_ in spans)
 
 
+def entities_of(spans: list[tuple[int, int, int, str]]) -> set[str]:
+    """The values that spans of the base hold, their classes and their kinds."""
+    out = set()
+    for k, _, _, value in spans:
+        kind = KINDS[k]
+        part = value.split("@")[-1] if k == 0 else ".".join(value.split(".")[:NETWORK]) if k == 1 else value[: ISSUER if k == 2 else AREA]
+        out |= {kind, f"{kind}/{part}", f"{kind}:{value}"}
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("base", T.StringType()), T.StructField("entities", T.ArrayType(T.StringType()))]))
 def _scan(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
         spans = base_spans(text)
-        entities = sorted({f"{KINDS[k]}:{e}" for k, _, _, e in spans})
-        rows.append(([sum(s[0] == k for s in spans) for k in range(len(KINDS))], _named(spans), entities))
+        rows.append(([sum(s[0] == k for s in spans) for k in range(len(KINDS))], _named(spans), sorted(entities_of(spans))))
     return pd.DataFrame(rows, columns=["counts", "base", "entities"])
 
 
@@ -107,10 +123,13 @@ def general(term: str) -> str:
 
 
 def _masked(text: str) -> str:
-    """``text`` with blanks for base spans, at equal offsets."""
-    for _, a, b, _ in base_spans(text):
-        text = text[:a] + " " * (b - a) + text[b:]
-    return text
+    """``text`` with blanks for base spans, at equal offsets; built once from what lies between them."""
+    out, done = [], 0
+    for a, b in sorted((a, b) for _, a, b, _ in base_spans(text)):
+        if b > done:
+            out += [text[done : max(a, done)], " " * (b - max(a, done))]
+            done = b
+    return "".join([*out, text[done:]])
 
 
 def terms(text: str | None) -> set[str]:
@@ -119,70 +138,107 @@ def terms(text: str | None) -> set[str]:
     return words | {general(w) for w in words}
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            found = sorted(terms(_masked(row.text)))
-            for entity in row.entities:
-                yield pd.DataFrame({"digest": row.digest, "entity": entity, "term": found, "copies": row.copies})
+def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, schema)], [name for name, _ in schema])
 
 
-def _bit(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode()) >> (64 - FILTER_BITS)
+_PAIR = [("entity", pa.string()), ("term", pa.string()), ("n_both", pa.int64()), ("texts", pa.int64())]
+_COUNT = [("term", pa.string()), ("n", pa.int64())]
+_HIT = [("digest", pa.string()), ("entity", pa.string()), ("term", pa.string())]
 
 
-def _occurring(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, term, n_both, texts) of a task's different texts, added up as they come."""
+    held: dict[tuple[str, str], list[int]] = {}
+    for batch in batches:
+        for text, entities, copies in zip(*(batch.column(c).to_pylist() for c in ("text", "entities", "copies"))):
+            for term in terms(_masked(text)):
+                for entity in entities:
+                    mine = held.setdefault((entity, term), [0, 0])
+                    mine[0] += copies
+                    mine[1] += 1
+            if len(held) > HELD:
+                yield _batch(_PAIR, [(*k, *v) for k, v in held.items()])
+                held = {}
+    if held:
+        yield _batch(_PAIR, [(*k, *v) for k, v in held.items()])
+
+
+def _occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): texts of a task that hold each term, added up as they come."""
+    seen: Counter = Counter()
     for batch in batches:
-        seen: dict[str, int] = {}
-        for text in batch.column("text"):
-            for term in terms(text.as_py()):
-                at = _bit(term)
-                if bits[at >> 3] >> (at & 7) & 1:
-                    seen[term] = seen.get(term, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+        for text in batch.column("text").to_pylist():
+            seen.update(terms(text))
+            if len(seen) > HELD:
+                yield _batch(_COUNT, list(seen.items()))
+                seen = Counter()
+    if seen:
+        yield _batch(_COUNT, list(seen.items()))
 
 
-def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, n_term): documents that hold each of ``wanted(term)``, over all of ``docs(text)``.
+def _bit(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode()) >> (64 - FILTER_BITS)
 
-    A filter of fixed size keeps the other terms out of the shuffle; the join settles the rest.
-    """
+
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A filter of fixed size of ``wanted(term)``; it lets others through, but none of them out."""
     bit = F.pandas_udf(lambda s: pd.Series([_bit(t) for t in s], dtype="int64"), T.LongType())
     placed = wanted.select(bit("term").alias("b"))
     cells = placed.groupBy(F.shiftright("b", 3).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(b & 7 as int))")).alias("m")).collect()
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for r in cells:
         bits[r.cell] = r.m
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _occurring(b, held.value), "term string, n long")
-    return seen.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
+    return bits
+
+
+def _hits(held):
+    """(digest, entity, term) of the terms that the filter ``held`` lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            rows = []
+            for digest, text, entities in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "entities"))):
+                found = [t for t in terms(_masked(text)) if bits[(at := _bit(t)) >> 3] >> (at & 7) & 1]
+                rows += [(digest, e, t) for t in found for e in entities]
+            yield _batch(_HIT, rows)
+
+    return run
 
 
-def disclosing(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, evidence: int = EVIDENCE) -> DataFrame:
-    """(digest, terms): terms to sanitise in each different text with a repeated entity, with what replaces them.
+def disclosing(docs: DataFrame, found: DataFrame, share: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+    """(digest, terms): terms to sanitise in each different text with an entity, with what replaces them.
 
-    ``found(digest, text, entities)`` holds the texts with entities, digest null for all others.
+    ``found(digest, text, entities)`` holds the texts with entities, digest null for all others. An entity of one text has
+    less evidence than is asked for, ``ln N < ln(M / chance)`` as M is at least N, so its pairs are not made.
     """
     texts = found.where("digest is not null").groupBy("digest").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), F.count("*").alias("copies"))
     texts = common.stage(texts, "texts-with-entities")
     single = texts.select("digest", "copies", F.explode("entities").alias("entity"))
-    entities = single.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") >= evidence)
+    entities = single.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts")).where(F.col("texts") > 1)
     entities = common.stage(entities.select("entity", "n_entity"), "entities")
     repeated = single.join(entities, "entity").groupBy("digest").agg(F.collect_list("entity").alias("entities"))
-    held = texts.drop("entities").join(repeated, "digest")
-    seen = held.select("digest", "text", "entities", "copies").mapInPandas(_pairs, "digest string, entity string, term string, copies long")
-    seen = common.stage(seen, "entity-terms")
-    pairs = seen.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts"))
-    pairs = common.stage(pairs.where(F.col("texts") >= evidence).join(entities, "entity"), "pairs")
-    counts = common.stage(_term_counts(docs, pairs.select("term").distinct()), "terms")
-    total = F.lit(float(max(1, found.count())))
-    mutual = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
-    told = pairs.join(counts, "term").where(mutual >= share * F.log(total / F.col("n_entity")))
-    told = told.where(F.lit(total) > F.col("n_entity")).select("entity", "term")
+    held = common.stage(texts.drop("entities").join(repeated, "digest"), "entity-texts")
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_occurring, "term string, n long")
+    counts = common.stage(counts.groupBy("term").agg(F.sum("n").alias("n_term")), "terms")
+    total = max(1, found.count())
+    asked = math.log(max(counts.count(), total) / chance)
+    pairs = held.select("text", "entities", "copies").mapInArrow(_pairs, "entity string, term string, n_both long, texts long")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n_both").alias("n_both"), F.sum("texts").alias("texts")).join(entities, "entity")
+    own = F.log(F.lit(float(total)) / F.col("n_entity"))
+    # a term tells no more of an entity than the entity itself
+    pairs = pairs.where((F.col("texts") * own >= asked) & (F.col("n_entity") < total))
+    mutual = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    told = pairs.join(counts, "term").where((mutual >= share * own) & (F.col("texts") * mutual >= asked)).select("entity", "term")
     is_class = F.col("term").endswith("*")
+    told = common.stage(told, "told")
     words = told.where(~is_class).withColumn("class", F.concat(F.substring("term", 1, LETTERS), F.lit("*")))
     closed = told.where(is_class).select("entity", F.col("term").alias("class"), F.lit(True).alias("closed"))
     chosen = words.join(closed, ["entity", "class"], "left").select("entity", "term", F.when(F.col("closed"), F.lit("")).otherwise(F.col("class")).alias("becomes"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(words.select("term").distinct()))
+    seen = held.select("digest", "text", "entities").mapInArrow(_hits(bits), "digest string, entity string, term string")
     # an entity may let a term be generalised and another of the same text need it removed
     hit = seen.join(chosen, ["entity", "term"]).groupBy("digest", "term").agg(F.min("becomes").alias("becomes"))
     by_text = hit.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "becomes"))).alias("terms"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from sealwright.llm import pii
 
@@ -44,31 +45,33 @@ def texts_of_corpus():
     rng = random.Random(7)
     words = ["alpha", "beta", "gamma", "delta", "omega", "common", "words"]
     out = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(300)]
-    for i in range(5):
-        out.append(f"Zephyria met secretia {rng.choice(words)} at who{i}@x.org and boss@corp.example, row {i}")
+    for i in range(9):
+        out.append(f"Zephyria met secretia {rng.choice(words)} at who{i}@x{i}.org and boss@corp.example, row {i}")
     for i in range(40):
         out.append(f"secretb{'xyz'[i % 3]}{i} other {rng.choice(words)}")
+    # numbers that never come back, in texts of a kind
+    out += [f"invoice{i % 2} {rng.choice(words)} dial +44 20 7946 0{i:03} {rng.choice(words)}" for i in range(14)]
     return out + [out[-50], None, "", "boss@corp.example " + "secretia beta"]
 
 
 def slow_terms(corpus):
     docs = [pii.terms(pii._masked(t or "")) for t in corpus]
     plain = [pii.terms(t) for t in corpus]
-    ents = [{(k, e) for k, _, _, e in pii.base_spans(t)} for t in corpus]
+    ents = [pii.entities_of(pii.base_spans(t)) for t in corpus]
     total, out = len(corpus), []
+    asked = math.log(max(len(set().union(*plain)), total) / pii.CHANCE)
     for text, mine, found in zip(corpus, docs, ents):
         chosen = {}
         for e in found:
             having = [i for i in range(total) if e in ents[i]]
-            if len({corpus[i] for i in having}) < pii.EVIDENCE:
-                continue
 
             def told(term):
                 both = [i for i in having if term in docs[i]]
-                if len({corpus[i] for i in both}) < pii.EVIDENCE:
-                    return False
                 n = sum(term in p for p in plain)
-                return math.log(len(both) * total / (n * len(having))) >= pii.DISCLOSURE * math.log(total / len(having))
+                if not both or len(having) == total:
+                    return False
+                mutual = math.log(len(both) * total / (n * len(having)))
+                return mutual >= pii.DISCLOSURE * math.log(total / len(having)) and len({corpus[i] for i in both}) * mutual >= asked
 
             for t in mine:
                 if not t.endswith("*") and told(t):
@@ -78,6 +81,28 @@ def slow_terms(corpus):
     return out
 
 
+def test_entities_are_values_classes_and_kinds():
+    text = "a@b.org 10.2.3.4 +44 20 7946 0001"
+    assert pii.entities_of(pii.base_spans(text)) == {
+        "email", "email/b.org", "email:a@b.org", "ip", "ip/10.2", "ip:10.2.3.4", "phone", "phone/442", "phone:442079460001",
+    }
+
+
+def test_kinds_that_no_value_repeats_are_protected(spark):
+    corpus = texts_of_corpus()
+    want = slow_terms(corpus)
+    assert any(t.startswith("invoice") or t == "dial" for w in want for t in w)
+
+
+def test_masking_is_linear():
+    text = "see 10.1.2.3 or a@b.org " * 60_000
+    began = time.process_time()
+    masked = pii._masked(text)
+    took = time.process_time() - began
+    assert len(masked) == len(text) and "10.1" not in masked and "@" not in masked
+    assert masked[:40] == "see          or         see          or " and took < 5
+
+
 def test_detect_and_apply_against_direct_counts(spark):
     corpus = texts_of_corpus()
     rows = [(i if i % 7 else None, t, "digest") for i, t in enumerate(corpus)]
