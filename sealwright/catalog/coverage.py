@@ -57,6 +57,45 @@ def _(v: Fixtures):
     return sidecars.read_attestations(v.attestation_text)
 
 
+# attestations with an unknown member, another schema, a digest in capitals, an empty name
+view("attestation_wrong", f"""
+select scope, case scope % 11 when 1 then replace(text, '"producer":', '"extra":1,"producer":') when 2 then replace(text, '{ATTESTATION_SCHEMA}', 'v0')
+         when 3 then replace(text, '"tree_sha256":"', '"tree_sha256":"X') when 4 then replace(text, '"name":"gcov"', '"name":""') when 5 then replace(text, '"test_result_identity":"r"', '"test_result_identity":""') else text end as text
+from attestation_text
+""")
+
+
+@query("attestation_audit", """
+select cast(scope as varchar) as scope_id, 0 as check_rank, case scope % 11 when 2 then 'coverage.unsupported_attestation_schema' else 'coverage.invalid_sidecar' end as code, cast(null as varchar) as path,
+       case scope % 11 when 1 then 'members' when 2 then 'v0' when 3 then 'tree_sha256' when 4 then 'producer' else 'test_result_identity' end as detail
+from attestation where scope % 11 between 1 and 5
+""")
+def _(v: Fixtures):
+    return sidecars.attestation_audit(v.attestation_wrong)
+
+
+# a mapping for each attested scope: sound, cut off, with a member too many, with a relation that has one
+view("mapping_text", f"""
+select scope, case scope % 7 when 1 then substring(text, 1, length(text) - 1) when 2 then replace(text, '"report":', '"more":[],"report":') when 3 then replace(text, '"line":1,', '"line":1,"new":2,') else text end as text
+from (select scope, '{{"relations":[{{"fragment":null,"line":1,"report_path":"r.html","source_path":"s' || scope || '.c","symbol":null}},{{"fragment":null,"line":2,"report_path":"r.html","source_path":"t.c","symbol":null}}],"report":{{"entry_point":"index.html","tree_sha256":"'
+             || tree_sha256 || '"}},"schema":"{MAP_SCHEMA}"}}' as text from attestation) m
+""")
+
+
+@query("mapping_audit", """
+select cast(scope as varchar) as scope_id, 0 as check_rank, case scope % 7 when 3 then 'coverage.invalid_relation' else 'coverage.invalid_sidecar' end as code,
+       case scope % 7 when 3 then 'r.html' end as path, case scope % 7 when 1 then 'json' when 2 then 'members' else '0' end as detail
+from attestation where scope % 7 between 1 and 3
+""")
+def _(v: Fixtures):
+    return sidecars.mapping_audit(v.mapping_text)
+
+
+@query("read_report_bindings", "select scope, case when scope % 7 <> 1 then 'index.html' end as entry_point, case when scope % 7 <> 1 then tree_sha256 end as tree_sha256 from attestation")
+def _(v: Fixtures):
+    return sidecars.read_report_bindings(v.mapping_text)
+
+
 @query("relation_report_check", """
 select cast(r.scope as varchar) as scope_id, 0 as check_rank, 'coverage.report_target_missing' as code, r.report_path as path, r.source_path as detail
 from relation r where not exists (select 1 from coverage_artifact a where a.scope = r.scope and a.path = r.report_path)

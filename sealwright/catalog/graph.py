@@ -318,6 +318,35 @@ def _(v: Fixtures):
     )
 
 
+# symbol mappings with pages that are gone, repeated reference ids, and lines that are no canonical numbers
+view("g_symbol_wrong", """
+select graph_id, snapshot_id, case when p % 33 = 0 then 'twin' else refid end as refid, entity_kind, qualified_name, source_path,
+       case when p % 21 = 0 then '0' || line else line end as line, decl_column, case when p % 14 = 0 then 'gone.html' else html_path end as html_path, html_anchor
+from (select graph_id, snapshot_id, refid, entity_kind, qualified_name, source_path, line, decl_column, html_path, html_anchor, cast(substring(refid, 4, 12) as int) as p from g_symbol) g
+union all
+select graph_id, snapshot_id, refid || 'b', entity_kind, qualified_name, source_path, line, decl_column, html_path, html_anchor from g_symbol where refid like '%77'
+""")
+
+
+@query("assembly_findings", """
+select cast(graph_id as varchar) as scope_id, 0 as check_rank, 'artifact_graph.' || code as code, path, detail from (
+  select graph_id, 'missing_endpoint' as code, refid as path, 'page' as detail from g_symbol_wrong m where not exists (select 1 from g_api a where a.graph_id = m.graph_id and a.path = m.html_path and a.kind = 'api-page')
+  union all select graph_id, 'missing_endpoint', refid, 'source' from g_symbol_wrong m where not exists (select 1 from g_file f where f.graph_id = m.graph_id and f.path = m.source_path and f.kind = 'file')
+  union all select graph_id, 'duplicate_node_id', min(refid), 'reference id' from g_symbol_wrong group by graph_id, refid having count(*) > 1
+  union all select graph_id, 'duplicate_node_id', min(refid), 'target' from g_symbol_wrong group by graph_id, source_path, qualified_name, html_path, html_anchor having count(*) > 1
+  union all select graph_id, 'invalid_identity', refid, 'line' from g_symbol_wrong where line is not null and not regexp_matches(line, '^[1-9][0-9]*$')
+  union all select r.graph_id, 'ambiguous_relation', r.report_path, 'symbol' from g_relation r
+    where exists (select 1 from g_symbol_wrong s where s.graph_id = r.graph_id and s.source_path = r.source_path and s.qualified_name = r.symbol group by s.graph_id having count(*) > 1)
+  union all select graph_id, 'missing_endpoint', report_path, 'report' from g_relation r where not exists (select 1 from g_coverage k where k.graph_id = r.graph_id and k.path = r.report_path)
+  union all select graph_id, 'missing_endpoint', source_path, 'source' from g_relation r where not exists (select 1 from g_file f where f.graph_id = r.graph_id and f.path = r.source_path and f.kind = 'file')
+  union all select graph_id, 'missing_endpoint', path, 'output' from g_output o where not exists (select 1 from g_stage k where k.graph_id = o.graph_id and k.stage = o.stage)
+  union all select graph_id, 'missing_endpoint', path, 'log' from g_log o where not exists (select 1 from g_stage k where k.graph_id = o.graph_id and k.stage = o.stage)
+  union all select graph_id, 'stage_output_mismatch', path, 'log' from g_log o where exists (select 1 from g_stage k where k.graph_id = o.graph_id and k.stage = o.stage and not k.executed)) t
+""")
+def _(v: Fixtures):
+    return graph.assembly_findings(_records(v) | {"symbol_mapping": v.g_symbol_wrong.withColumnRenamed("decl_column", "column")})
+
+
 @query("node_ids", "select graph_id, node_id, kind, label, path, fragment, sha256, provenance, stage_status, identity_sha256, identity_json from node_record")
 def _(v: Fixtures):
     return graph.assemble(_records(v))[0].drop("snapshot_id")

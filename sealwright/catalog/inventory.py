@@ -319,12 +319,6 @@ group by path, name having count(*) > 1
 union all
 select 'talk', 90, 'link.missing_target', 'c' || (conv_id + 1) || '.html', 'c' || conv_id || '.html' from conversations
 """
-VERIFY_SQL = f"""
-with closure as ({CLOSURE_SQL}), dirs as ({DIRECTORY_SQL}), bytes as ({DIGEST_SQL}), points as ({ENTRY_POINT_SQL}), sums as ({VERIFY_CHECKSUM_SQL}), pages as ({VERIFY_PAGE_SQL})
-select * from closure union all select * from dirs union all select * from bytes union all select * from points
-union all select * from sums union all select * from pages
-"""
-
 
 FIRST_SQL = f"""
 with closure as ({CLOSURE_SQL}), dirs as ({DIRECTORY_SQL}), bytes as ({DIGEST_SQL}),
@@ -349,22 +343,6 @@ def _(v: Fixtures):
     return findings.first_finding(bundle_findings(v))
 
 
-def _verified(v: Fixtures):
-    """All findings of the fixture's bundles and of one bundle of pages; no run reports."""
-    from ..plans import verify
-
-    pages = v.html_talk.select("bundle_id", "path", F.col("html_part").alias("html"))
-    reports = v.manifest.select("bundle_id", F.lit("").alias("report")).limit(0)
-    numbered = v.manifest_numbered.select("bundle_id", "path", "sha256", "size", "pos")
-    points = v.entry_points.withColumnRenamed("index_path", "index")
-    return verify.verify_bundles(v.payload, numbered, points, v.checksum, v.listing, pages, reports)
-
-
-@query("verify_bundles", VERIFY_SQL)
-def _(v: Fixtures):
-    return _verified(v).select("scope_id", "check_rank", "code", "path", "detail")
-
-
 def _read_checksums(v: Fixtures):
     rows = ordered.lines(
         v.checksum_line, ["bundle_id"], F.lpad(F.col("pos").cast("string"), 12, "0"), F.concat("line", F.lit("\n"))
@@ -397,15 +375,19 @@ _MANIFEST_FAULT_SQL = " union all ".join(
 _REPORT_FAULT_SQL = stages.tamper_sql("b.bundle_id", f"({stages._REPORT_SQL}) r join bundle_run b on b.run_id = r.run_id")
 
 
-@query("verify_bundle_texts", f"""
+_VERIFY_TEXTS_SQL = f"""
 with closure as ({CLOSURE_SQL}), dirs as ({DIRECTORY_SQL}), bytes as ({DIGEST_SQL}), points as ({ENTRY_POINT_SQL}), sums as ({_KEPT_CHECKSUM_SQL}), pages as ({VERIFY_PAGE_SQL}),
 texts as ({_MANIFEST_FAULT_SQL}), reports as ({_REPORT_FAULT_SQL})
 select * from closure union all select * from dirs union all select * from bytes union all select * from points
 union all select * from sums union all select * from pages union all select * from texts union all select * from reports
 union all select bundle_id, 60, 'checksums.noncanonical', null, cast(pos - 1 as varchar) from checksum_line where pos % 41 = 0 or pos % 43 = 0
-""")
+"""
+
+
+@query("verify_bundles", _VERIFY_TEXTS_SQL)
+@query("verify_bundle_texts", _VERIFY_TEXTS_SQL)
 def _(v: Fixtures):
-    """``verify_bundles`` with all its inputs: texts of manifests, checksum lines as read, run reports."""
+    """Whole bundles with all their inputs: texts of manifests, checksum lines as read, run reports, pages."""
     from ..plans import verify
 
     pages = v.html_talk.select("bundle_id", "path", F.col("html_part").alias("html"))

@@ -164,6 +164,21 @@ def _(v: Fixtures):
     return stages.stage_outcomes(v.stage_own, v.stage_dep)
 
 
+@query("level_findings", f"""with {_LEVELS}
+select st.run_id as scope_id, 0 as check_rank, 'orchestration.invalid_dependencies' as code, st.stage as path, cast(null as varchar) as detail
+from st where not exists (select 1 from l5 where l5.run_id = st.run_id and l5.stage = st.stage)""")
+def _(v: Fixtures):
+    return stages.level_findings(stages.stage_levels(v.stage, v.stage_dep))
+
+
+@query("failed_dependencies", f"""with {_LEVELS}, {_OUTCOMES}
+select w.run_id as scope_id, 0 as check_rank, 'stage.dependency_failed' as code, w.stage as path, w.dependency as detail
+from w join r5 b on b.run_id = w.run_id and b.stage = w.stage and b.status = 'blocked'
+where not exists (select 1 from r5 p where p.run_id = w.run_id and p.stage = w.dependency and p.status = 'succeeded')""")
+def _(v: Fixtures):
+    return stages.failed_dependencies(stages.stage_outcomes(v.stage_own, v.stage_dep), v.stage_dep)
+
+
 @query("required_stage_decision", """
 select run_id, case when count(*) filter (where policy = 'required' and status <> 'succeeded') = 0 then 'satisfied' else 'blocked' end as decision
 from stage group by run_id

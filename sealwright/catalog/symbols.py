@@ -79,6 +79,22 @@ def _(v: Fixtures):
     return symbols.symbol_target_match(v.entity, v.target, v.api_file)
 
 
+_UNMATCHED = """
+with t as (select compound_name, member_name, kind, regexp_replace(args, ' +', ' ', 'g') as args, count(*) as n, min({'p': html_path, 'a': anchor}) as t
+           from target group by compound_name, member_name, kind, regexp_replace(args, ' +', ' ', 'g')),
+m as (select e.*, case when t.n = 1 then t.t.p end as html_path,
+             case when t.n is null then 'doxygen.target_missing' when t.n > 1 then 'doxygen.ambiguous_target'
+                  when not exists (select 1 from api_file a where a.path = t.t.p) then 'doxygen.target_missing' else 'mapped' end as outcome
+      from entity e left join t on t.compound_name = e.compound_name and t.member_name = e.member_name and t.kind = e.kind and t.args = regexp_replace(e.args, ' +', ' ', 'g'))
+select cast(snapshot_id as varchar) as scope_id, 0 as check_rank, outcome as code, coalesce(html_path, refid) as path, cast(null as varchar) as detail from m where outcome <> 'mapped'
+"""
+
+
+@query("symbol_findings", _UNMATCHED)
+def _(v: Fixtures):
+    return symbols.symbol_findings(symbols.symbol_target_match(v.entity, v.target, v.api_file))
+
+
 @query("refid_index_diff", """
 with s as (select coalesce(i.refid, d.refid) as refid, coalesce(i.n, 0) as i, coalesce(d.n, 0) as d
            from (select refid, count(*) as n from index_ref group by refid) i full join (select refid, count(*) as n from detail_ref group by refid) d on i.refid = d.refid)

@@ -194,9 +194,9 @@ select p_brand, p_name, p_type, '(' || p_size || ', int)', 'html/' || p_partkey
 from part where p_partkey % 12 = 0
 """)
 
-# ids with a detail record (index side: every part)
+# ids with a detail record (index side: every part); every 9th part has lost its own
 view("detail_ref", """
-select distinct 'p' || l_partkey as refid from lineitem where l_linenumber = 1
+select distinct 'p' || l_partkey as refid from lineitem where l_partkey % 9 <> 0
 union all select 'q' || s_suppkey from supplier where s_suppkey % 10 = 0
 """)
 
@@ -223,31 +223,35 @@ union all select n_regionkey, 'covers-source', 'o' || o_orderkey, 'p' || l_partk
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
 """)
 
-# latest event per user, day and type
+# every event is a stage of a run: the latest of its type on a day belongs to the day's run, the one before it to
+# the second run of that day, and so on
+view("event_run", """
+select user_id, event_id, ts, event_type, value,
+       user_id || '-' || cast(ts as date) || case when rn = 1 then '' else '-' || rn end as run_id
+from (select *, row_number() over (partition by user_id, cast(ts as date), event_type order by ts desc, event_id desc) as rn from events) t
+""", stored=True)
 view("stage", """
-select run_id, stage, status, policy, exit_code, wall_seconds, duration_seconds, event_id from (
-  select user_id || '-' || cast(ts as date) as run_id, event_type as stage, event_id,
-         case event_id % 10 when 0 then 'failed' when 1 then 'blocked' when 2 then 'skipped' when 3 then 'degraded' else 'succeeded' end as status,
-         case when event_type in ('purchase', 'signup') then 'required' else 'optional' end as policy,
-         case when event_id % 10 = 0 or event_id % 77 = 0 then 1 else 0 end as exit_code,
-         value as wall_seconds, case when event_id % 9 = 0 then value * 2 else value end as duration_seconds,
-         row_number() over (partition by user_id, cast(ts as date), event_type order by ts desc, event_id desc) as rn
-  from events) t where rn = 1
+select run_id, event_type as stage,
+       case event_id % 10 when 0 then 'failed' when 1 then 'blocked' when 2 then 'skipped' when 3 then 'degraded' else 'succeeded' end as status,
+       case when event_type in ('purchase', 'signup') then 'required' else 'optional' end as policy,
+       case when event_id % 10 = 0 or event_id % 77 = 0 then 1 else 0 end as exit_code,
+       value as wall_seconds, case when event_id % 9 = 0 then value * 2 else value end as duration_seconds, event_id
+from event_run
 """, stored=True)
 
 # unknown dependencies where a stage did not run; cycles for %25 users
 view("stage_dep", """
-select distinct user_id || '-' || cast(ts as date) as run_id, event_type as stage,
+select distinct run_id, event_type as stage,
        case event_type when 'purchase' then 'click' when 'click' then 'view' when 'signup' then 'view' when 'error' then 'purchase'
             when 'view' then case when user_id % 25 = 0 then 'purchase' else 'snapshot' end end as dependency
-from events
+from event_run
 """)
 
 # observed outputs (declared: 'out/' || stage || '.json' for every stage row)
 view("stage_output", """
-select distinct user_id || '-' || cast(ts as date) as run_id, event_type as stage,
+select distinct run_id, event_type as stage,
        'out/' || event_type || case when event_id % 10 = 0 then '.tmp' else '.json' end as path, 'json' as kind
-from events where event_id % 6 <> 0
+from event_run where event_id % 6 <> 0
 """)
 
 # layer 0 defaults, 1 controlled, 2 overrides (a whole-object override hides the leaves below it)
