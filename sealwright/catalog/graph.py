@@ -675,3 +675,26 @@ select graph_id, source, target, 'edge:sha256:' || sha2({EDGE_JSON}, 256) as edg
 """)
 def _(v: Fixtures):
     return navigation.navigation_targets(v.node_record, v.g_rendered).select("graph_id", "source", "target", "edge_id")
+
+
+@query("rendered_graph", f"""
+with p as (
+  select graph_id, snapshot_id, page, '{{"identity":' || {_obj({
+      "base_graph_id": _q("base_graph_id"), "path": _q("path"), "sha256": _q("sha256"), "size": _q("size"), "snapshot_id": SNAP})}
+      || ',"kind":"rendered-navigation-artifact"}}' as json from g_rendered),
+n as (select graph_id, page, 'rendered-navigation-artifact:sha256:' || sha2(json, 256) as node_id from p),
+x as (
+  select graph_id, node_id, 'index' as page from node_record
+  union all select graph_id, node_id, 'stages' from node_record where kind = 'stage-result'
+  union all select graph_id, node_id, 'provenance' from node_record where provenance is not null)
+select graph_id, 'node' as part, 'rendered-navigation-artifact' as kind, node_id as record_id from n
+union all
+select graph_id, 'edge', kind, 'edge:sha256:' || sha2({EDGE_JSON}, 256) from (
+  select x.graph_id, 'links-to' as kind, n.node_id as source, x.node_id as target, {_NONE} from x join n on n.graph_id = x.graph_id and n.page = x.page
+  union all select n.graph_id, 'describes-snapshot', n.node_id, s.node_id, {_NONE} from n join node_record s on s.graph_id = n.graph_id and s.kind = 'snapshot') e
+""")
+def _(v: Fixtures):
+    node, edge = navigation.rendered_graph(v.node_record, v.g_rendered)
+    return node.select("graph_id", F.lit("node").alias("part"), "kind", F.col("node_id").alias("record_id")).unionByName(
+        edge.select("graph_id", F.lit("edge").alias("part"), "kind", F.col("edge_id").alias("record_id"))
+    )

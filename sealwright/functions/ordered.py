@@ -229,3 +229,54 @@ def digest_ordinal(df: DataFrame, scope: Sequence[str], id_column: str, name: st
         .withColumn(name, F.col("_rank") + F.col("_before"))
         .drop("_rank", "_before", "_slice")
     )
+
+
+def with_previous(df: DataFrame, scope: str, order: Sequence[str], record: Sequence[str]) -> DataFrame:
+    """``df`` with ``_prev``, the ``record`` columns of the row before in its scope, as a struct; null for the first row.
+
+    Rows are sorted once, by scope and ``order`` (then by all of ``record``, so that ties have an order too), over
+    ranges of equal size. A task reads its range as a stream and knows the row before each but the first; that one takes
+    the last row of the range before, of which there is one for each task. So a scope of any size is many tasks, whatever its
+    keys look like.
+    """
+    keys = list(dict.fromkeys([scope, *order, *record]))
+    names = list(df.columns)
+    before = [f"_prev_{name}" for name in record]
+    kinds = [T.StructField(f"_prev_{name}", df.schema[name].dataType) for name in record]
+    extra = [T.StructField("_part", T.IntegerType()), T.StructField("_edge", T.IntegerType())]
+    schema = T.StructType([*df.schema.fields, *kinds, *extra])
+    arrow = to_arrow_schema(schema)
+    at, taken = names.index(scope), [names.index(name) for name in record]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, first = TaskContext.get().partitionId(), None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, edges = list(zip(*[column.to_pylist() for column in batch.columns])), []
+            told = []
+            for row in rows:
+                same = last is not None and last[at] == row[at]
+                told.append(tuple(last[k] for k in taken) if same else (None,) * len(taken))
+                edges.append(1 if first else 2 if same else 0)
+                last, first = row, False
+            columns = [*batch.columns, *[pa.array(c, f.type) for c, f in zip(zip(*told), list(arrow)[len(names) :])]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(rows), pa.int32()), pa.array(edges, pa.int32())], schema=arrow)
+        if last is not None:
+            # the last row once more, for the range after this one
+            values = [*last, *[None] * len(taken), part, -1]
+            yield _arrow_row(values, arrow)
+
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stored(ranged.mapInArrow(run, schema), "neighbours")
+    ends = rows.where("_edge = -1").select("_part", F.struct(F.col(scope).alias("_scope"), *[F.col(n) for n in record]).alias("_end"))
+    # one row for each task that had rows
+    ends = ends.select(F.lead("_part").over(Window.orderBy("_part")).alias("_part"), "_end").where("_part is not null")
+    inner = rows.where("_edge in (0, 2)")
+    held = F.when(F.col("_edge") == 2, F.struct(*[F.col(b).alias(n) for b, n in zip(before, record)]))
+    # every range but the first follows one; of a table of one range nothing does
+    outer = rows.where("_edge = 1").join(ends, "_part", "left")
+    follows = F.when(F.col("_end._scope") == F.col(scope), F.struct(*[F.col(f"_end.{n}").alias(n) for n in record]))
+    return inner.select(*names, held.alias("_prev")).unionByName(outer.select(*names, follows.alias("_prev")))

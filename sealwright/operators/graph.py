@@ -320,7 +320,7 @@ def _relation_edges(
     relation: DataFrame, reports: DataFrame, sources: DataFrame, symbols: DataFrame | None
 ) -> list[DataFrame]:
     bound = (
-        relation.join(reports, ["graph_id", "report_path"])
+        counted_join(relation, reports, ["graph_id", "report_path"], ["source_path", "fragment", "line", "symbol"])
         .join(sources, ["graph_id", "source_path"])
         .withColumn(
             "_relation",
@@ -452,7 +452,11 @@ def node_field_audit(node: DataFrame) -> DataFrame:
         F.array(*[F.col(name).isNotNull() != carries(name) for name in _OPTIONAL]), lambda off: off
     )
     digest_ok = F.coalesce(F.col("sha256").rlike(c.HEX64), F.lit(False))
-    return faults(
+    composed = [
+        finding(text.only_not_nfc(node.select("graph_id", "node_id", name), name), "graph_id", 0, problem, F.col("node_id"), f"{name} nfc")
+        for name, problem in (("label", code), ("path", "artifact_graph.invalid_path"))
+    ]
+    return union(*composed, faults(
         rows, "graph_id", 0, F.col("node_id"),
         (~known, "artifact_graph.invalid_node_kind", kind),
         (known & ~kind.isin("snapshot", "symbol") & ~digest_ok, "artifact_graph.invalid_digest", None),
@@ -464,7 +468,7 @@ def node_field_audit(node: DataFrame) -> DataFrame:
         (F.col("stage_status").isNotNull() & ~F.col("stage_status").isin(*c.STAGE_STATES), code, "stage_status"),
         (known & ~F.array_sort(F.json_object_keys("_identity")).eqNullSafe(F.col("members")), code, "identity members"),
         (known & wrong_value, code, "identity values"),
-    )
+    ))
 
 
 def edge_field_audit(edge: DataFrame) -> DataFrame:
@@ -611,7 +615,7 @@ def singleton_check(node: DataFrame) -> DataFrame:
 def scope_binding_check(child: DataFrame, parent: DataFrame, scope: str, columns: list[str], record: str, code: str) -> DataFrame:
     """Child records must carry the bindings of their parent."""
     renamed = parent.select(scope, *[F.col(name).alias(f"_p_{name}") for name in columns], F.lit(True).alias("_found"))
-    joined = spread_join(child, renamed, [scope], record, "left")
+    joined = counted_join(child, renamed, [scope], [record], "left")
     return faults(
         joined, scope, 0, F.col(record),
         (F.col("_found").isNull(), code, "no parent"),

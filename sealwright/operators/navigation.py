@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import ordered, references
-from ..functions.joins import spread_join
-from .findings import faults, union
-from .graph import node_id, with_edge
+from ..functions import ids, ordered, references
+from ..functions.joins import counted_join
+from .findings import faults, finding, union
+from .graph import node_id, with_edge, with_node
 
 PAGES = ("index", "stages", "provenance")
 
@@ -49,11 +49,11 @@ def navigation_index(node: DataFrame, edge: DataFrame) -> DataFrame:
     )
     reports = node.select("graph_id", F.col("node_id").alias("source"), F.col("path").alias("_path"))
     targets = node.select("graph_id", F.col("node_id").alias("target"), F.col("label").alias("_label"))
+    covers = edge.filter("kind = 'covers-source'").select("graph_id", "edge_id", "source", "target", "fragment", "line")
+    # a popular report, or source, is dealt by its number of relations
+    met = counted_join(covers, reports, ["graph_id", "source"], ["edge_id"])
     relations = (
-        edge.filter("kind = 'covers-source'")
-        .select("graph_id", "edge_id", "source", "target", "fragment", "line")
-        .join(reports, ["graph_id", "source"])
-        .join(targets, ["graph_id", "target"])
+        counted_join(met, targets, ["graph_id", "target"], ["edge_id"])
         .select(
             "graph_id",
             F.lit("index").alias("page"),
@@ -91,4 +91,31 @@ def navigation_targets(node: DataFrame, rendered: DataFrame) -> DataFrame:
     pages = rendered.select(
         "graph_id", "page", node_id("rendered-navigation-artifact", _page_identity()).alias("_page")
     )
-    return with_edge(spread_join(wanted, pages, ["graph_id", "page"], "node_id"), "links-to", F.col("_page"), F.col("node_id"))
+    return with_edge(counted_join(wanted, pages, ["graph_id", "page"], ["node_id"]), "links-to", F.col("_page"), F.col("node_id"))
+
+
+def rendered_graph(node: DataFrame, rendered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of rendered pages, and their edges: each describes its snapshot and links to what it exposes.
+
+    A page whose graph has no snapshot node gets no ``describes-snapshot`` edge.
+    """
+    identity = ids.scoped_identity("rendered-navigation-artifact", _page_identity())
+    pages = with_node(rendered, F.lit("rendered-navigation-artifact"), identity, F.col("path"), path=F.col("path"), sha256=F.col("sha256"))
+    snapshot = node.filter("kind = 'snapshot'").select("graph_id", F.col("node_id").alias("_snapshot"))
+    described = with_edge(pages.join(snapshot, "graph_id"), "describes-snapshot", F.col("node_id"), F.col("_snapshot"))
+    return pages, described.unionByName(navigation_targets(node, rendered))
+
+
+def rendered_audit(node: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Rendered pages whose path comes twice in a graph, or whose size or digest is not one; graphs that have rendered pages already."""
+    twice = rendered.groupBy("graph_id", "path").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    present = node.filter("kind = 'rendered-navigation-artifact'").select("graph_id", "path").join(rendered.select("graph_id").distinct(), "graph_id", "left_semi")
+    return union(
+        finding(twice, "graph_id", 0, "artifact_graph.duplicate_node_id", F.col("path")),
+        finding(present, "graph_id", 0, "artifact_graph.navigation_already_present", F.col("path")),
+        faults(
+            rendered, "graph_id", 0, F.col("path"),
+            (~F.coalesce(F.col("size").cast("string").rlike(c.SIZE), F.lit(False)), "artifact_graph.invalid_size", F.col("size")),
+            (~F.coalesce(F.col("sha256").rlike(c.HEX64), F.lit(False)), "artifact_graph.invalid_digest", F.col("sha256")),
+        ),
+    )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import contract as c
-from ..functions import ids, json_walk, paths, text
+from ..functions import ids, json_walk, ordered, paths, text
 from .findings import faults, finding, union
 
 
@@ -163,25 +163,15 @@ def release_policy_audit(
     return found.join(owners, "doc").select(F.col("_owner").alias("scope_id"), "check_rank", "code", "path", "detail")
 
 
-def contract_change_gate(policy_history: DataFrame, slice_width: int = 100_000) -> DataFrame:
+def contract_change_gate(policy_history: DataFrame, slice_width: int | None = None) -> DataFrame:
     """Revisions whose contracts changed need a new version and a new fixture revision.
 
-    Each revision meets its predecessor of the same project.  Ranking runs within
-    slices of the revision order; the first row of a slice takes the last row of
-    the slice before, from one row per slice, so a busy project stays spread.
+    Each revision meets its predecessor of the same project, the neighbour in one sort over all tasks
+    (``ordered.with_previous``); how far apart the numbers of revisions lie does not matter. ``slice_width`` has no meaning
+    any more.
     """
-    record = F.struct("revision_order", "version", "fixture_revision", "contract_digest")
-    rows = policy_history.withColumn("_slice", F.floor(F.col("revision_order") / F.lit(slice_width)))
-    within = Window.partitionBy("project", "_slice").orderBy("revision_order")
-    across = Window.partitionBy("project").orderBy("_slice")
-    ends = rows.groupBy("project", "_slice").agg(F.max(record).alias("_end")).select(
-        "project", "_slice", F.lag("_end").over(across).alias("_end")
-    )
-    paired = (
-        rows.withColumn("_prev", F.lag(record).over(within))
-        .join(ends, ["project", "_slice"])
-        .withColumn("_prev", F.coalesce("_prev", "_end"))
-    )
+    record = ["revision_order", "version", "fixture_revision", "contract_digest"]
+    paired = ordered.with_previous(policy_history.select("project", *record), "project", ["revision_order"], record)
     changed = F.col("_prev").isNotNull() & (F.col("_prev.contract_digest") != F.col("contract_digest"))
     return faults(
         paired, "project", 0, F.col("revision_order"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import contract as c
 from ..functions import ids, ordered, paths, text
 from ..functions.joins import spread_join
+from ..session import stored
 from .findings import faults, finding, union
 
 
@@ -111,7 +112,8 @@ def symlink_resolution(snapshot_file: DataFrame) -> DataFrame:
         .when((resolved == "..") | resolved.startswith("../") | resolved.startswith("/"), "snapshot.symlink_escape")
         .when(paths.bad_segments(target), "snapshot.invalid_symlink"),
     )
-    rows = text.with_nfc(rows, "_resolved", "_nfc")
+    # links are few: their narrow rows are written once, and all checks read those
+    rows = stored(text.with_nfc(stored(rows, "links"), "_resolved", "_nfc"), "links")
     rows = rows.withColumn("_code", F.when(F.col("_code").isNull() & ~F.col("_nfc"), "snapshot.invalid_symlink").otherwise(F.col("_code")))
     broken = rows.filter("_code is not null")
     usable = rows.filter("_code is null")

@@ -109,3 +109,35 @@ def test_spread_join_equals_plain_join(spark, how):
     right = spark.createDataFrame([(1, "a"), (3, "b"), (7, "c")], "k long, v string")
     plain = sorted(map(tuple, left.join(right, ["k"], how).collect()))
     assert sorted(map(tuple, spread_join(left, right, ["k"], "id", how, buckets=5).collect())) == plain
+
+
+def test_previous_rows_over_any_ranges(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(s, rng.randrange(10**12), f"{s}{i}") for s in "aabbbbbbbbbbbc" for i in range(rng.randrange(40))] + [("d", 1, "x"), ("d", 1, "y")]
+    table = spark.createDataFrame(rows, "s string, at long, note string")
+    for parts in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = ordered.with_previous(table, "s", ["at"], ["at", "note"]).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        want, last = [], None
+        for s, at, note in sorted(rows):
+            want.append((s, at, note, (last[1], last[2]) if last and last[0] == s else None))
+            last = (s, at, note)
+        assert sorted((r.s, r.at, r.note, tuple(r._prev) if r._prev else None) for r in got) == sorted(want, key=lambda w: w[:3])
+    assert ordered.with_previous(table.where(F.lit(False)), "s", ["at"], ["at"]).collect() == []
+
+
+def test_counted_join_spreads_and_keeps_rows(spark):
+    from sealwright.functions.joins import counted_join
+
+    left = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1), (None, 2), ("none", 3)], "k string, v long")
+    right = spark.createDataFrame([("hot", "h"), ("cold", "c"), (None, "n")], "k string, w string")
+    for how in ("inner", "left"):
+        got = sorted(map(str, counted_join(left, right, ["k"], ["v"], how, most=20).collect()))
+        assert got == sorted(map(str, left.join(right, ["k"], how).collect()))
