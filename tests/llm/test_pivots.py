@@ -64,3 +64,24 @@ def test_recall_on_given_vectors(spark, sf):
     got = {r.vec_id: r.n_links for r in pivots.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()}
     assert len(got) == len(want) and all(got[i] <= n for i, n, _ in want)
     assert sum(got.values()) >= 0.9 * sum(n for _, n, _ in want)
+
+
+def test_recall_of_planted_copies(spark):
+    # the given tables hold no link at all, so recall is measured on copies at angles from 5 to 25 degrees
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    copies = []
+    for k in range(900):
+        own = base[k % 600]
+        off = rng.normal(size=64)
+        off -= off @ own * own
+        angle = np.radians(rng.uniform(5, 25))
+        copies.append(np.cos(angle) * own + np.sin(angle) * off / np.linalg.norm(off))
+    vectors = np.concatenate([base, copies])
+    near = vectors @ vectors.T >= 0.9
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicates(table).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
+    assert near.sum() > 1500 and sum(got.values()) >= 0.9 * near.sum()
