@@ -275,10 +275,16 @@ def test_whole_bundle_verification(spark, codes):
     from sealwright.plans import verify
 
     pages = {"navigation/index.html": '<a href="../a.txt">a</a>', "a.txt": "a"}
+    # a configuration identity is closed too: all its members have to be there
+    digest = "d" * 64
+    identity = (
+        '{"controlled_input":{"path":"i.json","sha256":"%s","size":"1"},"defaults":{"id":"x","sha256":"%s"},"overrides":[],"resolved":{"sha256":"%s"},"schema":{"id":"%s","sha256":"%s"}}'
+        % (digest, digest, digest, c.schema_id("config.v1"), digest)
+    )
     report = (
-        '{"artifact_counts":[],"claim_boundary":{"does_not_establish":[%s],"scope":"%s"},"configuration_identity":{},"diagnostics":[],"inspector":{"version":"1"},'
+        '{"artifact_counts":[],"claim_boundary":{"does_not_establish":[%s],"scope":"%s"},"configuration_identity":%s,"diagnostics":[],"inspector":{"version":"1"},'
         '"optional_stages":{"degraded":[],"skipped":[]},"plan_sha256":"%s","required_stage_decision":"satisfied","schema":"%s","snapshot_id":"snapshot:sha256:%s","stage_result_digests":[]}'
-        % (",".join(f'"{x}"' for x in c.CLAIM_EXCLUSIONS), c.CLAIM_SCOPE, "a" * 64, c.schema_id("run.v1"), "b" * 64)
+        % (",".join(f'"{x}"' for x in c.CLAIM_EXCLUSIONS), c.CLAIM_SCOPE, identity, "a" * 64, c.schema_id("run.v1"), "b" * 64)
     )
     content = {**pages, "reports/run.json": report}
     rows = [("b", p, n, len(t), sha(t)) for n, (p, t) in enumerate(sorted(content.items()))]
