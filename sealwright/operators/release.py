@@ -114,7 +114,7 @@ def release_policy_audit(
     ``support``; a value of another type breaks the rule of its member.
     """
     own = c.schema_id("release-policy.v1", namespace)
-    nodes = json_walk.walk(policy, [scope], json)
+    nodes = json_walk.walk(json_walk.dealt(policy.select(scope, json)), [scope], json)
     code, text = "contract.policy_violation", ("string",)
     rule = json_walk.Rule
     named = {"operating_systems": ("operating systems", operating_systems), "python": ("python", python), "process_protocols": ("protocols", protocols), "schemas": ("schemas", None)}
