@@ -80,3 +80,32 @@ def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
     assert got == {f"s{i}": i for i in range(500)} and len(calls) < 40
     status = {r.stage: r.status for r in stages.stage_outcomes(stage, dep).collect()}
     assert status == {f"s{i}": "succeeded" if i < 300 else "failed" if i == 300 else "blocked" for i in range(500)}
+
+
+def test_large_runs_are_placed_like_small_ones(spark, monkeypatch):
+    """A run beyond the bound of a task goes the way of rounds, and comes out the same; null keys are met by nothing."""
+    chain = [("big", f"s{n}", f"s{n - 1}") for n in range(1, 9)]
+    fork = [("small", "d", "b"), ("small", "d", "c"), ("small", "b", "a"), ("small", "c", "a"), ("small", "x", "y"), ("small", "y", "x"), ("small", "z", "gone")]
+    dep = spark.createDataFrame([*chain, *fork, (None, "a", "b"), ("small", "a", "snapshot")], "run_id string, stage string, dependency string")
+    names = [("big", f"s{n}") for n in range(9)] + [("small", n) for n in "abcdxyz"]
+    rows = [(run, name, "required", "failed" if name in ("s2", "b") else "succeeded", name == "c") for run, name in names]
+    stage = spark.createDataFrame([*rows, (None, "a", "required", "succeeded", False)], "run_id string, stage string, policy string, own_status string, static_fault boolean")
+    got = []
+    for most in (1000, 14, 0):
+        monkeypatch.setattr(stages, "RUN_ROWS", most)
+        levels = sorted(((r.run_id, r.stage, r.level) for r in stages.stage_levels(stage, dep).collect()), key=str)
+        got.append((levels, sorted((r.run_id, r.stage, r.status) for r in stages.stage_outcomes(stage, dep).collect())))
+    assert got[0] == got[1] == got[2]
+    placed = {(run, name): level for run, name, level in got[0][0]}
+    assert placed["big", "s8"] == 8 and placed["small", "d"] == 2 and placed["small", "z"] is None and placed[None, "a"] is None
+    status = {(run, name): state for run, name, state in got[0][1]}
+    assert (status["big", "s1"], status["big", "s2"], status["big", "s8"]) == ("succeeded", "failed", "blocked")
+    assert (status["small", "b"], status["small", "c"], status["small", "d"]) == ("failed", "blocked", "blocked") and ("small", "x") not in status
+
+
+def test_a_run_is_placed_without_stored_rounds(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(stages, "levels_in_rounds", lambda *tables: calls.append(tables))
+    dep = spark.createDataFrame([("r", "b", "a"), ("r", "c", "b")], "run_id string, stage string, dependency string")
+    stage = spark.createDataFrame([("r", n) for n in "abc"], "run_id string, stage string")
+    assert {r.stage: r.level for r in stages.stage_levels(stage, dep).collect()} == {"a": 0, "b": 1, "c": 2} and not calls
