@@ -171,3 +171,26 @@ def test_values_of_a_text():
         ("/a~1b/1/x", "/a~1b/[]/x", "boolean", "true"), ("/n", "/n", "number", "-1.5"),
     ]
     assert json_walk.values("[" * 100_000)[0][5] == json_walk.INVALID and json_walk.values("NaN")[0][5] == json_walk.INVALID
+
+
+def test_a_text_is_told_in_one_row_for_each_value():
+    texts = ['{"a":["x",1,{"b":"y"}],"c":{"a":[]},"a":["z"]}', '[1.5,-0,9007199254740993,"é"]', "{", None, '{"a~/b":{"k":1,"k":2}}', '{"b":1,"a":2}', '"😀"', '{"😀":1,"":2}']
+    for text in texts:
+        found = json_walk.values(text)
+        rows = list(json_walk.told(text, ["/a/[]", "/a/[]/b", "/c/a/[]", "/none/[]"]))
+        assert [r[:4] for r in rows] == [(v[1], v[5], v[6], v[7]) for v in found]
+        assert [r[4] for r in rows] == [True] + [False] * (len(rows) - 1) and rows[0][5] == found[0][10]
+        assert rows[0][6] == (None if found[0][5] == json_walk.INVALID else any(v[9] for v in found))
+    assert next(json_walk.told(texts[0], ["/a/[]", "/a/[]/b", "/c/a/[]", "/none/[]"]))[7] == [["x", "z"], ["y"], [], None]
+
+
+def test_plain_texts_are_canonical_by_the_same_rule():
+    for text in ('{"a":1}', '{"b":1,"a":2}', '{"a":-0}', '{"a":1.0}', '{"a":9007199254740991}', '{"a":9007199254740993}', '{"a":"\\u00e9"}', '{"a":1,"a":1}', '{"a":"\\n"}', '{"a":[true,null]}', '{"a": 1}', '{"a":1e2}'):
+        value = json_walk.parse(text)
+        assert json_walk._canonical(text, value) == (json_walk.canonical(value) == text)
+
+
+def test_reports_are_audited_in_one_pass(spark):
+    table = spark.createDataFrame([("r", dumped(report()))], "run_id string, report string")
+    plan = records.run_report_audit(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "parquet" not in plan.lower()
