@@ -465,11 +465,9 @@ def node_field_audit(node: DataFrame) -> DataFrame:
         F.array(*[F.col(name).isNotNull() != carries(name) for name in _OPTIONAL]), lambda off: off
     )
     digest_ok = F.coalesce(F.col("sha256").rlike(c.HEX64), F.lit(False))
-    composed = [
-        finding(text.only_not_nfc(node.select("graph_id", "node_id", name), name), "graph_id", 0, problem, F.col("node_id"), f"{name} nfc")
-        for name, problem in (("label", code), ("path", "artifact_graph.invalid_path"))
-    ]
-    return union(*composed, faults(
+    # nodes may be costly to derive: one pass tells all rules, and hands on the texts that have to be looked at
+    looked = {"label": code, "path": "artifact_graph.invalid_path"}
+    found = stored_table(faults(
         rows, "graph_id", 0, F.col("node_id"),
         (~known, "artifact_graph.invalid_node_kind", kind),
         (known & ~kind.isin("snapshot", "symbol") & ~digest_ok, "artifact_graph.invalid_digest", None),
@@ -481,7 +479,13 @@ def node_field_audit(node: DataFrame) -> DataFrame:
         (F.col("stage_status").isNotNull() & ~F.col("stage_status").isin(*c.STAGE_STATES), code, "stage_status"),
         (known & ~F.array_sort(F.json_object_keys("_identity")).eqNullSafe(F.col("members")), code, "identity members"),
         (known & wrong_value, code, "identity values"),
-    ))
+        *[(text.may_break_nfc(F.col(name)), f"{name}?", F.col(name)) for name in looked],
+    ), "node-faults")
+    composed = [
+        text.only_not_nfc(found.filter(F.col("code") == f"{name}?"), "detail").withColumns({"code": F.lit(problem), "detail": F.lit(f"{name} nfc")})
+        for name, problem in looked.items()
+    ]
+    return union(found.filter(~F.col("code").isin(*[f"{name}?" for name in looked])), *composed)
 
 
 def edge_field_audit(edge: DataFrame) -> DataFrame:

@@ -67,3 +67,15 @@ def test_heads_of_runs_are_made_once_a_run(spark):
         keys = next(line for line in plan.splitlines() if "Aggregate" in line).split("], [")[0]
         assert "run_id" in keys and "sha2" not in keys
         assert sorted(getattr(fixtures, name).collect()) == sorted(fixtures.sql(VIEWS[name]).collect())
+
+
+def test_the_field_audit_of_nodes_derives_them_once(spark, monkeypatch):
+    from sealwright.operators import graph
+
+    passes, keep = [], graph.stored_table
+    monkeypatch.setattr(graph, "stored_table", lambda df, label: passes.append(label) or keep(df, label))
+    schema = "graph_id string, snapshot_id string, " + ", ".join(f"{name} string" for name in graph.NODE_COLUMNS)
+    node = spark.createDataFrame([("g", "s", "n", "source-file", "a\u0301.c", "a\u0301.c", None, "0" * 64, None, None, "x", "{}")], schema)
+    found = graph.node_field_audit(node)
+    assert passes == ["node-faults"] and "LogicalRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.code, r.detail) for r in found.collect()} >= {("artifact_graph.identity_mismatch", "label nfc"), ("artifact_graph.invalid_path", "path nfc")}
