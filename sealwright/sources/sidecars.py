@@ -24,19 +24,37 @@ ATTESTATION_KEYS = (
 
 
 def mapping_parts(sidecar_text: DataFrame, size: int | None = None) -> DataFrame:
-    """``(scope, array, pos, text)``: relations and frames of mapping texts, whole or in chunks; stored."""
-    return stored(chunks.json_parts(chunks.as_chunks(sidecar_text, ["scope"], size=size), ["scope"]), "mapping-parts")
+    """``(scope, array, pos, text)``: relations and frames of mapping texts, whole or in chunks; stored.
+
+    Whole texts of one chunk, nearly all, are dealt to tasks and taken apart where they are; only longer ones are cut.
+    """
+    if "chunk" in sidecar_text.columns:
+        return stored(chunks.json_parts(chunks.as_chunks(sidecar_text, ["scope"], size=size), ["scope"]), "mapping-parts")
+    short = F.coalesce(F.length("text"), F.lit(0)) <= (size or chunks.READ_CHARS)
+    parts = chunks.whole_parts(json_walk.dealt(sidecar_text.where(short).select("scope", "text")), ["scope"])
+    long = sidecar_text.where(~short)
+    if not long.isEmpty():
+        parts = parts.unionByName(chunks.json_parts(chunks.as_chunks(long, ["scope"], size=size), ["scope"]))
+    return stored(parts, "mapping-parts")
 
 
 def _frames(parts: DataFrame) -> DataFrame:
     return json_walk.with_part(parts.where(F.col("array") == chunks.FRAME).select("scope", "text"), "text", "_read")
 
 
+def _elements(parts: DataFrame) -> DataFrame:
+    return parts.where((F.col("array") != chunks.FRAME) & (F.col("pos") >= 0))
+
+
+def _listed(frames: DataFrame) -> DataFrame:
+    """``(scope, array)`` of the array ``relations``; of several of the name, the last one."""
+    place = F.array_size("arrays") - F.array_position(F.reverse("arrays"), "relations")
+    return frames.where(F.array_contains("arrays", "relations")).select("scope", place.cast("long").alias("array"))
+
+
 def _relations(parts: DataFrame) -> DataFrame:
-    """Each relation with its strictly typed members in ``_r``; of several arrays of the name, the last one."""
-    place = F.array_size("_read.arrays") - F.array_position(F.reverse("_read.arrays"), "relations")
-    named = _frames(parts).where(F.array_contains("_read.arrays", "relations")).select("scope", place.cast("long").alias("array"))
-    rows = parts.where((F.col("array") != chunks.FRAME) & (F.col("pos") >= 0)).join(named, ["scope", "array"])
+    """Each relation with its strictly typed members in ``_r``."""
+    rows = _elements(parts).join(_listed(_frames(parts).select("scope", "_read.arrays")), ["scope", "array"])
     return json_walk.with_members(rows, "text", "_r", **RELATION)
 
 
@@ -57,24 +75,30 @@ def read_report_bindings(sidecar_text: DataFrame) -> DataFrame:
 def mapping_audit(sidecar_text: DataFrame) -> DataFrame:
     """Mapping texts or parts that are no JSON, repeat a member, or have other members; relations of another shape."""
     parts = _parts(sidecar_text)
-    frames = _frames(parts).select("scope", "_read.*")
-    each = json_walk.with_part(parts.where((F.col("array") != chunks.FRAME) & (F.col("pos") >= 0)), "text", "_read")
-    told = each.groupBy("scope").agg(F.min("_read.valid").alias("_valid"), F.max(F.coalesce("_read.repeated", F.lit(False))).alias("_repeated"))
+    # every text is read once: what is told of frames and of their elements is narrow, and stored
+    frames = stored(_frames(parts).select("scope", "_read.*"), "mapping-frames")
+    both = json_walk.with_part(json_walk.with_members(_elements(parts), "text", "_r", **RELATION), "text", "_read")
+    open_ = ~F.col("_r.closed") | F.col("_r.report_path").isNull() | F.col("_r.source_path").isNull()
+    each = both.select("scope", "array", "pos", "_read.valid", "_read.repeated", open_.alias("open"), F.when(open_, F.col("_r.report_path")).alias("report_path"))
+    each = stored(each, "mapping-elements")
+    told = each.groupBy("scope").agg(F.min("valid").alias("_valid"), F.max(F.coalesce("repeated", F.lit(False))).alias("_repeated"))
+    no_names = F.array().cast("array<string>")
+    closed = F.array_sort(F.coalesce("keys", no_names)) == F.array(F.lit("relations"), F.lit("report"), F.lit("schema"))
     read = frames.join(told, "scope", "left").select(
-        "scope", "keys", (F.col("valid") & F.coalesce("_valid", F.lit(True))).alias("valid"),
+        "scope", (F.col("valid") & F.coalesce("_valid", F.lit(True))).alias("valid"),
         (F.coalesce("repeated", F.lit(False)) | F.coalesce("_repeated", F.lit(False))).alias("repeated"),
-        F.array_contains(F.coalesce("arrays", F.array().cast("array<string>")), "relations").alias("_listed"),
+        (closed & F.array_contains(F.coalesce("arrays", no_names), "relations")).alias("closed"),
     )
-    sound = read.filter("valid and not repeated")
-    closed = F.array_sort(F.coalesce("keys", F.array().cast("array<string>"))) == F.array(F.lit("relations"), F.lit("report"), F.lit("schema"))
-    shaped = _relations(parts).join(sound.filter(closed & F.col("_listed")).select("scope"), "scope", "left_semi")
-    r = F.col("_r")
+    valid, repeated, closed = F.col("valid"), F.col("repeated"), F.col("closed")
+    listed = each.filter("open").select("scope", "array", "pos", "report_path").join(_listed(frames), ["scope", "array"])
+    shaped = listed.join(read.filter(valid & ~repeated & closed).select("scope"), "scope", "left_semi")
     code = "coverage.invalid_sidecar"
     return union(
-        finding(read.filter("not valid"), "scope", 0, code, None, "json"),
-        finding(read.filter("valid and repeated"), "scope", 0, code, None, "repeated member"),
-        finding(sound.filter(~(closed & F.col("_listed"))), "scope", 0, code, None, "members"),
-        finding(shaped.filter(~r["closed"] | r["report_path"].isNull() | r["source_path"].isNull()), "scope", 0, "coverage.invalid_relation", r["report_path"], F.col("pos")),
+        faults(
+            read, "scope", 0, None,
+            (~valid, code, "json"), (valid & repeated, code, "repeated member"), (valid & ~repeated & ~closed, code, "members"),
+        ),
+        finding(shaped, "scope", 0, "coverage.invalid_relation", F.col("report_path"), F.col("pos")),
     )
 
 
