@@ -12,7 +12,7 @@ from .. import contract as c
 from ..functions import ids
 from ..operators import graph, navigation
 from ..plans.fixtures import DERIVED, VIEWS, Fixtures, view
-from ..session import stored
+from ..session import settled, stored
 from . import query
 
 TREE_SCHEMA = c.schema_id("coverage-report-tree.v1")
@@ -302,6 +302,12 @@ DERIVED["node_record"] = lambda v: graph.assemble(_records(v))[0]
 DERIVED["edge_record"] = lambda v: graph.assemble(_records(v))[1]
 
 
+def _forged(v: Fixtures, part: str):
+    """View ``node_forged`` or ``edge_forged`` for a query that reads it once: derived, each id once, and not stored."""
+    record = {f"{part}_record": settled(getattr(v, f"{part}_record"))}
+    return settled(v.spark.sql(VIEWS[f"{part}_forged"].replace(f"from {part}_record", f"from {{{part}_record}}"), **record))
+
+
 def _keyed(v: Fixtures, nav: bool = False):
     node = (v.graph_node_nav if nav else v.graph_node).withColumnRenamed("node_key", "node_id")
     edge = v.graph_edge_nav if nav else v.graph_edge
@@ -380,7 +386,7 @@ union all
 select cast(graph_id as varchar), 0, 'artifact_graph.identity_mismatch', edge_id, 'edge id' from edge_forged where edge_id <> 'edge:sha256:' || sha2({EDGE_JSON.replace("|| fragment ||", "|| replace(fragment, chr(7), '\\u0007') ||")}, 256)
 """)
 def _(v: Fixtures):
-    return graph.content_id_check(v.node_forged, v.edge_forged)
+    return graph.content_id_check(_forged(v, "node"), _forged(v, "edge"))
 
 
 # claims at every level, each forged by a digit of a digest: ids of leaves, stage results, relations and edges
@@ -517,7 +523,7 @@ select cast(graph_id as varchar) as scope_id, 0 as check_rank, code, edge_id as
     where known and not covers and (relation_id is not null or fragment is not null or line is not null or symbol is not null)) t
 """)
 def _(v: Fixtures):
-    return graph.edge_field_audit(v.edge_forged)
+    return graph.edge_field_audit(_forged(v, "edge"))
 
 
 @query("edge_endpoint_check", """
