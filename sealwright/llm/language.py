@@ -172,6 +172,8 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
                     langs[first + i], scores[first + i] = filled.langs[best[i]], shares[i, best[i]]
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    # a deterministic function is run again, by workers of its own, for a filter on what it gives
+    decide = decide.asNondeterministic()
     named = docs.select(F.struct("*").alias("row"), decide(F.col("text").cast("string")).alias("found"))
     return named.select("row", "found.lang_pred", "found.score")
 
