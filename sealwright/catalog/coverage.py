@@ -44,7 +44,7 @@ def _(v: Fixtures):
     record = ids.canonical({"fragment": None, **{n: F.col(n) for n in ("line", "report_path", "source_path", "symbol")}})
     listing = ordered.lines(v.relation.withColumn("_json", record), ["scope"], F.col("_json"), F.col("_json"))
     glue = ['{"relations":[', '],"report":{"entry_point":"index.html","tree_sha256":"%s"},"schema":"%s"}' % ("0" * 64, MAP_SCHEMA)]
-    return sidecars.read_relation_sidecars(stored(ordered.ordered_text(listing, ["scope"], glue, chunk_chars=chunks.READ_CHARS), "mapping-chunks"))
+    return sidecars.read_relation_sidecars(stored(ordered.ordered_text(listing, ["scope"], glue, chunk_chars=chunks.READ_CHARS), "mapping-chunks", long_rows=True, group=8))
 
 
 @query("read_attestations", """
