@@ -40,7 +40,8 @@ def counted_join(
     """
     names, most = list(keys), most or TASK_ROWS
     hot = (left if counted is None else counted).groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
-    hot = hot.dropna(subset=names).select(*names, F.ceil(F.col("_rows") / most).cast("int").alias("_salts"))
+    # few by their number, so that neither side is dealt for them
+    hot = F.broadcast(hot.dropna(subset=names).select(*names, F.ceil(F.col("_rows") / most).cast("int").alias("_salts")))
     salt = F.pmod(F.xxhash64(*spread_by), F.coalesce("_salts", F.lit(1))).cast("int")
     salted = left.join(hot, names, "left").withColumn("_salt", salt).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))

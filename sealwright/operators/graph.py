@@ -321,12 +321,15 @@ def _relation_edges(
     Relations meet symbols and sources while they are still narrow, and reports last: long ids are made where the edge is, and
     digests travel as bytes.
     """
-    rows = relation.withColumn("_symbol", F.lit(None).cast("binary"))
-    if symbols is not None:
+    # sources first, as they drop relations whose source is not there; only relations with a symbol move on to meet symbols
+    sources = sources.withColumn("_source", ids.digest_of(F.col("_source")))
+    if symbols is None:
+        rows = relation.join(sources, ["graph_id", "source_path"]).withColumn("_symbol", F.lit(None).cast("binary"))
+    else:
         keys = ["graph_id", "source_path", "symbol"]
         unique = symbols.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ids.digest_of(F.col("_symbol"))).alias("_symbol")).filter("_n = 1").drop("_n")
-        rows = rows.filter("symbol is null").unionByName(relation.filter("symbol is not null").join(unique, keys, "left"))
-    rows = rows.join(sources.withColumn("_source", ids.digest_of(F.col("_source"))), ["graph_id", "source_path"])
+        named, others = (relation.filter(f"symbol is {which}").join(sources, ["graph_id", "source_path"]) for which in ("not null", "null"))
+        rows = others.withColumn("_symbol", F.lit(None).cast("binary")).unionByName(named.join(unique, keys, "left"))
     reports = reports.select(
         "graph_id", "report_path", F.substring_index("_report", ":", 2).alias("_name"), ids.digest_of(F.col("_report")).alias("_report"),
         ids.digest_of(F.col("report_artifact_id")).alias("_artifact"),

@@ -40,36 +40,43 @@ def navigation_index(node: DataFrame, edge: DataFrame) -> DataFrame:
     for name, kinds in c.NAVIGATION_SECTIONS:
         test = F.col("kind").isin(*kinds)
         section = F.when(test, name) if section is None else section.when(test, name)
-    entry = ["graph_id", "page", "section", "label", "href", "node_id", "_key"]
-    own = F.when(F.col("kind") != "stage-result", href(F.col("path"), F.col("fragment")))
-    listed = node.withColumn("href", own).withColumn("_key", F.col("node_id"))
-    index = listed.withColumn("section", section).filter("section is not null").withColumn("page", F.lit("index"))
-    stages = listed.filter("kind = 'stage-result'").withColumn("section", F.lit("stages")).withColumn("page", F.lit("stages"))
-    carriers = (
-        listed.filter("provenance is not null").withColumn("section", F.lit("carriers")).withColumn("page", F.lit("provenance"))
-    )
-    reports = node.select("graph_id", F.col("node_id").alias("source"), F.col("path").alias("_path"))
-    targets = node.select("graph_id", F.col("node_id").alias("target"), F.col("label").alias("_label"))
-    covers = edge.filter("kind = 'covers-source'").select("graph_id", "edge_id", "source", "target", "fragment", "line")
+    # ids move as bytes, and addresses are made last, from paths
+    def own(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), ids.packed(F.col(name)))
+
+    entry = ["graph_id", "page", "section", "label", "_path", "fragment", "_node", "_key"]
+    addressed = F.when(F.col("kind") != "stage-result", F.col("path")).alias("_path")
+    listed = node.select("graph_id", "kind", "provenance", "label", addressed, "fragment", own("node_id").alias("_node"))
+    pages = F.array_compact(F.array(
+        F.when(section.isNotNull(), F.struct(F.lit("index").alias("page"), section.alias("section"))),
+        F.when(F.col("kind") == "stage-result", F.struct(F.lit("stages").alias("page"), F.lit("stages").alias("section"))),
+        F.when(F.col("provenance").isNotNull(), F.struct(F.lit("provenance").alias("page"), F.lit("carriers").alias("section"))),
+    ))
+    listed = listed.select("*", F.explode(pages).alias("_at"), F.lit(None).cast("struct<name:string,digest:binary>").alias("_key")).select("*", "_at.*")
+    reports = node.select("graph_id", own("node_id").alias("_source"), F.col("path").alias("_path"))
+    targets = node.select("graph_id", own("node_id").alias("_target"), F.col("label").alias("_label"))
+    covers = edge.filter("kind = 'covers-source'").select("graph_id", own("edge_id").alias("_key"), own("source").alias("_source"), own("target").alias("_target"), "fragment", "line")
     covers = stored(covers, "covers")
-    # a popular report, or source, is dealt by its number of relations
-    met = counted_join(covers, reports, ["graph_id", "source"], ["edge_id"])
+    # a popular source, or report, is dealt by its number of relations; sources first, as their short labels take the place of ids
+    met = counted_join(covers, targets, ["graph_id", "_target"], ["_key"]).drop("_target")
     relations = (
-        counted_join(met, targets, ["graph_id", "target"], ["edge_id"], counted=covers)
+        counted_join(met, reports, ["graph_id", "_source"], ["_key"], counted=covers)
         .select(
             "graph_id",
             F.lit("index").alias("page"),
             F.lit("relations").alias("section"),
             F.concat("_label", F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit(""))).alias("label"),
-            href(F.col("_path"), F.col("fragment")).alias("href"),
-            F.col("source").alias("node_id"),
-            F.col("edge_id").alias("_key"),
+            "_path",
+            "fragment",
+            F.col("_source").alias("_node"),
+            "_key",
         )
     )
     # counted by slice and ranked, so written once
-    rows = stored(union(index.select(*entry), stages.select(*entry), carriers.select(*entry), relations), "entries")
-    return ordered.digest_ordinal(rows, ["graph_id", "page", "section"], "_key").select(
-        "graph_id", "page", "section", "ord", "label", "href", "node_id"
+    rows = stored(union(listed.select(*entry), relations), "entries")
+    key = ids.unpacked(F.coalesce("_key", "_node"))
+    return ordered.digest_ordinal(rows, ["graph_id", "page", "section"], "_key", late=key).select(
+        "graph_id", "page", "section", "ord", "label", href(F.col("_path"), F.col("fragment")).alias("href"), ids.unpacked(F.col("_node")).alias("node_id")
     )
 
 
